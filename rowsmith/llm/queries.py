@@ -1,8 +1,10 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import quality, sharding
+from . import packing, quality, sharding, token_files
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op4_token_files": token_files.op4_token_files,
     "op7_sharding": sharding.op7_sharding,
     "op10_quality_rules": quality.op10_quality_rules,
 }
