@@ -1,17 +1,19 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import decontamination, packing, quality, sharding, token_files
+from . import decontamination, jaccard, packing, quality, sharding, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_token_files": token_files.op4_token_files,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLES = {
     "op7_sharding": sharding.OP7_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
