@@ -1,10 +1,14 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import decontamination, jaccard, packing, quality, sharding, token_files
+from . import decontamination, jaccard, packing, pii, quality, repeats, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_token_files": token_files.op4_token_files,
+    "op2_repeated_passages": repeats.op2_repeated_passages,
+    "op3_pii": pii.op3_pii,
+    "op5_url_filter": url_filter.op5_url_filter,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
