@@ -61,3 +61,9 @@ def slices(batch, most_bytes: int = 4_000_000, column: str = "text"):
     cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), n]
     for a, b in zip(cuts, cuts[1:]):
         yield batch.slice(a, b - a)
+
+
+def with_n_chars(docs: DataFrame) -> DataFrame:
+    """docs with n_chars, where there is such a column of numbers, set to the length of the text."""
+    kind = dict(docs.dtypes).get("n_chars")
+    return docs.withColumn("n_chars", F.length("text").cast(kind)) if kind in ("int", "bigint") else docs

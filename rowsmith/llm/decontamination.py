@@ -14,7 +14,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table
+from .common import documents, slices, table, with_n_chars
 
 WINDOW = 10
 #: Item words in one automaton, which bounds what is broadcast at once; more items go in further blocks.
@@ -161,8 +161,25 @@ def _cut(text: str, ranges: list[list[int]]) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, ids of the items that occur; with cut also the text without its hits.
+def _scan(text: str | None, blocks: list[Broadcast]) -> tuple[list[bytes], list[list[int]], set]:
+    """The words of a text, the merged ranges of those that are hit, the items that occur."""
+    words = words_of(text)
+    ranges: list[list[int]] = []
+    items: set = set()
+    for b in blocks:
+        more, others = b.value.scan(words)
+        ranges, items = ranges + more, items | others
+    merged: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return words, merged, items
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, ids of the items that occur.
 
     Every row of docs gives one row. Null or empty texts have no words; null or empty items match
     nothing; an item with null item_id marks words but is not listed. Items of one id count once.
@@ -175,26 +192,40 @@ def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                texts = part.column("text").to_pylist()
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
-                    words = words_of(text)
-                    ranges, items = blocks[0].value.scan(words)
-                    for b in blocks[1:]:
-                        more, others = b.value.scan(words)
-                        ranges, items = sorted(ranges + more), items | others
-                    merged: list[list[int]] = []
-                    for a, b in ranges:
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(b, merged[-1][1])
-                        else:
-                            merged.append([a, b])
-                    out = [doc_id, len(words), sum(b - a + 1 for a, b in merged), sorted(items - {None})]
-                    rows.append((*out, _cut(text, merged) if merged and cut else text if cut else None))
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    words, ranges, items = _scan(text, blocks)
+                    rows.append((doc_id, len(words), sum(b - a + 1 for a, b in ranges), sorted(items - {None})))
                 if rows:
-                    ids, n, hit, items, texts = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "n_words", "n_hit", "items", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.list_(pa.int64())])], ["doc_id", "n_words", "n_hit", "items"])
+
+    return documents(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<long>")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_hit: float = MOST_HIT) -> DataFrame:
+    """docs without the hit words and what stands between them; n_chars follows, if there is one.
+
+    A document goes where more than most_hit of its words are hit. All other rows and columns stay.
+    """
+    blocks = automata(benchmark, window, block_words)
+
+    def clean(batches):
+        import pyarrow as pa
 
-    return documents(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<long>, text string")
+        for batch in batches:
+            for part in slices(batch):
+                at = part.schema.get_field_index("text")
+                texts, keep = part.column(at).to_pylist(), []
+                changed = False
+                for i, text in enumerate(texts):
+                    words, ranges, _ = _scan(text, blocks)
+                    keep.append(sum(b - a + 1 for a, b in ranges) <= most_hit * len(words))
+                    if ranges and keep[-1]:
+                        texts[i], changed = _cut(text, ranges), True
+                if changed:
+                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return with_n_chars(docs.mapInArrow(clean, docs.schema))
 
 
 def item_digest(items: Column) -> Column:

@@ -210,6 +210,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     return full.join(lowest, "component").select("doc_id", "n_shingles", "component_id").union(all_sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs without the rows of each component but those of its smallest doc_id; all columns stay.
+
+    Rows with a null doc_id stay, as they have no id by which they could be told apart.
+    """
+    found = join_components(docs)
+    return docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), F.col("_gone") == docs["doc_id"], "left_anti")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))
 

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, written
+from .common import documents, slices, table, with_n_chars, written
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -261,7 +261,7 @@ def redacted(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, part.schema.field(at), pa.array([redacted_text(t, accepted.value) for t in part.column(at).to_pylist()], part.schema.field(at).type))
 
-    return docs.mapInArrow(redact, docs.schema)
+    return with_n_chars(docs.mapInArrow(redact, docs.schema))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

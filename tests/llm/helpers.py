@@ -18,5 +18,6 @@ def clashing(df):
     from pyspark.sql import functions as F
 
     for c in ("rank", "size", "shard", "bucket", "piece", "start", "length", "task", "key", "h", "sid", "n", "kind", "words", "item_id", "failures", "spans", "count", "path", "part"):
-        df = df.withColumn(c, F.lit("x"))
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("x"))
     return df
