@@ -1,4 +1,6 @@
 """The queries of the library's own operators and their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .jobs import line_jobs, text_jobs
+
+QUERIES = {**line_jobs.QUERIES, **text_jobs.QUERIES}
+ORACLES = {**line_jobs.ORACLES, **text_jobs.ORACLES}
