@@ -14,6 +14,11 @@ import numpy as np
 #: A blank whose boundary depends on more than its neighbours: white space before it, and after it white space or the end.
 AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
 DOUBLE = re.compile(r"\s\s")
+#: Letters of the Latin blocks with ASCII punctuation behind them: the pre-tokenizers cut these in two.
+SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+# Fixed values of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Pieces kept by a worker, and the longest that is kept.
 KEPT, LONGEST = 400_000, 48
 
@@ -30,7 +35,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.blanks, self.known = Tokenizer.from_file(path), blanks, {}
+        self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
+        self.known, self.stems, self.tails = {}, {}, {"": b""}
+        self.model = self.tokenizer.model
 
     @classmethod
     def of(cls, path: str, blanks: bool) -> Encoder:
@@ -47,17 +54,41 @@ class Encoder:
             text = text.replace("\n", "\0\n\0")
         return text.replace(" ", "\0 ").split("\0")
 
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+    def _simple(self, blank: str, stem: str, tail: str) -> bytes:
+        """Ids of a stem, one pre-token that goes to the model as it is, and of the punctuation after it."""
+        key = blank + stem if self.blanks else stem.lower()
+        if (ids := self.stems.get(key)) is None:
+            if key.strip().isalpha():
+                found = self.model.tokenize(key.encode().decode("latin-1").translate(_BYTES))
+                ids = np.array([t.id for t in found], dtype="<u4").tobytes()
+            else:
+                ids = self._ids([key])[0]
+            self.stems[key] = ids
+        if tail not in self.tails:
+            if len(self.tails) > KEPT:
+                self.tails = {"": b""}
+            self.tails[tail] = self._ids([tail])[0]
+        return ids + self.tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         pieces = set().union(*cut)
         if len(self.known) > KEPT:
             self.known = {}
-        missing = [p for p in pieces if p not in self.known]
-        now = {}
-        for a in range(0, len(missing), 2000):
-            some = missing[a : a + 2000]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                ids = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.stems) > KEPT:
+            self.stems = {}
+        now, hard = {}, []
+        for p in pieces - self.known.keys():
+            if len(p) <= LONGEST and (m := SIMPLE.fullmatch(p)):
+                self.known[p] = self._simple(*m.groups())
+            else:
+                hard.append(p)
+        for a in range(0, len(hard), 2000):
+            some = hard[a : a + 2000]
+            for piece, ids in zip(some, self._ids(some)):
                 (self.known if len(piece) <= LONGEST else now)[piece] = ids
         if now:
             return [b"".join([now[p] if p in now else self.known[p] for p in c]) for c in cut]
