@@ -33,7 +33,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 #: Word beginnings of these many bytes are terms too, so that one stem with many endings is one term.
 STEMS = range(4, 10)
-_memo: dict[int, dict[bytes, tuple[int, ...]]] = {}
+#: The terms that the remembered words belong to, and these words with their terms.
+_memo: list = [None, {}]
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -42,9 +43,9 @@ def features_of(word: bytes) -> list[bytes]:
 
 def hits_of(text: str | None, terms: dict[bytes, int]) -> list[int]:
     """Term numbers of all words, each as often as it occurs; words seen before are looked up once."""
-    memo = _memo.setdefault(id(terms), {})
-    if len(memo) > 200_000:
-        memo.clear()
+    if _memo[0] is not terms or len(_memo[1]) > 200_000:
+        _memo[:] = [terms, {}]
+    memo = _memo[1]
     out: list[int] = []
     for w in words_of(text):
         found = memo.get(w)
