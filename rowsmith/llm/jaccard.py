@@ -7,9 +7,11 @@ component of their links. The index is a list of sets for each shingle of a pref
 * Prefixes. In hash order, two sets that link share at least l of their first s - ceil(3 s / 4) + l
   shingles, l being a tenth of the size. Sets with too few shared shingles in that prefix have no
   link; of the others, the rarest shared shingles but for l - 1 make the second, final prefix.
-* Answers by relation. Each set is first compared with one leader, the set that most of its lists
-  begin with. What is linked so has the leader's component as answer, and lists whose sets have all
+* Answers by relation. In rounds each set is compared with one leader of its lists that is not of its
+  component. What is linked so has the leader's component as answer, and lists whose sets have all
   one component are skipped as wholes: no pair inside them can change the result.
+* Differences. Two sets compared with one leader, of which one has no link to it, mostly can link only
+  if they share shingles that the leader lacks. Such pairs meet by those shingles alone.
 * Blocks. In the remaining lists, sets stand in blocks by size and position. Only blocks meet whose
   sizes allow a link and whose positions leave enough shingles behind them, and of their pairs only
   those of different components are compared, shingle by shingle.
@@ -34,6 +36,8 @@ COMMON_IN_RUN, COMMON_SHARE, COMMON_KEPT = 4, 0.004, 50_000
 #: Parts that the list of a common shingle is dealt into while shared shingles are sought.
 SALTS = 64
 COMMON_COUNT = 1 << 40
+#: Rounds of leaders at most, and the share of its pairs that a round has to link for another to follow.
+ROUNDS, WORTH = 8, 0.1
 
 
 def shared_least(size):
@@ -133,8 +137,9 @@ def index_lists(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return kept.select("sid", "size", "c", "least", F.posexplode(F.slice("all", F.lit(1), (F.col("c") - F.col("least") + 1).cast("int"))).alias("pos", "x")).select(F.col("x.h").alias("h"), "sid", "size", F.col("pos").cast("long").alias("pos"), "c", "least")
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of set ids whose sets link, by their whole sets."""
+def compared(pairs: DataFrame, texts: DataFrame, novel: bool = False) -> DataFrame:
+    """For pairs (a, b) of set ids: size_a, size_b, both (shingles in common), by their whole sets; with
+    novel also the shingles of a that are not in b."""
 
     def test(batches):
         import pyarrow as pa
@@ -142,25 +147,38 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1_000_000, "text_b"):
                 a, b = shingle_sets(part.column("text_a").to_pylist()), shingle_sets(part.column("text_b").to_pylist())
-                keep = []
-                for x, y in zip(a, b):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= 75 * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                own = [np.isin(x, y, assume_unique=True) for x, y in zip(a, b)]
+                cols = [part.column("a"), part.column("b"), *(pa.array(c, pa.int64()) for c in ([len(x) for x in a], [len(y) for y in b], [int(i.sum()) for i in own]))]
+                more = [pa.array([signed(x[~i]) if novel else [] for x, i in zip(a, own)], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*cols, *more], ["a", "b", "size_a", "size_b", "both", "novel"])
 
     with_a = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
+    both = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(test, "a long, b long, size_a long, size_b long, both long, novel array<long>")
 
 
-def roots(links: DataFrame) -> DataFrame:
-    """node, component for links from each node to one smaller node: pointers are doubled."""
-    tree = written(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "tree")
-    while True:
-        up = tree.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        tree = written(tree.join(up, "component", "left").select("node", F.coalesce("further", "component").alias("component"), F.col("further").isNotNull().alias("moved")), "tree")
-        if not tree.where("moved").limit(1).count():
-            return tree.select("node", "component").union(tree.select(F.col("component"), F.col("component")).distinct())
-        tree = tree.select("node", "component")
+def linked(tests: DataFrame) -> DataFrame:
+    """a, b of the compared() pairs that link."""
+    return tests.where("100 * both >= 75 * (size_a + size_b - both)").select("a", "b")
+
+
+def _surplus() -> Column:
+    """For two sets compared with one leader: 14 times the novel shingles that they must have in common.
+
+    Let each lack some of the leader's shingles and add novel ones. They differ in what they lack and add
+    but for what is the same in both, and link if 7 times that difference is not above the sum of their
+    sizes. What both lack is no more than the smaller lack; the rest must be novel shingles of both.
+    """
+    parts = F.col("lacks_a") + F.col("adds_a") + F.col("lacks_b") + F.col("adds_b")
+    return 7 * parts - (F.col("size_a") + F.col("size_b")) - 14 * F.least("lacks_a", "lacks_b")
+
+
+def _leadership(k: int) -> Column:
+    """What a leader of a list is chosen by in round k: first the set with the largest share of shared
+    shingles, which stands in the middle of its near copies; then some member of the largest component."""
+    if k == 0:
+        return F.struct(F.col("c") / F.col("size"), F.col("sid"))
+    return F.struct(F.col("members"), F.xxhash64("sid", F.lit(k)))
 
 
 def block(size: Column) -> Column:
@@ -177,25 +195,53 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alive = lists.select("sid").distinct().join(sets, "sid").select("sid", "doc_id")
     texts = written(documents(docs).join(alive, "doc_id").dropDuplicates(["sid"]), "texts").select("sid", "text")
 
-    firsts = lists.groupBy("h").agg(F.min("sid").alias("leader"))
-    leaders = lists.join(firsts, "h").where("leader < sid").groupBy("sid", "leader").agg(F.count("*").alias("n")).groupBy("sid").agg(F.max_by("leader", F.struct("n", -F.col("leader").cast("decimal(20,0)"))).alias("leader"))
-    tested = written(leaders.select(F.col("sid").alias("a"), F.col("leader").alias("b")), "pairs")
-    star = roots(linked(tested, texts))
-
-    named = lists.join(star.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    tested, star, led = None, None, None
+    for k in range(ROUNDS):
+        named = lists.withColumn("component", F.col("sid")).withColumn("members", F.lit(1).cast("long"))
+        if star is not None:
+            members = star.groupBy("component").agg(F.count("*").alias("members"))
+            named = lists.join(star.join(members, "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+        mixed = named.groupBy("h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component"), F.max_by(F.struct("sid", "component"), _leadership(k)).alias("leader")).where("least_component < most_component").select("h", "leader")
+        asks = named.join(mixed, "h").where(F.col("component") != F.col("leader.component")).groupBy("sid", F.col("leader.sid").alias("leader")).agg(F.count("*").alias("n"))
+        pairs = asks.groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("sid").alias("a"), "b")
+        tests = written(compared(pairs, texts, novel=k == 0), "tests")
+        led = tests if k == 0 else led
+        links, n_pairs = linked(tests), tests.count()
+        now = tests.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        tested = now if tested is None else tested.union(now)
+        n_links = links.count()
+        star = components(links if star is None else links.union(star.select(F.col("sid").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("sid"), "component")
+        star = written(star, "star")
+        if n_links < WORTH * n_pairs or not n_links:
+            break
+
+    by_leader = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"))
+    named = lists.join(star, "sid", "left").withColumn("component", F.coalesce("component", "sid")).join(by_leader, "sid", "left")
     named = written(named.withColumn("block", block(F.col("size"))), "named")
     mixed = named.groupBy("h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component")).where("least_component < most_component").select("h")
     left = named.join(mixed, "h", "left_semi")
-    x = left.select("h", "block", *(F.col(c).alias(f"{c}_a") for c in ("sid", "size", "pos", "c", "least", "component")))
-    y = left.select("h", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("sid", "size", "pos", "c", "least", "component")))
+    kept = ("sid", "size", "pos", "c", "least", "component", "leader", "lacks", "adds")
+    x = left.select("h", "block", *(F.col(c).alias(f"{c}_a") for c in kept))
+    y = left.select("h", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in kept))
     # b is not larger than a, and of two of one size the one with the smaller id.
     meets = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sid_b") < F.col("sid_a")))
     fits = 4 * F.col("size_b") >= 3 * F.col("size_a")
     enough = F.least(F.col("c_a") - F.col("pos_a"), F.col("c_b") - F.col("pos_b")) >= F.greatest("least_a", "least_b")
-    met = x.join(y, ["h", "block"]).where((F.col("component_a") != F.col("component_b")) & meets & fits & enough).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b")).distinct()
-    further = written(met.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "further")
-    across = linked(further, texts)
-    return all_sizes, components(star.select(F.col("node").alias("a"), F.col("component").alias("b")).union(across)).select(F.col("node").alias("sid"), "component")
+    # Pairs under one leader that have to share novel shingles meet by these instead.
+    elsewhere = F.coalesce((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0), F.lit(False))
+    met = x.join(y, ["h", "block"]).where((F.col("component_a") != F.col("component_b")) & meets & fits & enough & ~elsewhere).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+
+    novel = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), F.col("size_a").alias("size"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"), F.explode("novel").alias("h")).join(star, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = novel.groupBy("leader", "h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component")).where("least_component < most_component").select("leader", "h")
+    novel = novel.join(mixed, ["leader", "h"], "left_semi")
+    kept = ("sid", "size", "lacks", "adds", "component")
+    x = novel.select("leader", "h", *(F.col(c).alias(f"{c}_a") for c in kept))
+    y = novel.select("leader", "h", *(F.col(c).alias(f"{c}_b") for c in kept))
+    share = x.join(y, ["leader", "h"]).where((F.col("component_a") != F.col("component_b")) & meets & fits & (_surplus() > 0)).groupBy("sid_a", "sid_b").agg(F.count("*").alias("n"), F.max(_surplus()).alias("surplus")).where("14 * n >= surplus").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+
+    further = met.union(share).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    across = linked(compared(written(further, "further"), texts))
+    return all_sizes, components(star.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(across)).select(F.col("node").alias("sid"), "component")
 
 
 def join_components(docs: DataFrame) -> DataFrame:

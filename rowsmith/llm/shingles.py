@@ -64,7 +64,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
         if b - a >= words:
             out.append(np.unique(joined[a : b - words + 1]))
         elif b > a:
-            out.append(mix(np.array([(word[a:b] * _PLACE[: b - a]).sum() + _PLACE[8 + b - a]], dtype=np.uint64)))
+            k = b - a  # its number of words is part of a short sequence
+            out.append(mix((word[a:b] * _PLACE[:k]).sum(keepdims=True) + _PLACE[8 + k : 9 + k]))
         else:
             out.append(none)
     return out
