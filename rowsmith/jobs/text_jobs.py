@@ -415,7 +415,50 @@ SELECT event_type AS event, user_id::VARCHAR AS user, split_part(props, ' ', 1)
 FROM events WHERE event_id % 3 <> 0 AND regexp_full_match(event_type, '[a-zA-Z]+') GROUP BY ALL
 """
 
+def kv_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snippet for the lines of pairs, from the classes of all their values."""
+    p = _part(spark, sf_dir).select("p_partkey", F.concat(F.lit("name: "), "p_name", F.lit("  type: "), "p_type", F.lit("  size: "), F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.col("p_size"))).alias("line"))
+    return category.block_snippet(category.pairs(p, ["p_partkey"], 3))
+
+
+KV_SNIPPET_SQL = f"""
+SELECT string_agg(variable || ': ' || actual || '(var_' || variable || CASE WHEN or_empty THEN ', or_empty' ELSE '' END || ')', '  ' ORDER BY list_position(['name', 'type', 'size'], variable)) AS snippet FROM ({KV_KEY_PROFILE_SQL})
+"""
+
+
+def column_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment and width of columns: one to the left, one to the right, one in between, the last open."""
+    line = F.concat(_cell("l_linenumber", 6), F.lpad(F.col("l_partkey").cast("string"), 8, " "), F.lit("   "), F.rpad(F.concat(F.repeat(F.lit(" "), F.col("l_linenumber") % 3), F.col("l_returnflag")), 6, " "), F.col("l_suppkey").cast("string"))
+    d = _tables(spark, sf_dir, line, "line  part       flag  supplier\n")
+    return tabular.column_alignment(tabular.rows(d, 4, widths=[6, 11, 6, None], key="l_orderkey"))
+
+
+COLUMN_ALIGNMENT_SQL = """
+WITH c AS (
+  SELECT 0 AS column_no, 0 AS l, length(l_linenumber::VARCHAR) AS w FROM lineitem UNION ALL SELECT 1, 14 - length(l_partkey::VARCHAR), length(l_partkey::VARCHAR) FROM lineitem
+  UNION ALL SELECT 2, 17 + l_linenumber % 3, length(l_returnflag) FROM lineitem UNION ALL SELECT 3, 23, length(l_suppkey::VARCHAR) FROM lineitem),
+n AS (SELECT column_no, w, count(*) AS n FROM c GROUP BY ALL),
+m AS (SELECT column_no, arg_max(w, n * 1000 + w) AS mode, max(w) AS most, count(*) AS kinds, ceil(sum(w * n) / sum(n)) AS mean FROM n GROUP BY column_no),
+e AS (SELECT column_no, count(DISTINCT l) = 1 AS one_left, count(DISTINCT l + w) = 1 AS one_right FROM c GROUP BY column_no)
+SELECT column_no::BIGINT AS column_no, CASE WHEN one_left THEN 'left' WHEN one_right THEN 'right' ELSE 'center' END AS alignment,
+  (CASE WHEN kinds = 1 OR (NOT one_left AND one_right) OR (one_left AND mode = most) THEN most ELSE mean END)::BIGINT AS width
+FROM m JOIN e USING (column_no)
+"""
+
+
+def table_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line rule for each layout of the rows."""
+    return tabular.table_snippets(_rows(spark, sf_dir), _NAMES)
+
+
+TABLE_SNIPPET_SQL = f"""
+WITH p AS (SELECT column_no, actual FROM ({COLUMN_WIDTH_SQL})),
+s AS (SELECT layout, rank, p.column_no AS k, actual || '(var_' || (['line_no', 'part', 'flag', 'supplier'])[p.column_no + 1] || ')' AS part FROM ({ROW_LAYOUTS_SQL}), p WHERE layout[p.column_no + 1] = '1')
+SELECT layout, rank, 'start() ' || string_agg(part, '  ' ORDER BY k) || ' end(space) -> Record' AS snippet FROM s GROUP BY 1, 2
+"""
+
 QUERIES = {
+    "kv_snippet": kv_snippet, "column_alignment": column_alignment, "table_snippet": table_snippet,
     "kv_roundtrip": kv_roundtrip, "kv_key_profile": kv_key_profile, "category_records": category_records, "fixed_width_roundtrip": fixed_width_roundtrip, "pipe_table_roundtrip": pipe_table_roundtrip,
     "rule_table_roundtrip": rule_table_roundtrip, "gap_table_roundtrip": gap_table_roundtrip, "column_width_profile": column_width_profile, "row_layouts": row_layouts,
     "template_parse_filldown": template_parse_filldown, "template_parse_continuation": template_parse_continuation, "continued_lines": continued_lines, "template_parse_lines": template_parse_lines, "snippet_compile": snippet_compile,
@@ -423,6 +466,7 @@ QUERIES = {
     "whitespace_variants": whitespace_variants, "mined_slots": mined_slots, "mined_templates": mined_templates, "diff_templates": diff_templates, "token_symbols": token_symbols, "token_split": token_split, "token_join_capture": token_join_capture,
 }
 ORACLES = {
+    "kv_snippet": KV_SNIPPET_SQL, "column_alignment": COLUMN_ALIGNMENT_SQL, "table_snippet": TABLE_SNIPPET_SQL,
     "kv_roundtrip": KV_ROUNDTRIP_SQL, "kv_key_profile": KV_KEY_PROFILE_SQL, "category_records": CATEGORY_RECORDS_SQL, "fixed_width_roundtrip": TABLE_SQL, "pipe_table_roundtrip": TABLE_SQL,
     "rule_table_roundtrip": TABLE_SQL, "gap_table_roundtrip": TABLE_SQL, "column_width_profile": COLUMN_WIDTH_SQL, "row_layouts": ROW_LAYOUTS_SQL,
     "template_parse_filldown": TEMPLATE_FILLDOWN_SQL, "template_parse_continuation": TEMPLATE_CONTINUATION_SQL, "continued_lines": CONTINUED_SQL, "template_parse_lines": PARSE_LINES_SQL, "snippet_compile": SNIPPET_COMPILE_SQL,

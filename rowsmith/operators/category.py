@@ -99,3 +99,17 @@ def records(docs: DataFrame, names: list[str], key: str = "doc_id", text: str =
     d = docs.select(key, F.transform(found, lambda p: F.struct(variable_of(p["key"]).alias("key"), p["value"].alias("value"))).alias("_pairs"))
     cell = lambda n: F.coalesce(F.get(F.filter("_pairs", lambda p: p["key"] == n), 0)["value"], F.lit(""))
     return d.select(key, *(cell(n).alias(n) for n in names), (F.size("_pairs") > 0).alias("is_category"))
+
+
+def block_snippet(found: DataFrame) -> DataFrame:
+    """snippet: one line of `key: class(var_name)` for all keys of pairs(), in the order of their first places.
+
+    One row a key is gathered, as many as there are keys.
+    """
+    from .profiles import class_of_sets
+
+    first = found.groupBy("variable").agg(F.min(F.struct("pair_no", "key")).alias("first"))
+    profile = class_of_sets(found.select("variable", "value"), ["variable"]).join(first, "variable")
+    slot = F.when(F.col("actual").isNull(), F.concat(F.lit("something(var_"), "variable", F.lit(", or_empty)"))).otherwise(F.concat("actual", F.lit("(var_"), "variable", F.when(F.col("or_empty"), ", or_empty").otherwise(""), F.lit(")")))
+    part = F.concat(F.col("first.key"), F.lit(": "), slot)
+    return profile.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("first.pair_no").alias("o"), part.alias("part")))), lambda x: x["part"]), "  ").alias("snippet"))

@@ -61,6 +61,18 @@ def cells_of(line: Column, starts: Column, divider: str = "") -> Column:
     return F.transform(starts, cell)
 
 
+def edges_of(line: Column, starts: Column) -> Column:
+    """array<struct<left, right>>: where the text of each cell begins and ends; null for empty cells."""
+    n = F.size(starts)
+
+    def edge(start: Column, i: Column) -> Column:
+        raw = F.when(i + 1 < n, F.substring(line, start + 1, F.get(starts, i + 1) - start)).otherwise(F.substring(line, start + 1, F.greatest(F.length(line), F.lit(1))))
+        left = start + F.length(raw) - F.length(F.ltrim(raw))
+        return F.when(F.trim(raw) != "", F.struct(left.cast("long").alias("left"), (left + F.length(F.trim(raw))).cast("long").alias("right")))
+
+    return F.transform(starts, edge)
+
+
 def layout_of(cells: Column) -> Column:
     """1 for each cell with content, else 0."""
     return F.array_join(F.transform(cells, lambda c: F.when(c == "", "0").otherwise("1")), "")
@@ -79,13 +91,13 @@ def rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | No
     d = d.withColumn("ref", F.get(F.filter("lines", lambda s: fits(s["x"])), 0)).where("ref IS NOT NULL").withColumn("starts", start_of(F.col("ref.x")))
     body = F.filter("lines", lambda s: (s["i"] > F.col("ref.i")) & ~is_symbols(s["x"]) & s["x"].rlike("[^ ]"))
     d = d.select(key, "starts", F.posexplode(body).alias("n", "s"))
-    d = d.select(key, F.col("n").cast("long").alias("row_no"), cells_of(F.col("s.x"), F.col("starts"), divider).alias("cells"))
+    d = d.select(key, F.col("n").cast("long").alias("row_no"), cells_of(F.col("s.x"), F.col("starts"), divider).alias("cells"), edges_of(F.col("s.x"), F.col("starts")).alias("edges"))
     return d.withColumn("layout", layout_of(F.col("cells")))
 
 
 def named(found: DataFrame, names: list[str]) -> DataFrame:
     """rows() with a column for each cell."""
-    return found.select(*(c for c in found.columns if c not in ("cells", "layout")), *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    return found.select(*(c for c in found.columns if c not in ("cells", "edges", "layout")), *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
 def header_names(headers: list[str]) -> list[str]:
@@ -109,6 +121,39 @@ def column_profile(found: DataFrame, keys: list[str] = ()) -> DataFrame:
     return p.withColumn("class", class_of(F.col("_mask"))).withColumn("actual", actual_of(F.col("_mask"))).drop("_mask")
 
 
+def column_alignment(found: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """For each column number: alignment by its distinct edges, and the width that it is given.
+
+    One left edge: left; else one right edge: right; else center. The width is that of all cells if they
+    agree, or the most if the edge is on the right or most cells have it, else the mean, rounded up.
+    """
+    e = found.select(*keys, F.posexplode("edges").alias("n", "e"), "cells").select(*keys, F.col("n").cast("long").alias("column_no"), "e", F.length(F.get("cells", F.col("n"))).alias("w")).where("e IS NOT NULL")
+    widths = e.groupBy(*keys, "column_no", "w").agg(F.count("*").alias("n"))
+    common = widths.groupBy(*keys, "column_no").agg(F.max_by("w", F.struct("n", "w")).alias("mode"), F.max("w").alias("most"), F.count("*").alias("kinds"), F.ceil(F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
+    edges = e.groupBy(*keys, "column_no").agg((F.min("e.left") == F.max("e.left")).alias("one_left"), (F.min("e.right") == F.max("e.right")).alias("one_right"))
+    width = F.when((F.col("kinds") == 1) | (~F.col("one_left") & F.col("one_right")) | (F.col("one_left") & (F.col("mode") == F.col("most"))), F.col("most")).otherwise(F.col("mean"))
+    alignment = F.when(F.col("one_left"), "left").when(F.col("one_right"), "right").otherwise("center")
+    return common.join(edges, [*keys, "column_no"]).select(*keys, "column_no", alignment.alias("alignment"), width.cast("long").alias("width"))
+
+
+def pick_headers(docs: DataFrame, picks: list[int | str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, headers: the lines of each document at the given places or with the given texts, in their order."""
+    lines = F.transform(lines_of(F.col(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    wanted = lambda s: F.coalesce(*([F.lit(None)] + [F.when((s["i"] == p) if isinstance(p, int) else s["x"].contains(p), True) for p in picks]), F.lit(False))
+    return docs.select(key, F.transform(F.filter(lines, wanted), lambda s: s["x"]).alias("headers"))
+
+
+def table_snippets(found: DataFrame, names: list[str]) -> DataFrame:
+    """layout, snippet: a line rule for each distinct layout of the rows, in descending order of layouts.
+
+    A full cell is a slot of its column's class; an empty stretch between slots is a run of blanks.
+    """
+    slots = column_profile(found).select(F.array_sort(F.collect_list(F.struct("column_no", "actual", "n_empty"))).alias("columns"))  # a row for each column
+    parts = F.transform("columns", lambda c, i: F.when(F.substring("layout", i + 1, 1) == "1", F.concat(c["actual"], F.lit("(var_"), F.get(F.array(*map(F.lit, names)), i), F.lit(")"))))
+    line = F.array_join(F.array_compact(parts), "  ")
+    return layouts(found).join(F.broadcast(slots)).select("layout", "rank", F.concat(F.lit("start() "), line, F.lit(" end(space) -> Record")).alias("snippet"))
+
+
 def layouts(found: DataFrame) -> DataFrame:
     """layout, n, rank in descending order of layouts: one template rule each."""
     from pyspark.sql import Window
