@@ -37,7 +37,7 @@ COMMON_IN_RUN, COMMON_SHARE, COMMON_KEPT = 4, 0.004, 50_000
 SALTS = 64
 COMMON_COUNT = 1 << 40
 #: Rounds of leaders at most, and the share of its pairs that a round has to link for another to follow.
-ROUNDS, WORTH = 8, 0.1
+ROUNDS, WORTH = 1, 0.1
 
 
 def shared_least(size):
