@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -19,8 +21,10 @@ SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
 # Fixed values of byte-level vocabularies: printable bytes stand for themselves, others for 256 and up.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
-#: Pieces kept by a worker, and the longest that is kept.
-KEPT, LONGEST = 400_000, 48
+BLANK = chr(_BYTES[32])
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+#: Pieces of one generation kept by a worker, two at most, and the longest that is kept.
+KEPT, LONGEST = 250_000, 48
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -37,6 +41,7 @@ class Encoder:
 
         self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
         self.known, self.stems, self.tails = {}, {}, {"": b""}
+        self.known_before, self.stems_before = {}, {}
         self.model = self.tokenizer.model
 
     @classmethod
@@ -57,35 +62,43 @@ class Encoder:
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
 
-    def _simple(self, blank: str, stem: str, tail: str) -> bytes:
-        """Ids of a stem, one pre-token that goes to the model as it is, and of the punctuation after it."""
-        key = blank + stem if self.blanks else stem.lower()
-        if (ids := self.stems.get(key)) is None:
-            if key.strip().isalpha():
-                found = self.model.tokenize(key.encode().decode("latin-1").translate(_BYTES))
-                ids = np.array([t.id for t in found], dtype="<u4").tobytes()
-            else:
-                ids = self._ids([key])[0]
-            self.stems[key] = ids
+    def _stem(self, blank: str, stem: str) -> bytes:
+        """Ids of letters, one pre-token that goes to the model as it is."""
+        if not self.blanks:
+            stem = stem.lower()
+        mapped = (BLANK + stem if blank else stem) if stem.isascii() else (blank + stem).encode().decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes() if stem.isalpha() else self._ids([blank + stem])[0]
+
+    def _tail(self, tail: str) -> bytes:
+        """Ids of the punctuation after a word."""
         if tail not in self.tails:
             if len(self.tails) > KEPT:
                 self.tails = {"": b""}
             self.tails[tail] = self._ids([tail])[0]
-        return ids + self.tails[tail]
+        return self.tails[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) for t in texts]
         pieces = set().union(*cut)
+        # What is used again moves on from the generation before, so frequent pieces stay known.
         if len(self.known) > KEPT:
-            self.known = {}
+            self.known, self.known_before = {}, self.known
         if len(self.stems) > KEPT:
-            self.stems = {}
+            self.stems, self.stems_before = {}, self.stems
         now, hard = {}, []
-        for p in pieces - self.known.keys():
-            if len(p) <= LONGEST and (m := SIMPLE.fullmatch(p)):
-                self.known[p] = self._simple(*m.groups())
-            else:
-                hard.append(p)
+        known, before, stems, stems_before, match = self.known, self.known_before, self.stems, self.stems_before, SIMPLE.fullmatch
+        for p in pieces - known.keys():
+            if (ids := before.get(p)) is None:
+                if len(p) > LONGEST or not (m := match(p)):
+                    hard.append(p)
+                    continue
+                blank, stem, tail = m.groups()
+                key = blank + stem
+                if (ids := stems.get(key)) is None:
+                    ids = stems[key] = stems_before.get(key) or self._stem(blank, stem)
+                if tail:
+                    ids += self._tail(tail)
+            known[p] = ids
         for a in range(0, len(hard), 2000):
             some = hard[a : a + 2000]
             for piece, ids in zip(some, self._ids(some)):
