@@ -82,6 +82,20 @@ def _g(na: int, nb: int) -> Column:
     return 2 * (part(a, na * p) + part(b, nb * p) + part(na - a, na * (1 - p)) + part(nb - b, nb * (1 - p)))
 
 
+def without_shorter(counts: DataFrame) -> DataFrame:
+    """Terms with their counts, without beginnings that stand in the same documents as a longer term.
+
+    The documents of a beginning hold those of all its continuations, so equal counts mean equal
+    documents, and those of any length between too: one step longer is all that has to be looked at.
+    Words, and beginnings of different words, stay whatever their counts.
+    """
+    n = F.octet_length("term")
+    bare = n - F.when(F.expr("substring(term, -1, 1) = X'2A'"), 1).otherwise(0)
+    shorter = F.least(bare - 1, F.lit(STEMS[-1]))
+    longer = counts.where(bare > STEMS[0]).select(F.concat(F.substring(F.col("term"), F.lit(1), shorter), F.expr("X'2A'")).alias("term"), "a", "b")
+    return counts.join(longer, ["term", "a", "b"], "left_anti")
+
+
 def fit_ordinal(rows: list[np.ndarray], cols: np.ndarray, values: np.ndarray, grades: np.ndarray, terms: int, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by gradient descent on the negative log-likelihood.
 
@@ -135,8 +149,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     if total is None or not total["a"] or not total["b"]:
         return nothing
     na, nb = total["a"], total["b"]
-    # Of terms in equally many documents of both kinds, mostly beginnings of one word, the longest stays.
-    top = counts.where("octet_length(term) > 0").withColumn("g", _g(na, nb)).where(F.col("g") >= LEAST_G).groupBy("a", "b", "g").agg(F.max_by("term", F.octet_length("term")).alias("term")).orderBy(F.desc("g"), "term").limit(TERMS).collect()
+    top = without_shorter(counts.where("octet_length(term) > 0")).withColumn("g", _g(na, nb)).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
     terms = {bytes(r["term"]): k for k, r in enumerate(top)}
     if not terms:
         return nothing

@@ -50,3 +50,17 @@ def test_no_labels_reject_nothing(spark):
 def test_features():
     assert t.features_of(b"abcdef") == [b"abcdef", b"abcd*", b"abcde*"]
     assert t.words_of("A-b 1c É") == [b"a", b"b", b"c", "É".encode()]
+
+
+def test_words_with_equal_counts_all_stay(spark):
+    texts = ["calm plain text" + [" scum", " disgusting", "", "", "", ""][i % 6] for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 < 2)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = t.fitted(docs(spark, texts), labels)
+    assert {b"scum", b"disgusting"} <= set(model.terms) and b"disg*" not in model.terms
+    assert all(model.likelihoods(w)[0] > 0.5 for w in ("scum", "disgusting")) and model.likelihoods("plain")[0] < 0.5
+
+
+def test_only_beginnings_in_the_same_documents_go(spark):
+    rows = [(b"idiot", 3, 1), (b"idio*", 5, 1), (b"idiots", 3, 1), (b"idiot*", 3, 1), (b"scum", 3, 1), (b"disgustingly", 3, 1), (b"disgustin*", 3, 1), (b"disgusti*", 3, 1), (b"loser", 3, 0), (b"lose*", 3, 1)]
+    got = t.without_shorter(spark.createDataFrame([(bytearray(x), a, b) for x, a, b in rows], "term binary, a long, b long")).collect()
+    assert {bytes(r.term) for r in got} == {b"idiot", b"idio*", b"idiots", b"scum", b"disgustingly", b"loser", b"lose*"}
