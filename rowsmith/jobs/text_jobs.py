@@ -374,7 +374,7 @@ SELECT cluster, n_tokens, max(n) AS n, string_agg(coalesce(literal, actual || '(
 def diff_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Patterns with optional slots from pairs of differing lines, tested on every line of their cluster."""
     log = _logs(spark, sf_dir)
-    found = mining.sampled_patterns(log, "event_type")
+    found = mining.matching_patterns(log, "event_type")
     # A pattern for each cluster; all lines of the cluster are tested against it.
     tested = log.join(F.broadcast(found), "event_type")
     ok = F.expr("rlike(line, concat('^(?:', regexp_replace(pattern, '[(][?]P<[A-Za-z0-9]+>', '('), ')$'))")

@@ -74,52 +74,174 @@ def segments(a: str, b: str) -> list[tuple[str, str, str]]:
     return [(k, " ".join(p), " ".join(q)) for k, p, q in out]
 
 
-def pair_pattern(a: str, b: str, level: str = "actual") -> tuple[str, str] | None:
-    """(pattern, snippet) for two lines; a slot that one of them lacks is optional, with its gap."""
-    pattern, snippet, n, gap = "", [], 0, ""
+def pair_parts(a: str, b: str, level: str = "actual") -> list[tuple[str, bool | None]] | None:
+    """(literal, None) or (sub-pattern, whether one of the lines lacks it) in the order of two lines."""
+    parts: list[tuple[str, bool | None]] = []
     for kind, p, q in segments(a, b):
         if kind == "common":
-            pattern += gap + " +".join(map(re.escape, p.split()))
-            snippet.append(p)
-            gap = " +"
+            parts.append((p, None))
             continue
         both = [v for v in (p, q) if v]
         name = class_of_values(both, level)
         if name is None or name not in c.PATTERN:
             return None
-        slot = f"(?P<v{n}>{c.PATTERN[name]})"
-        if len(both) == 2:
+        parts.append((name, len(both) == 1))
+    return parts
+
+
+def assembled(parts: list[tuple[str, bool | None]]) -> tuple[str, str]:
+    """(pattern, snippet) of parts; an optional slot goes with its gap."""
+    pattern, snippet, n, gap = "", [], 0, ""
+    for text, optional in parts:
+        if optional is None:
+            pattern += gap + " +".join(map(re.escape, text.split()))
+            snippet.append(text)
+            gap = " +"
+            continue
+        slot = f"(?P<v{n}>{c.PATTERN[text]})"
+        if not optional:
             pattern += gap + slot
             gap = " +"
         else:
             pattern += f"(?:{gap}{slot})?" if gap else f"(?:{slot} +)?"
-        snippet.append(f"{name}(var_v{n}{', or_empty' if len(both) == 1 else ''})")
+        snippet.append(f"{text}(var_v{n}{', or_empty' if optional else ''})")
         n += 1
     return pattern, " ".join(snippet)
 
 
-def general_pattern(lines: list[str]) -> tuple[str, str] | None:
-    """The first pattern of two lines, in the order of combinations, that matches all of them; by exact
-    classes first, then by widened ones, then by their white-space ancestors."""
+def pair_pattern(a: str, b: str, level: str = "actual") -> tuple[str, str] | None:
+    """(pattern, snippet) for two lines; a slot that one of them lacks is optional, with its gap."""
+    parts = pair_parts(a, b, level)
+    return None if parts is None else assembled(parts)
+
+
+def candidates(lines: list[str]) -> dict[str, list[tuple[str, bool | None]]]:
+    """Patterns of two lines, with their parts, that match all of them, in the order of combinations; by
+    exact classes first, then by widened ones, then by their white-space ancestors."""
     lines = list(dict.fromkeys(x.strip() for x in lines if x.strip()))
+    out: dict[str, list[tuple[str, bool | None]]] = {}
     for level in ("actual", "lessen", "root"):
         for a, b in combinations(lines, 2):
-            found = pair_pattern(a, b, level)
-            if found and all(re.fullmatch(found[0], x) for x in lines):
-                return found
-    return None
+            parts = pair_parts(a, b, level)
+            if parts is not None and (pattern := assembled(parts)[0]) not in out and all(re.fullmatch(pattern, x) for x in lines):
+                out[pattern] = parts
+    return out
 
 
-def sampled_patterns(lines: DataFrame, cluster: str, line: str = "line", sample: int = 12) -> DataFrame:
-    """cluster, pattern, snippet from a bounded sample of the distinct lines of each cluster."""
-    w = Window.partitionBy(cluster).orderBy(F.length(line), line)
-    few = lines.select(cluster, line).distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= sample).groupBy(cluster).agg(F.array_sort(F.collect_list(F.struct("_k", line))).alias("all"))
-    few = few.select(cluster, F.transform("all", lambda s: s[line]).alias("lines"))
-
-    def find(batches):
+def general_pattern(lines: list[str]) -> tuple[str, str] | None:
+    """The first of the candidates of these lines."""
+    return next((assembled(parts) for parts in candidates(lines).values()), None)
+
+
+def value_mask(value: str) -> int:
+    """The mask of one value, outside Spark."""
+    m = 1 << c.PLURAL_BIT if len(value.split()) > 1 else 0
+    return m | sum(1 << k for k, (_, _, _, plain) in enumerate(c.SUBS) if re.fullmatch(plain, value))
+
+
+def refined(parts: list[tuple[str, bool | None]], masks: list[int]) -> list[tuple[str, bool | None]]:
+    """parts with the classes that the masks of all values of their slots give."""
+    left, out = iter(masks), []
+    for text, optional in parts:
+        if optional is not None:
+            m = next(left)
+            if m >> c.PLURAL_BIT & 1:
+                m &= ~c.SINGLE_OR_MORE
+            text = next((sub for k, (_, sub, _, _) in enumerate(c.SUBS) if m >> k & 1), text)
+        out.append((text, optional))
+    return out
+
+
+def _samples(lines: DataFrame, cluster: str, line: str, sample: int) -> DataFrame:
+    """cluster, line: the shortest and longest line of each number of tokens, `sample` of them spread
+    evenly over the lengths where there are more."""
+    x = F.struct(F.length(line).alias("length"), F.col(line).alias("line"))
+    ends = lines.groupBy(cluster, F.size(tokens_of(F.col(line))).alias("n_tokens")).agg(F.min(x).alias("least"), F.max(x).alias("most"))
+    ends = ends.select(cluster, F.explode(F.array("least", "most")).alias("x")).distinct()
+    w = Window.partitionBy(cluster)
+    k, n = F.row_number().over(w.orderBy("x")) - 1, F.count("*").over(w)
+    # Of n lines those stay at which k * (sample - 1) / (n - 1) reaches a further whole number.
+    spread = lambda k: F.floor(k * (sample - 1) / F.greatest(n - 1, F.lit(1)))
+    return ends.withColumn("keep", (n <= sample) | (k == 0) | (spread(k) > spread(k - 1))).where("keep").select(cluster, F.col("x.line").alias("line"))
+
+
+def matching_patterns(lines: DataFrame, cluster: str, line: str = "line", sample: int = 12, rounds: int = 8) -> DataFrame:
+    """cluster, pattern, snippet: the first candidate that matches all lines of the cluster.
+
+    Candidates come from pairs of a bounded sample and are tested on every line. Where all of them fail,
+    for each the least line that it fails on joins the sample for the next round. The classes of the
+    slots are those of their values in all lines. Pattern and snippet are null where no candidate of any
+    round matches all lines. Sample and candidates of each cluster pass through the driver.
+    """
+    x = F.trim(F.regexp_replace(F.col(line), r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z", ""))
+    own = lines.select(F.col(cluster).alias("cluster"), x.alias("line")).where("line <> ''")
+    open_: dict = {}
+    for r in _samples(own, "cluster", "line", sample).collect():
+        open_.setdefault(r["cluster"], []).append(r["line"])
+    found: dict = dict.fromkeys(open_)
+    for _ in range(rounds):
+        tried = {k: got for k, some in open_.items() if (got := candidates(sorted(set(some), key=lambda s: (len(s), s))))}
+        if not tried:
+            break
+        fails: dict = {k: set() for k in tried}
+        masks: dict = {}
+        for r in _tested(own, {k: list(got) for k, got in tried.items()}).collect():
+            if r["fail"] is not None:
+                fails[r["cluster"]].add((r["k"], r["fail"]["line"]))
+            elif r["slot"] >= 0:
+                masks.setdefault((r["cluster"], r["k"]), {})[r["slot"]] = r["mask"]
+        nxt = {}
+        for key, got in tried.items():
+            dead = {k for k, _ in fails[key]}
+            first = next((k for k in range(len(got)) if k not in dead), None)
+            if first is None:
+                more = sorted({x for _, x in fails[key]}, key=lambda s: (len(s), s))
+                nxt[key] = open_[key] + more[:sample]
+                continue
+            parts, seen = list(got.values())[first], masks.get((key, first), {})
+            found[key] = assembled(refined(parts, [seen.get(i, 0) for i in range(sum(o is not None for _, o in parts))]))
+        open_ = nxt
+    rows = [(k, *(p or (None, None))) for k, p in found.items()]
+    kind = lines.select(F.col(cluster).alias(cluster)).schema[0].dataType.simpleString()
+    return lines.sparkSession.createDataFrame(rows, f"`{cluster}` {kind}, pattern string, snippet string")
+
+
+def _tested(lines: DataFrame, patterns: dict) -> DataFrame:
+    """cluster, k, slot, mask, fail: for pattern k of a cluster the least line that it fails on (at slot -1), and
+    the masks of all values of its slots. Each task hands on a bounded number of rows; a pattern that
+    failed in a task is not tried there on longer lines."""
+    shared = lines.sparkSession.sparkContext.broadcast(patterns)
+
+    def test(batches):
+        import pandas as pd
+
+        compiled = {key: [re.compile(p) for p in ps] for key, ps in shared.value.items()}
+        fails: dict = {}
+        masks: dict = {}
+        memo: dict = {}
         for pdf in batches:
-            got = [general_pattern(list(x)) or (None, None) for x in pdf["lines"]]
-            yield pdf[[cluster]].assign(pattern=[p for p, _ in got], snippet=[s for _, s in got])
-
-    kind = dict(few.dtypes)[cluster]
-    return few.mapInPandas(find, f"{cluster} {kind}, pattern string, snippet string")
+            for key, x in zip(pdf["cluster"], pdf["line"]):
+                for k, p in enumerate(compiled.get(key, ())):
+                    at, size = (key, k), (len(x), x)
+                    if at in fails and fails[at] <= size:
+                        continue
+                    m = p.fullmatch(x)
+                    if m is None:
+                        fails[at] = size
+                    elif at not in fails:
+                        own = masks.setdefault(at, [-1] * len(p.groupindex))
+                        for slot in range(len(own)):
+                            v = m[f"v{slot}"]
+                            if v:
+                                if len(memo) > 100_000:
+                                    memo.clear()
+                                if v not in memo:
+                                    memo[v] = value_mask(v)
+                                own[slot] &= memo[v]
+        rows = [(key, k, -1, -1, n, x) for (key, k), (n, x) in fails.items()]
+        rows += [(key, k, slot, m, -1, None) for (key, k), ms in masks.items() if (key, k) not in fails for slot, m in enumerate(ms) if m != -1]
+        yield pd.DataFrame(rows, columns=["cluster", "k", "slot", "mask", "length", "line"])
+
+    kind = lines.schema["cluster"].dataType.simpleString()
+    t = lines.mapInPandas(test, f"cluster {kind}, k int, slot int, mask long, length int, line string")
+    return t.groupBy("cluster", "k", "slot").agg(F.bit_and("mask").alias("mask"), F.min(F.when(F.col("line").isNotNull(), F.struct("length", "line"))).alias("fail"))

@@ -150,3 +150,25 @@ def test_headers_alignment_and_snippets(spark):
     assert [r.snippet for r in tabular.table_snippets(found, ["name", "size"]).collect()] == ["start() letters(var_name)  digits(var_size) end(space) -> Record"]
     lines = spark.createDataFrame([("a: 1  b: x y",), ("a: 22  b:",)], "line string")
     assert category.block_snippet(category.pairs(lines, ["line"], 2)).first()[0] == "a: digits(var_a)  b: phrase(var_b, or_empty)"
+
+
+def test_patterns_match_all_lines(spark):
+    """The shortest lines have one form; the patterns have to cover the others too."""
+    lines = [("click", f"click by user {i}{' again' if i % 3 == 0 and i > 20 else ''} with ab{i % 7} cd") for i in range(400)] + [("boot", "boot ok"), ("boot", "boot ok"), ("odd", None), ("odd", "  "), ("odd", "x\ty"), ("odd", "x y z")]
+    d = spark.createDataFrame(lines, "kind string, line string")
+    got = {r.kind: r for r in mining.matching_patterns(d, "kind").collect()}
+    assert all(re.fullmatch(got["click"].pattern, x) for k, x in lines if k == "click")
+    assert got["boot"].pattern is None and "click" in got["click"].snippet
+
+
+def test_slot_classes_come_from_all_lines(spark):
+    lines = [f"put {i} to k" for i in range(1, 300)] + ["put 1.5 to k"]
+    d = spark.createDataFrame([("put", x) for x in lines], "kind string, line string").repartition(3)
+    assert [(r.snippet) for r in mining.matching_patterns(d, "kind", sample=2).collect()] == ["put number(var_v0) to k"]
+
+
+def test_diff_templates_cover_their_clusters(spark):
+    from rowsmith.jobs import text_jobs
+
+    rows = text_jobs.diff_templates(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 5 and all(r.pattern and r.n == r.n_matched for r in rows)
