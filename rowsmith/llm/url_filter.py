@@ -13,8 +13,8 @@ from .common import table, written
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Labelled URLs that the trees are trained on, at most about so many, by the hash of the URL.
 SAMPLE = 20_000
-#: Suffixes and first path parts whose statistics are kept; the rarest beyond count as unknown.
-SUFFIXES = 1000
+#: Suffixes and first path parts, fewer than so many of each, whose statistics are broadcast; the others are joined.
+HOT = 1000
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "secure", "last_part_length", "suffix_rate", "part_rate"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,14 +58,31 @@ def _lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def _rates(labelled: DataFrame, key: str) -> DataFrame:
-    """Smoothed share of blocked URLs by suffix or first path part: SUFFIXES rows at most."""
-    return labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).orderBy(F.desc("n"), key).limit(SUFFIXES).select(key, ((F.col("blocked") + 1) / (F.col("n") + 2)).alias(f"{key}_rate"))
+def _rates(labelled: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled and blocked URLs by suffix or first path part: of the most frequent keys, and of all others."""
+    counts = written(labelled.groupBy(key).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), f"{key}-rates")
+    top = counts.orderBy(F.desc("n"), key).limit(HOT).agg(F.count("*").alias("rows"), F.min("n").alias("least")).first()
+    # Where there are HOT keys or more, those no more frequent than the last of them are joined.
+    least = top["least"] if top["rows"] == HOT else 0
+    return counts.where(F.col("n") > least), counts.where(F.col("n") <= least)
 
 
-def _with_rates(urls: DataFrame, rates: list[tuple[str, DataFrame]]) -> DataFrame:
-    for key, r in rates:
-        urls = urls.join(F.broadcast(r), key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(0.5)))
+def _with_rates(urls: DataFrame, rates: list[tuple[str, DataFrame, DataFrame]], own: Column | None = None) -> DataFrame:
+    """urls with the smoothed share of blocked URLs by each key, 0.5 for one without labelled URLs.
+
+    own is the label of URLs that are counted in the rates: each is then left out of its own rate, so
+    that a key of one URL does not give its label away and counts as an unseen one does.
+    """
+    for key, hot, others in rates:
+        urls = urls.join(F.broadcast(hot), key, "left")
+        # Rows of hot keys have theirs; dealt by their URLs, they do not meet in one task.
+        rest = others.select(F.col(key).alias("_key"), F.lit(0).cast("long").alias("_deal"), F.col("n").alias("_n"), F.col("blocked").alias("_blocked"))
+        urls = urls.withColumn("_k", F.when(F.col("n").isNull(), F.col(key))).withColumn("_d", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.xxhash64("url")))
+        urls = urls.join(rest, (F.col("_k") == F.col("_key")) & (F.col("_d") == F.col("_deal")), "left")
+        n, blocked = F.coalesce("n", "_n", F.lit(0)), F.coalesce("blocked", "_blocked", F.lit(0.0))
+        if own is not None:
+            n, blocked = n - 1, blocked - own
+        urls = urls.withColumn(f"{key}_rate", (blocked + 1) / (n + 2)).drop("n", "blocked", "_k", "_d", "_key", "_deal", "_n", "_blocked")
     return urls
 
 
@@ -75,11 +92,11 @@ class Filter:
     def __init__(self, labelled: DataFrame, most: int = SAMPLE):
         """labelled: url, host, path and label (1.0: to be blocked). Both labels have to occur."""
         features = _lexical(labelled)
-        self.rates = [(k, written(_rates(features, k), f"{k}-rates")) for k in ("suffix", "part")]
+        self.rates = [(k, *_rates(features, k)) for k in ("suffix", "part")]
         n = max(1, labelled.count())
         sample = features.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30)))
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = written(_with_rates(sample.repartition(4, "url"), self.rates).select("label", *FEATURES), "urls")
+        train = written(_with_rates(sample.repartition(4, "url"), self.rates, F.col("label")).select("label", *FEATURES), "urls")
         self.model = GBTClassifier(maxIter=12, maxDepth=3, seed=11, featuresCol="features", labelCol="label").fit(self.assembler.transform(train))
 
     def judged(self, urls: DataFrame) -> DataFrame:

@@ -58,3 +58,25 @@ def test_held_out_accuracy(spark):
     d = spark.createDataFrame(rows, "url string, host string, path string, label double").withColumn("i", __import__("pyspark").sql.functions.crc32("url"))
     judged = u.Filter(d.where("i % 4 <> 0").drop("i")).judged(d.where("i % 4 = 0").drop("i")).select("label", "blocked_likelihood").collect()
     assert len(judged) > 200 and sum((r.blocked_likelihood >= 0.5) == (r.label > 0) for r in judged) > 0.95 * len(judged)
+
+
+def test_rates_of_all_keys(spark, monkeypatch):
+    """Rare first path parts have their statistics too, and no URL is lost or doubled."""
+    monkeypatch.setattr(u, "HOT", 3)
+    part = lambda i: f"p{i % 50 if i < 500 else 0}"
+    label = lambda i: float(i % 50 % 2)
+    d = spark.createDataFrame([(f"http://h{i}.org/{part(i)}/x", f"h{i}.org", f"/{part(i)}/x", label(i)) for i in range(600)], "url string, host string, path string, label double")
+    rates = [(k, *u._rates(u._lexical(d), k)) for k in ("suffix", "part")]
+    assert 0 < rates[1][1].count() < 3 and rates[1][1].count() + rates[1][2].count() == 50
+    new = spark.createDataFrame([(f"http://n.org/p{i}/y", "n.org", f"/p{i}/y") for i in range(51)], "url string, host string, path string")
+    rows = u._with_rates(u._lexical(new), rates).collect()
+    counts = {k: [label(i) for i in range(600) if part(i) == k] for k in {part(i) for i in range(600)}}
+    assert len(rows) == 51
+    for r in rows:
+        seen = counts.get(r.part, [])
+        assert abs(r.part_rate - (sum(seen) + 1) / (len(seen) + 2)) < 1e-12
+    # A labelled URL is left out of its own rates.
+    own = u._with_rates(u._lexical(d), rates, __import__("pyspark").sql.functions.col("label")).collect()
+    assert len(own) == 600
+    for r in own:
+        assert abs(r.part_rate - (sum(counts[r.part]) - r.label + 1) / (len(counts[r.part]) + 1)) < 1e-12
