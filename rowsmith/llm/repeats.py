@@ -1,14 +1,14 @@
 """Removal of repeated passages: every byte inside a 100-byte string that also starts earlier.
 
 A longest-previous-factor array says for each position of a text how long a string starts there that
-also starts earlier. In suffix order that is the longer of two common prefixes: with the nearest
-smaller position before and with the nearest smaller one behind. Bytes go where it reaches 100.
+also starts earlier. Bytes go where it reaches 100, which is just where the 100-byte window is equal to
+an earlier one; so the windows are sorted and equal neighbours compared, not whole suffixes.
 
-The suffix order of a corpus is built in buckets. The bucket of a 100-byte window is the smallest
+Windows meet in buckets. The bucket of a 100-byte window is the smallest
 hashed 24-byte string in it, so that equal windows share a bucket wherever they stand, and windows in
 a row with one bucket form a block. Equal blocks are named first, as in prefix-free parsing: in each
 bucket the first of equal blocks stays, the later copies are repeats as wholes. Only the first blocks
-of a bucket with different blocks (edges of passages, near copies) need their suffixes sorted.
+of a bucket with different blocks (edges of passages, near copies) need their windows sorted.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ LENGTH, GRAM = 100, 24
 #: A bucket is noted as frequent where so many blocks of a run of texts fall into it; the most frequent
 #: ones noted are known to all tasks, which deal their copies into SALTS parts before they meet.
 NOTED_IN_RUN, NOTED_SHARE, NOTED_KEPT, SALTS = 8, 0.01, 50_000, 64
-#: Different blocks of one bucket whose suffixes one task sorts; larger buckets go window by window.
+#: Different blocks of one bucket whose windows one task sorts; larger buckets go window by window.
 BUCKET_BLOCKS = 40_000
 #: Bytes of blocks that are sorted at once, whole buckets each.
 CHUNK = 2_000_000
