@@ -67,7 +67,7 @@ class Encoder:
         if not self.blanks:
             stem = stem.lower()
         mapped = (BLANK + stem if blank else stem) if stem.isascii() else (blank + stem).encode().decode("latin-1").translate(_BYTES)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes() if stem.isalpha() else self._ids([blank + stem])[0]
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _tail(self, tail: str) -> bytes:
         """Ids of the punctuation after a word."""
@@ -89,7 +89,8 @@ class Encoder:
         known, before, stems, stems_before, match = self.known, self.known_before, self.stems, self.stems_before, SIMPLE.fullmatch
         for p in pieces - known.keys():
             if (ids := before.get(p)) is None:
-                if len(p) > LONGEST or not (m := match(p)):
+                # Some capitals are a letter and a mark in lower case; the mark then belongs to what follows.
+                if len(p) > LONGEST or not (m := match(p)) or not (p.isascii() or m[2].lower().isalpha()):
                     hard.append(p)
                     continue
                 blank, stem, tail = m.groups()

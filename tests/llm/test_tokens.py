@@ -28,6 +28,24 @@ def test_ids_are_the_librarys(path, blanks):
     assert Encoder.of(path, blanks).encode(odd) == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in odd]
 
 
+@pytest.mark.parametrize("path, blanks", [(packing.byte_tokenizer(), True), (token_files.word_tokenizer(), False)])
+def test_ids_are_the_librarys_over_all_of_unicode(path, blanks):
+    """Letters whose lower case holds a mark, letters before punctuation, and any code point at all."""
+    import random
+
+    whole, rng = Tokenizer.from_file(path), random.Random(7)
+    letters = [chr(c) for c in (*range(33, 127), *range(0xC0, 0x250))]
+
+    def one():
+        x = rng.random()
+        if x < 0.4:
+            return rng.choice("İſŉĳǅÅéßΣK'\".,_$ \n\t1\u0307\u0301\xa0")
+        return rng.choice(letters) if x < 0.8 else chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)]))
+
+    texts = ["ALİ.", "23 İ'", "日本Å\nİ_", *("".join(one() for _ in range(rng.randrange(15))) for _ in range(5000))]
+    assert Encoder.of(path, blanks).encode(texts) == [np.array(e.ids, dtype="<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
 def check_packing(rows, texts):
     whole = Tokenizer.from_file(packing.byte_tokenizer())
     places, by_doc = defaultdict(list), defaultdict(list)
