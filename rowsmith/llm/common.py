@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,9 +50,8 @@ def utf8(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 
 
-def slices(batch, most_bytes: int = 4_000_000, column: str = "text"):
+def slices(batch, most_bytes: int = 2_000_000, column: str = "text"):
     """Cuts an Arrow batch into runs of rows whose texts hold about most_bytes, one row at least."""
-    import numpy as np
     import pyarrow.compute as pc
 
     n = batch.num_rows
@@ -63,6 +64,55 @@ def slices(batch, most_bytes: int = 4_000_000, column: str = "text"):
         yield batch.slice(a, b - a)
 
 
+def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, one after the other, and where each begins and the last ends.
+
+    A view of Arrow's own memory; null counts as empty.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    if not len(column):
+        return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+    wide = pa.types.is_large_string(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    own = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, dtype=np.uint8)
+    return own, at - at[0]
+
+
+def mapped(df: DataFrame, each: Callable, schema) -> DataFrame:
+    """df.mapInArrow, after which a worker gives memory that it no longer needs back to the system.
+
+    Workers serve many jobs; what one of them has held must not be counted against the next.
+    """
+
+    def run(batches):
+        try:
+            yield from each(batches)
+        finally:
+            released()
+
+    return df.mapInArrow(run, schema)
+
+
+def released() -> None:
+    """Gives free memory of Arrow and of the C library back, where the latter can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what is free for later
+
+
 def with_n_chars(docs: DataFrame) -> DataFrame:
     """docs with n_chars, where there is such a column of numbers, set to the length of the text."""
     kind = dict(docs.dtypes).get("n_chars")

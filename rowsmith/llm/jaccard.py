@@ -68,7 +68,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 2_000_000):
-                sets = shingle_sets(part.column("text").to_pylist())
+                sets = shingle_sets(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s)[0] for s in sets], pa.int64())], ["doc_id", "n_shingles", "sid"])
 
     return documents(docs).mapInArrow(of, "doc_id long, n_shingles long, sid long")
@@ -82,7 +82,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for part in slices(batch, 2_000_000):
-                sets = shingle_sets(part.column("text").to_pylist())
+                sets = shingle_sets(part.column("text"))
                 if sets and (all_ := np.concatenate(sets)).size:
                     h, n = np.unique(all_, return_counts=True)
                     often = n >= max(COMMON_IN_RUN, COMMON_SHARE * len(sets))
@@ -104,7 +104,7 @@ def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
             for part in slices(batch, 2_000_000):
                 hs, salts, sids = [], [], []
                 done = set()
-                for s in shingle_sets(part.column("text").to_pylist()):
+                for s in shingle_sets(part.column("text")):
                     n = len(s)
                     if not n or (sid := set_id(s)[0]) in done:
                         continue
@@ -146,7 +146,7 @@ def compared(pairs: DataFrame, texts: DataFrame, novel: bool = False) -> DataFra
 
         for batch in batches:
             for part in slices(batch, 1_000_000, "text_b"):
-                a, b = shingle_sets(part.column("text_a").to_pylist()), shingle_sets(part.column("text_b").to_pylist())
+                a, b = shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b"))
                 own = [np.isin(x, y, assume_unique=True) for x, y in zip(a, b)]
                 cols = [part.column("a"), part.column("b"), *(pa.array(c, pa.int64()) for c in ([len(x) for x in a], [len(y) for y in b], [int(i.sum()) for i in own]))]
                 more = [pa.array([signed(x[~i]) if novel else [] for x, i in zip(a, own)], pa.list_(pa.int64()))]

@@ -1,14 +1,19 @@
 """Removal of repeated passages: every byte inside a 100-byte string that also starts earlier.
 
-A longest-previous-factor array says for each position of a text how long a string starts there that
-also starts earlier. Bytes go where it reaches 100, which is just where the 100-byte window is equal to
-an earlier one; so the windows are sorted and equal neighbours compared, not whole suffixes.
-
-Windows meet in buckets. The bucket of a 100-byte window is the smallest
-hashed 24-byte string in it, so that equal windows share a bucket wherever they stand, and windows in
-a row with one bucket form a block. Equal blocks are named first, as in prefix-free parsing: in each
-bucket the first of equal blocks stays, the later copies are repeats as wholes. Only the first blocks
-of a bucket with different blocks (edges of passages, near copies) need their windows sorted.
+A longest-previous-factor array says for each position how long a string starts there that also starts
+earlier. It follows from the suffix order: of all earlier positions, the one with the longest string in
+common is the nearest smaller position before it or behind it in that order. Bytes go where the array
+reaches 100, so suffixes are ordered by their first 100 bytes, ties by position.
+
+One order of a whole corpus does not fit a task, so suffixes are dealt by content. The bucket of a
+100-byte window is the smallest hashed 24-byte string in it, so that equal windows share a bucket
+wherever they stand, and windows in a row with one bucket form a block. Equal blocks are named first, as
+in prefix-free parsing: in each bucket the first of equal blocks stays, later copies are repeats as
+wholes. The array is then computed over the windows of all different blocks of each bucket.
+
+Buckets are not alike. Their sizes are estimated from one block in 64 of all texts; copies in frequent
+buckets meet within salted parts first. Windows of buckets with very many different blocks are dealt
+once more, each by its own content, so that equal ones still meet in one array.
 """
 
 from __future__ import annotations
@@ -19,160 +24,219 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, written
+from .common import bytes_of, documents, mapped, slices, table, written
 from .shingles import _BYTE, mix, powers
 
 LENGTH, GRAM = 100, 24
-#: A bucket is noted as frequent where so many blocks of a run of texts fall into it; the most frequent
-#: ones noted are known to all tasks, which deal their copies into SALTS parts before they meet.
-NOTED_IN_RUN, NOTED_SHARE, NOTED_KEPT, SALTS = 8, 0.01, 50_000, 64
-#: Different blocks of one bucket whose windows one task sorts; larger buckets go window by window.
-BUCKET_BLOCKS = 40_000
-#: Bytes of blocks that are sorted at once, whole buckets each.
-CHUNK = 2_000_000
-
-
-def suffix_array(data: bytes) -> np.ndarray:
-    """Positions in suffix order, by doubling."""
-    rank = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-    n, k = len(rank), 1
-    order = np.argsort(rank, kind="stable")
-    while n > 1:
-        second = np.full(n, -1, dtype=np.int64)
-        second[: max(n - k, 0)] = rank[k:]
-        order = np.lexsort((second, rank))
-        changed = (rank[order[1:]] != rank[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-        new = np.empty(n, dtype=np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(changed)])
-        rank = new
-        if rank[order[-1]] == n - 1 or k >= n:
-            break
-        k *= 2
-    return order
-
-
-def longest_previous_factors(order: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The array from positions in suffix order and the common prefixes of neighbours in that order.
-
-    A stack holds ascending positions with the common prefix to the one below; what leaves the stack
-    has found both its smaller neighbours.
+#: Windows whose hashes are computed at once; a longer text is cut there, and blocks with it.
+PIECE = 1 << 18
+#: Share of blocks that estimate the sizes of buckets. A bucket is frequent with LEAST of them, and with
+#: a FREQUENT-th of them all, so that there are no more than FREQUENT such buckets; a salted part of one
+#: holds about PART times less than that.
+SHARE, LEAST, FREQUENT, PART = 64, 16, 50_000, 8
+#: Different blocks of one bucket that make one array as they are; with more, windows are dealt by content.
+BUCKET_BLOCKS, WINDOW_PARTS = 10_000, 1 << 20
+#: Bytes of blocks whose arrays are computed at once, whole buckets each.
+CHUNK = 600_000
+
+
+def nearest_smaller(order: np.ndarray) -> np.ndarray:
+    """For each place of the order the nearest place before it with a smaller value, -1 if there is none.
+
+    Each place starts at its neighbour and jumps to where that one points, as long as values are larger.
     """
-    lpf = np.zeros(len(order), dtype=np.int64)
-    stack: list[list[int]] = []
-    for i, p in enumerate([*order.tolist(), -1]):
-        shared = int(common[i - 1]) if 0 < i < len(order) else 0
-        while stack and stack[-1][0] > p:
-            q, below = stack.pop()
-            lpf[q] = max(below, shared)
-            shared = min(shared, below)
-        stack.append([p, shared])
-    return lpf
-
-
-def windows_seen_before(windows: np.ndarray) -> np.ndarray:
-    """Whether the factor of each row of bytes reaches its whole length; rows stand by position.
-
-    The rows are sorted as truncated suffixes. Where neighbours agree in full, a run of equal ones
-    begins; the sort keeps positions ascending in it, so that all but its first have their previous
-    smaller position right before them, with the whole length in common.
-    """
-    n, width = windows.shape
-    keys = np.ascontiguousarray(windows).view(f"S{width}").ravel()
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    seen = np.zeros(n, dtype=bool)
-    seen[order[1:]] = ordered[1:] == ordered[:-1]
-    return seen
-
-
-def _blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For all blocks: number of the text, first window, last window (in the text), bucket, name."""
-    empty = np.empty(0, dtype=np.int64)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    n = len(data) - LENGTH + 1
+    before = np.arange(-1, len(order) - 1)
+    open_ = np.flatnonzero(before >= 0)
+    open_ = open_[order[before[open_]] > order[open_]]
+    while len(open_):
+        before[open_] = before[before[open_]]
+        open_ = open_[before[open_] >= 0]
+        open_ = open_[order[before[open_]] > order[open_]]
+    return before
+
+
+def _in_common(windows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes in common at the start of rows a and b, 0 where b is -1."""
+    out = np.zeros(len(a), dtype=np.int64)
+    for k in range(0, len(a), 20_000):
+        own = np.flatnonzero(b[k : k + 20_000] >= 0) + k
+        differ = windows[a[own]] != windows[b[own]]
+        first = differ.argmax(1)
+        out[own] = np.where(differ[np.arange(len(own)), first], first, windows.shape[1])
+    return out
+
+
+def longest_previous_factors(windows: np.ndarray) -> np.ndarray:
+    """The array of suffixes that are cut to the width of the rows; rows stand by position."""
+    width = windows.shape[1]
+    order = np.argsort(np.ascontiguousarray(windows).view(f"S{width}").ravel(), kind="stable")
+    factors = np.zeros(len(order), dtype=np.int64)
+    before = nearest_smaller(order)
+    after = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
+    for near in (before, np.where(after < len(order), after, -1)):
+        other = np.where(near >= 0, order[near], -1)
+        factors[order] = np.maximum(factors[order], _in_common(windows, order, other))
+    return factors
+
+
+def _blocks(column) -> tuple[np.ndarray, ...]:
+    """For all blocks of the texts: number of the text, first window, last window (in the text), bucket, name."""
+    data, at = bytes_of(column)
+    found = []
+    a = 0
+    while a < len(data):
+        b = a + PIECE
+        edge = int(at[np.searchsorted(at, b, "right") - 1])
+        b = len(data) if b >= len(data) else edge if edge > a else b
+        if (own := _blocks_between(data, at, a, b)) is not None:
+            found.append(own)
+        a = b
+    if not found:
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _blocks_between(data: np.ndarray, at: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...] | None:
+    """_blocks() of the windows that start from a to before b."""
+    x = data[a : b + LENGTH - 1]
+    n = min(b - a, len(x) - LENGTH + 1)
     if n <= 0:
-        return empty, empty, empty, empty, empty
-    power, inverse = powers(len(data) + 1)
-    running = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[data] * power[: len(data)])])
-    grams = mix((running[GRAM:] - running[:-GRAM]) * inverse[: len(data) - GRAM + 1])
-    least, at, width = grams, np.arange(len(grams), dtype=np.int32), 1
+        return None
+    power, inverse = powers(len(x) + 1)
+    running = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[x] * power[: len(x)], out=running[1:])
+    grams = mix((running[GRAM:] - running[:-GRAM]) * inverse[: len(x) - GRAM + 1])
+    least, place, width = grams, np.arange(len(grams), dtype=np.int32), 1
     full = LENGTH - GRAM + 1
     while width < full:
         step = min(width, full - width)
         later = least[step:] < least[:-step]
-        least, at = np.where(later, least[step:], least[:-step]), np.where(later, at[step:], at[:-step])
+        least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
         width += step
-    text = np.repeat(np.arange(len(texts)), sizes)
-    valid = text[:n] == text[LENGTH - 1 :]
-    starts = valid & np.concatenate([[True], (at[1:n] != at[: n - 1]) | ~valid[: n - 1]])
-    first = np.flatnonzero(starts)
+    texts = np.searchsorted(at, [a, b], "right") - 1
+    edges = np.clip(at[texts[0] : texts[1] + 2] - a, 0, n)
+    text = np.repeat(np.arange(texts[0], texts[0] + len(edges) - 1), np.diff(edges))
+    valid = np.arange(a + LENGTH, a + LENGTH + n) <= at[text + 1]
+    turns = place[1:n] != place[: n - 1]
+    first = np.flatnonzero(valid & np.concatenate([[True], turns | ~valid[: n - 1]]))
+    last = np.flatnonzero(valid & np.concatenate([turns | ~valid[1:n], [True]]))
     if not len(first):
-        return empty, empty, empty, empty, empty
-    ends = valid & np.concatenate([(at[1:n] != at[: n - 1]) | ~valid[1:], [True]])
-    last = np.flatnonzero(ends)
+        return None
     name = mix((running[last + LENGTH] - running[first]) * inverse[first] + (last - first).astype(np.uint64))
-    offset = np.concatenate([[0], np.cumsum(sizes)])[text[first]]
-    return text[first], first - offset, last - offset, least[first].view(np.int64), name.view(np.int64)
+    offset = a - at[text[first]]
+    return text[first], first + offset, last + offset, least[first].view(np.int64), name.view(np.int64)
+
+
+def _dealt(key: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of the place of each block."""
+    return mix(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
+
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id, text: a key for each row, ascending with doc_id; rows without a doc_id come last.
 
-def _texts(part) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in part.column("text").to_pylist()]
+    Unique ids are keys as they are. Else rows are put in order and written once; rows of one doc_id
+    then follow one another by the hash of their text.
+    """
+    d = documents(docs)
+    ids = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("most")).first()
+    if (ids["most"] or 0) <= 1:
+        return d.withColumn("key", F.col("doc_id"))
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    return written(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
 
 
-def frequent_buckets(docs: DataFrame) -> np.ndarray:
-    """Ascending buckets with very many blocks, NOTED_KEPT at most; only how they are dealt depends on it."""
+def frequent_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending frequent buckets and the number of parts of each; only how they are dealt depends on it."""
 
-    def noted(batches):
+    def some(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 2_000_000):
-                h, n = np.unique(_blocks(_texts(part))[3], return_counts=True)
-                often = n >= max(NOTED_IN_RUN, NOTED_SHARE * part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h[often]), pa.array(n[often].astype(np.int64))], ["h", "n"])
+            for part in slices(batch):
+                text, first, _, h, _ = _blocks(part.column("text"))
+                key = part.column("key").to_numpy(zero_copy_only=False)[text]
+                yield pa.RecordBatch.from_arrays([pa.array(h[_dealt(key, first) % np.uint64(SHARE) == 0])], ["h"])
 
-    rows = documents(docs).mapInArrow(noted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(NOTED_KEPT).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64))
+    counts = written(mapped(rows, some, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1), "frequent")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = max(LEAST, total / FREQUENT)
+    found = {r["h"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}  # FREQUENT rows at most
+    h = np.sort(np.array(list(found), dtype=np.int64))
+    return h, np.array([-(-PART * found[x] // least) for x in h.tolist()], dtype=np.int64)
 
 
-def blocks(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """h (bucket), salt (above 0 in frequent ones), g (name), doc_id, first, last window of each block."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def blocks(rows: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """h (bucket), salt (above 0 in frequent ones), g (name), key, first, last window of each block."""
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
-    def rows(batches):
+    def each(batches):
         import pyarrow as pa
 
+        hot, parts = shared.value
         for batch in batches:
-            for part in slices(batch, 2_000_000):
-                text, first, last, h, g = _blocks(_texts(part))
-                ids = part.column("doc_id").take(pa.array(text))
-                salt = np.zeros(len(h), dtype=np.int16)
-                if len(shared.value) and len(h):
-                    at = np.searchsorted(shared.value, h).clip(max=len(shared.value) - 1)
-                    salt = np.where(shared.value[at] == h, 1 + (text * 7919 + int(first[0]) + part.num_rows) % SALTS, 0).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(g), ids, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "salt", "g", "doc_id", "first", "last"])
+            for part in slices(batch):
+                text, first, last, h, g = _blocks(part.column("text"))
+                key = part.column("key").to_numpy(zero_copy_only=False)[text]
+                salt = np.zeros(len(h), dtype=np.int32)
+                if len(hot) and len(h):
+                    k = np.searchsorted(hot, h).clip(max=len(hot) - 1)
+                    salt = np.where(hot[k] == h, 1 + (_dealt(key, first) >> np.uint64(8)) % parts[k].astype(np.uint64), 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(salt), pa.array(g), pa.array(key.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["h", "salt", "g", "key", "first", "last"])
 
-    return documents(docs).mapInArrow(rows, "h long, salt short, g long, doc_id long, first int, last int")
+    return mapped(rows, each, "h long, salt int, g long, key long, first int, last int")
 
 
-def marked(rows: DataFrame) -> DataFrame:
+def marked(found: DataFrame) -> DataFrame:
     """Blocks that matter, with later (an equal block starts earlier) or else to be compared in their bucket.
 
     Copies meet within their part first; what is first there meets across the parts.
     """
-    order = ["doc_id", "first"]
-    part = Window.partitionBy("h", "salt")
-    one = rows.withColumn("k", F.row_number().over(Window.partitionBy("h", "salt", "g").orderBy(*order))).withColumn("differs", (F.col("salt") > 0) | (F.min("g").over(part) < F.max("g").over(part))).where("differs OR k > 1")
-    one = written(one, "marked-in-part")
-    ordinary = one.where("salt = 0").select("h", "doc_id", "first", "last", (F.col("k") > 1).alias("later"), F.lit(False).alias("frequent"))
-    later = one.where("salt > 0 AND k > 1").select("h", "doc_id", "first", "last", F.lit(True).alias("later"), F.lit(True).alias("frequent"))
-    met = one.where("salt > 0 AND k = 1").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy(*order)))
-    return written(ordinary.union(later).union(met.select("h", "doc_id", "first", "last", (F.col("k") > 1).alias("later"), F.lit(True).alias("frequent"))), "marked")
-
-
-def _spans(doc_ids: list, first: np.ndarray, seen: np.ndarray, owner: np.ndarray, window: np.ndarray):
-    """doc_id, start, end of the runs of seen windows; owner is the block of each window."""
+    place = ["key", "first"]
+    # One order serves both windows.
+    part = Window.partitionBy("h", "salt").orderBy("g", *place).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = found.withColumn("differs", (F.col("salt") > 0) | (F.min("g").over(part) < F.max("g").over(part))).withColumn("k", F.row_number().over(Window.partitionBy("h", "salt", "g").orderBy(*place)))
+    one = written(one.where("differs OR k > 1").select("h", "salt", "g", *place, "last", (F.col("k") > 1).alias("later")), "marked-in-part")
+    settled = one.where("salt = 0 OR later").select("h", *place, "last", "later")
+    across = one.where("salt > 0 AND NOT later").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy(*place)))
+    return written(settled.union(across.select("h", *place, "last", (F.col("k") > 1).alias("later"))), "marked")
+
+
+def with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """h, part, key, first, data: the bytes of the wanted blocks (h, wide, key, first, last).
+
+    Of wide ones each window is a row of its own, with the hash of its bytes as part.
+    """
+
+    def cut(batches):
+        import pyarrow as pa
+
+        names = ["h", "part", "key", "first", "data"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        for batch in batches:
+            for run in slices(batch, 500_000):
+                data, at = bytes_of(run.column("text"))
+                data, out, size = data.tobytes(), [], 0
+                for a, key, own in zip(at.tolist(), run.column("key").to_pylist(), run.column("own").to_pylist()):
+                    for b in own:
+                        spans = ((p, p) for p in range(b["first"], b["last"] + 1)) if b["wide"] else ((b["first"], b["last"]),)
+                        for first, last in spans:
+                            x = data[a + first : a + last + LENGTH]
+                            out.append((b["h"], int.from_bytes(hashlib.blake2b(x, digest_size=4).digest(), "little") % WINDOW_PARTS + 1 if b["wide"] else 0, key, first, x))
+                            size += len(x)
+                        if size > 4_000_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                            out, size = [], 0
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+
+    # The blocks of one text make one list.
+    own = wanted.groupBy("key").agg(F.collect_list(F.struct("h", "wide", "first", "last")).alias("own"))
+    return mapped(rows.select("key", "text").join(own, "key"), cut, "h long, part int, key long, first int, data binary")
+
+
+def _spans(key: np.ndarray, first: np.ndarray, seen: np.ndarray, owner: np.ndarray, window: np.ndarray):
+    """key, start, end of the runs of seen windows; owner is the block of each window."""
     import pyarrow as pa
 
     joint = np.concatenate([[False], (owner[1:] == owner[:-1]) & seen[:-1]])
@@ -180,129 +244,101 @@ def _spans(doc_ids: list, first: np.ndarray, seen: np.ndarray, owner: np.ndarray
     follows = np.concatenate([joint[1:] & seen[1:], [False]])
     ends = np.flatnonzero(seen & ~follows)
     own = owner[starts]
-    return pa.RecordBatch.from_arrays([pa.array([doc_ids[i] for i in own.tolist()], pa.int64()), pa.array((first[own] + window[starts]).astype(np.int64)), pa.array((first[own] + window[ends] + LENGTH).astype(np.int64))], ["doc_id", "start", "end"])
-
+    return pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array((first[own] + window[starts]).astype(np.int64)), pa.array((first[own] + window[ends] + LENGTH).astype(np.int64))], ["key", "start", "end"])
 
-def compared(blocks_: DataFrame) -> DataFrame:
-    """doc_id, start, end of windows that an earlier block of their bucket has: h, doc_id, first, data."""
 
-    def compare(batches):
-        pending, size = [], 0
-
-        def flush(rows):
-            rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
-            data = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8)
-            n = np.array([len(r[3]) for r in rows], dtype=np.int64)
-            k = n - LENGTH + 1
-            owner = np.repeat(np.arange(len(rows)), k)
-            window = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
-            at = np.repeat(np.cumsum(n) - n, k) + window
-            seen = windows_seen_before(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at])
-            return _spans([r[1] for r in rows], np.array([r[2] for r in rows], dtype=np.int64), seen, owner, window)
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "first", "data"))):
-                if size >= CHUNK and row[0] != pending[-1][0]:
-                    yield flush(pending)
-                    pending, size = [], 0
-                pending.append(row)
-                size += len(row[3])
-        if pending:
-            yield flush(pending)
+def _repeats_of(batch):
+    """key, start, end of the windows of whole buckets whose factor reaches LENGTH."""
+    import pyarrow as pa
 
-    return blocks_.repartition("h").sortWithinPartitions("h").mapInArrow(compare, "doc_id long, start long, end long")
+    key, first = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "first"))
+    _, offsets, data = batch.column("data").buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[batch.column("data").offset :][: batch.num_rows + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)
+    by = np.lexsort((first, key))
+    key, first, start = key[by], first[by], at[:-1][by]
+    n = np.diff(at)[by] - LENGTH + 1
+    owner = np.repeat(np.arange(len(n)), n)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[np.repeat(start, n) + window]
+    return _spans(key, first, longest_previous_factors(windows) >= LENGTH, owner, window)
 
 
-def with_bytes(wanted: DataFrame, docs: DataFrame, each_window: bool) -> DataFrame:
-    """The bytes of the wanted blocks (h, doc_id, first, last), or the name of each of their windows."""
+def compared(found: DataFrame) -> DataFrame:
+    """key, start, end of windows that an earlier block of their bucket has."""
 
-    def cut(batches):
+    def compare(batches):
         import pyarrow as pa
 
+        pending = None
         for batch in batches:
-            for part in slices(batch, 1_000_000):
-                h, ids, first, out = [], [], [], []
-                for doc_id, text, own in zip(part.column("doc_id").to_pylist(), _texts(part), part.column("own").to_pylist()):
-                    for b in own:
-                        if not each_window:
-                            h.append(b["h"])
-                            ids.append(doc_id)
-                            first.append(b["first"])
-                            out.append(text[b["first"] : b["last"] + LENGTH])
-                            continue
-                        for p in range(b["first"], b["last"] + 1):
-                            name = hashlib.blake2b(text[p : p + LENGTH], digest_size=16).digest()
-                            h.append(int.from_bytes(name[:8], "little", signed=True))
-                            ids.append(doc_id)
-                            first.append(p)
-                            out.append(int.from_bytes(name[8:], "little", signed=True))
-                kind = pa.int64() if each_window else pa.binary()
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(out, kind)], ["h", "doc_id", "first", "g" if each_window else "data"])
-
-    own = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "last")).alias("own"))
-    return documents(docs).join(own, "doc_id").mapInArrow(cut, "h long, doc_id long, first int, " + ("g long" if each_window else "data binary"))
-
-
-def repeated(docs: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
-    """doc_id, start, end: byte spans that repeat earlier ones; spans of a document may overlap."""
-    found = marked(blocks(docs, frequent_buckets(docs)))
-    later = found.where("later").select("doc_id", F.col("first").cast("long").alias("start"), (F.col("last") + LENGTH).cast("long").alias("end"))
-    open_ = found.where("NOT later").select("h", "doc_id", "first", "last", "frequent")
-    # Buckets beyond the bound are frequent ones, so their number is bounded as well.
-    large = open_.where("frequent").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > bucket_blocks).select("h")
-    large = written(large, "large")
-    spans = later
-    if large.limit(1).count():
-        wide = open_.join(F.broadcast(large), "h", "left_semi")
-        open_ = open_.join(F.broadcast(large), "h", "left_anti")
-        names = with_bytes(wide, docs, True).withColumn("salt", F.pmod(F.col("doc_id"), F.lit(SALTS)).cast("short"))
-        one = names.withColumn("k", F.row_number().over(Window.partitionBy("h", "g", "salt").orderBy("doc_id", "first")))
-        one = written(one, "windows")
-        two = one.where("k = 1").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy("doc_id", "first")))
-        copies = one.where("k > 1").select("doc_id", "first").union(two.where("k > 1").select("doc_id", "first"))
-        spans = spans.union(copies.select("doc_id", F.col("first").cast("long").alias("start"), (F.col("first") + LENGTH).cast("long").alias("end")))
-    return spans.union(compared(with_bytes(open_, docs, False)))
-
-
-def removed(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if pending is None else [pending, batch]).combine_chunks().to_batches()[0]
+            h, part = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("h", "part"))
+            groups = np.concatenate([[0], np.flatnonzero((h[1:] != h[:-1]) | (part[1:] != part[:-1])) + 1])
+            at = np.frombuffer(rows.column("data").buffers()[1], dtype=np.int32)[rows.column("data").offset :][: rows.num_rows + 1]
+            cell = (at[groups] - at[0]) // CHUNK
+            cuts = [0, *groups[np.flatnonzero(np.diff(cell)) + 1].tolist()]
+            for a, b in zip(cuts, cuts[1:]):
+                yield _repeats_of(rows.slice(a, b - a))
+            pending = rows.slice(cuts[-1])
+        if pending is not None:
+            yield _repeats_of(pending)
+
+    return mapped(found.repartition("h", "part").sortWithinPartitions("h", "part"), compare, "key long, start long, end long")
+
+
+def repeated(rows: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
+    """key, start, end: byte spans of keyed() rows that repeat earlier ones; spans of a row may overlap."""
+    found = marked(blocks(rows, frequent_buckets(rows)))
+    later = found.where("later").select("key", F.col("first").cast("long").alias("start"), (F.col("last") + LENGTH).cast("long").alias("end"))
+    open_ = found.where("NOT later").select("h", "key", "first", "last")
+    large = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > bucket_blocks).select("h", F.lit(True).alias("wide"))
+    wanted = open_.join(written(large, "large"), "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    return later.union(compared(with_bytes(wanted, rows)))
+
+
+def removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each of rows."""
 
     def cut(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc_id, text, own in zip(part.column("doc_id").to_pylist(), _texts(part), part.column("own").to_pylist()):
-                    kept, at, gone, n = hashlib.sha256(), 0, 0, 0
-                    end = -1
+            for run in slices(batch):
+                data, at = bytes_of(run.column("text"))
+                data, out = data.tobytes(), []
+                for k, (doc_id, own) in enumerate(zip(run.column("doc_id").to_pylist(), run.column("own").to_pylist())):
+                    text, kept, end, gone, n = data[at[k] : at[k + 1]], hashlib.sha256(), 0, 0, 0
                     for s in sorted((s["start"], s["end"]) for s in own or []):
-                        a, b = max(s[0], at), min(s[1], len(text))
-                        if b <= at:
+                        a, b = max(s[0], end), min(s[1], len(text))
+                        if b <= end:
                             continue
-                        if a > at or n == 0:
-                            kept.update(text[at:a])
+                        if a > end or n == 0:
+                            kept.update(text[end:a])
                             n += 1
                         gone += b - a
-                        at = b
-                    kept.update(text[at:])
-                    rows.append((doc_id, len(text), gone, n, kept.hexdigest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                        end = b
+                    kept.update(text[end:])
+                    out.append((doc_id, len(text), gone, n, kept.hexdigest()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 4 + [pa.string()])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("own"))
-    d = documents(docs)
-    return d.join(own, "doc_id", "left").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # The spans of one text make one list.
+    own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("own"))
+    return mapped(rows.join(own, "key", "left"), cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
     """Every document with what is removed of it. Earlier is a smaller doc_id, or an earlier start.
 
-    Null text is empty; texts under 100 bytes stay whole. doc_id is taken to be unique: rows with a null
-    doc_id take part in no match. Other columns are not read.
+    Null text is empty; texts under 100 bytes stay whole. Of rows with one doc_id the first keeps its
+    passages, in the order of keyed(); rows without a doc_id come after all others. Other columns are
+    not read.
     """
-    named = docs.where("doc_id IS NOT NULL")
-    return removed(docs, written(repeated(named, bucket_blocks), "spans"))
+    rows = keyed(docs)
+    return removed(rows, written(repeated(rows, bucket_blocks), "spans"))
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
