@@ -18,9 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, so that further columns, whatever their names, cannot clash."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def documents(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id and text, and more that is named, so that further columns, whatever their names, cannot clash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a key for each row, ascending with doc_id; rows without a doc_id come last.
+
+    Unique ids are keys as they are. Else rows are put in order and written once; rows of one doc_id
+    then follow one another by the hash of their text.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("most")).first()
+    if (ids["most"] or 0) <= 1:
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
+    return written(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,7 +55,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts lineage, and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(*tables: DataFrame | None) -> None:
+    """Deletes written() tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def utf8(text: Column) -> Column:

@@ -4,17 +4,17 @@ Two sets link when their Jaccard similarity is 0.75 or more; documents come out
 component of their links. The index is a list of sets for each shingle of a prefix:
 
 * Equal sets are one set from the start.
-* Prefixes. In hash order, two sets that link share at least l of their first s - ceil(3 s / 4) + l
-  shingles, l being a tenth of the size. Sets with too few shared shingles in that prefix have no
-  link; of the others, the rarest shared shingles but for l - 1 make the second, final prefix.
+* Prefixes. In one order of all shingles, two sets that link share at least l of their first
+  s - ceil(3 s / 4) + l shingles, l being a tenth of the size. Sets with too few shared shingles in that
+  prefix have no link; of the others, the rarest shared shingles but for l - 1 make the final prefix.
 * Answers by relation. In rounds each set is compared with one leader of its lists that is not of its
   component. What is linked so has the leader's component as answer, and lists whose sets have all
   one component are skipped as wholes: no pair inside them can change the result.
 * Differences. Two sets compared with one leader, of which one has no link to it, mostly can link only
   if they share shingles that the leader lacks. Such pairs meet by those shingles alone.
-* Blocks. In the remaining lists, sets stand in blocks by size and position. Only blocks meet whose
-  sizes allow a link and whose positions leave enough shingles behind them, and of their pairs only
-  those of different components are compared, shingle by shingle.
+* Blocks. In the remaining lists, sets stand in blocks by size and by the position that the shingle has
+  in them. Two blocks meet only if their sizes, positions and components leave a link possible; blocks
+  that cannot are skipped as wholes, from their bounds alone.
 
 The bounds are those of the similarity itself, so no link is lost. Shingles that are very common
 come last in the order; which ones those are changes the cost, not the result.
@@ -23,21 +23,24 @@ come last in the order; which ones those are changes the cost, not the result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, written
+from .common import discarded, documents, keyed, mapped, slices, table, written
 from .components import components
-from .shingles import shingle_sets
+from .shingles import mix, shingle_sets
 
-#: A shingle is noted as common where it is in so many texts of a run of texts, at least; of the noted
-#: ones, so many are known to all tasks as coming last in the order.
-COMMON_IN_RUN, COMMON_SHARE, COMMON_KEPT = 4, 0.004, 50_000
-#: Parts that the list of a common shingle is dealt into while shared shingles are sought.
-SALTS = 64
+#: Share of all shingles that estimates how common each is. A shingle is common with LEAST of them, and
+#: with a COMMON-th of them all, so that there are no more than COMMON such shingles; each part that the
+#: list of one is dealt into, while shared shingles are sought, holds about PART times less than that.
+SHARE, LEAST, COMMON, PART = 64, 16, 50_000, 8
 COMMON_COUNT = 1 << 40
 #: Rounds of leaders at most, and the share of its pairs that a round has to link for another to follow.
-ROUNDS, WORTH = 1, 0.1
+ROUNDS, WORTH = 8, 0.1
+#: Sets that are compared with one copy of a leader's set.
+AT_ONCE = 500
+#: Size classes of blocks have this ratio; position classes are so many to a whole size.
+SIZE_RATIO, POSITIONS = 8 / 7, 14
 
 
 def shared_least(size):
@@ -53,108 +56,154 @@ def signed(h: np.ndarray):
     return h.view(np.int64)
 
 
-def set_id(members: np.ndarray) -> tuple[int, int]:
+def set_id(members: np.ndarray) -> int:
     import xxhash
 
-    h = xxhash.xxh3_128_intdigest(members.tobytes())
-    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and the id of its set (with the size, equal for equal sets only)."""
+def sizes(rows: DataFrame) -> DataFrame:
+    """key, doc_id, n_shingles and the id of its set (with the size, equal for equal sets only)."""
 
     def of(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 2_000_000):
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s)[0] for s in sets], pa.int64())], ["doc_id", "n_shingles", "sid"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], ["key", "doc_id", "n_shingles", "sid"])
 
-    return documents(docs).mapInArrow(of, "doc_id long, n_shingles long, sid long")
+    return mapped(rows, of, "key long, doc_id long, n_shingles long, sid long")
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Ascending hashes of very common shingles, COMMON_KEPT at most; an order, never a filter."""
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of very common shingles and the number of parts of each; an order, never a filter."""
 
-    def noted(batches):
+    def some(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 2_000_000):
-                sets = shingle_sets(part.column("text"))
-                if sets and (all_ := np.concatenate(sets)).size:
-                    h, n = np.unique(all_, return_counts=True)
-                    often = n >= max(COMMON_IN_RUN, COMMON_SHARE * len(sets))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[often])), pa.array(n[often].astype(np.int64))], ["h", "n"])
-
-    rows = documents(docs).mapInArrow(noted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(COMMON_KEPT).select("h").collect()
-    return np.sort(np.array([r["h"] for r in rows], dtype=np.int64).view(np.uint64))
-
-
-def prefix_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
+            for part in slices(batch):
+                for key, s in zip(part.column("key").to_pylist(), shingle_sets(part.column("text"))):
+                    s = s[mix(s ^ mix(np.array([key], dtype=np.int64).view(np.uint64))) % np.uint64(SHARE) == 0]
+                    if len(s):
+                        yield pa.RecordBatch.from_arrays([pa.array(signed(s))], ["h"])
+
+    counts = written(mapped(rows, some, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1), "common")
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    least = max(LEAST, total / COMMON)
+    found = {r["h"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}  # COMMON rows at most
+    discarded(counts)
+    h = np.sort(np.array(list(found), dtype=np.int64).view(np.uint64))
+    return h, np.array([-(-PART * found[x] // least) for x in signed(h).tolist()], dtype=np.int64)
+
+
+def in_order(s: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set in the order of all shingles, and the number of parts of each, 0 if not common."""
+    last, parts = common
+    if not len(last):
+        return s, np.zeros(len(s), dtype=np.int64)
+    at = np.searchsorted(last, s).clip(max=len(last) - 1)
+    often = last[at] == s
+    return np.concatenate([s[~often], s[often]]), np.concatenate([np.zeros(len(s) - often.sum(), dtype=np.int64), parts[at[often]]])
+
+
+def prefix_rows(rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """h, salt, sid for the first prefix of every set; salt is above 0 for common shingles only."""
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(common)
+    shared = rows.sparkSession.sparkContext.broadcast(common)
 
-    def rows(batches):
+    def prefixes(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 2_000_000):
+            for part in slices(batch):
                 hs, salts, sids = [], [], []
                 done = set()
                 for s in shingle_sets(part.column("text")):
                     n = len(s)
-                    if not n or (sid := set_id(s)[0]) in done:
+                    if not n or (sid := set_id(s)) in done:
                         continue
                     done.add(sid)
-                    if len(last.value):
-                        at = np.searchsorted(last.value, s).clip(max=len(last.value) - 1)
-                        often = last.value[at] == s
-                        s, often = np.concatenate([s[~often], s[often]]), np.sort(often)
-                    else:
-                        often = np.zeros(n, dtype=bool)
+                    s, parts = in_order(s, shared.value)
                     p = int(first_prefix(n))
                     hs.append(s[:p])
-                    salts.append(np.where(often[:p], 1 + sid % SALTS, 0).astype(np.int16))
+                    salts.append(np.where(parts[:p] > 0, 1 + (sid & 0x7FFFFFFF) % np.maximum(parts[:p], 1), 0).astype(np.int32))
                     sids.append(np.full(min(p, n), sid, dtype=np.int64))
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(hs))), pa.array(np.concatenate(salts)), pa.array(np.concatenate(sids))], ["h", "salt", "sid"])
 
-    return documents(docs).mapInArrow(rows, "h long, salt short, sid long")
-
+    return mapped(rows, prefixes, "h long, salt int, sid long")
 
-def index_lists(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """The final index: h, sid, size, pos (from 0 in the final prefix), c (shared shingles), least."""
-    from pyspark.sql import Window
 
+def final_prefixes(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """sid, key, size, c (shared shingles), least, prefix (the shingles of the final prefix) of sets that may link."""
     of = Window.partitionBy("h", "salt")
-    counted = rows.select("h", "sid", F.when(F.col("salt") > 0, F.lit(COMMON_COUNT)).otherwise(F.count("*").over(of)).alias("df"), ((F.col("salt") > 0) | (F.min("sid").over(of) < F.max("sid").over(of))).alias("shared"))
+    counted = found.select("h", "sid", F.when(F.col("salt") > 0, F.lit(COMMON_COUNT)).otherwise(F.count("*").over(of)).alias("df"), ((F.col("salt") > 0) | (F.min("sid").over(of) < F.max("sid").over(of))).alias("shared"))
     least = F.greatest(F.lit(1).cast("long"), F.floor(F.floor((3 * F.col("size") + 3) / 4) / 10))
+    # The shingles of one set make one list.
     by_set = counted.where("shared").groupBy("sid").agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("all"))
-    kept = by_set.join(sets.select("sid", F.col("n_shingles").alias("size")), "sid").select("sid", "size", "all", F.size("all").cast("long").alias("c"), least.alias("least")).where("c >= least")
-    return kept.select("sid", "size", "c", "least", F.posexplode(F.slice("all", F.lit(1), (F.col("c") - F.col("least") + 1).cast("int"))).alias("pos", "x")).select(F.col("x.h").alias("h"), "sid", "size", F.col("pos").cast("long").alias("pos"), "c", "least")
+    kept = by_set.join(sets.select("sid", "key", F.col("n_shingles").alias("size")), "sid").select("sid", "key", "size", "all", F.size("all").cast("long").alias("c"), least.alias("least")).where("c >= least")
+    return kept.select("sid", "key", "size", "c", "least", F.transform(F.slice("all", F.lit(1), (F.col("c") - F.col("least") + 1).cast("int")), lambda x: x["h"]).alias("prefix"))
+
+
+def indexed(prefixes: DataFrame, rows: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """sid, size, c, least, members (ascending), index: for each shingle of the final prefix its place
+    there (pos) and in the whole set (at)."""
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, 500_000):
+                members, index = [], []
+                for s, prefix in zip(shingle_sets(part.column("text")), part.column("prefix").to_pylist()):
+                    ordered, _ = in_order(s, shared.value)
+                    by = np.argsort(ordered, kind="stable")
+                    at = by[np.searchsorted(ordered[by], np.array(prefix, dtype=np.int64).view(np.uint64))]
+                    members.append(signed(s))
+                    index.append([{"h": h, "pos": i, "at": a} for i, (h, a) in enumerate(zip(prefix, at.tolist()))])
+                item = pa.struct([("h", pa.int64()), ("pos", pa.int64()), ("at", pa.int64())])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("sid", "size", "c", "least")), pa.array(members, pa.list_(pa.int64())), pa.array(index, pa.list_(item))], ["sid", "size", "c", "least", "members", "index"])
+
+    return mapped(rows.select("key", "text").join(prefixes, "key"), look, "sid long, size long, c long, least long, members array<long>, index array<struct<h:long,pos:long,at:long>>")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, novel: bool = False) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, novel: bool = False) -> DataFrame:
     """For pairs (a, b) of set ids: size_a, size_b, both (shingles in common), by their whole sets; with
-    novel also the shingles of a that are not in b."""
+    novel also the shingles of a that are not in b.
+
+    Pairs of one b meet in parts of about AT_ONCE, each of which gets the set of b once.
+    """
 
     def test(batches):
         import pyarrow as pa
 
+        leader = None
         for batch in batches:
-            for part in slices(batch, 1_000_000, "text_b"):
-                a, b = shingle_sets(part.column("text_a")), shingle_sets(part.column("text_b"))
-                own = [np.isin(x, y, assume_unique=True) for x, y in zip(a, b)]
-                cols = [part.column("a"), part.column("b"), *(pa.array(c, pa.int64()) for c in ([len(x) for x in a], [len(y) for y in b], [int(i.sum()) for i in own]))]
-                more = [pa.array([signed(x[~i]) if novel else [] for x, i in zip(a, own)], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*cols, *more], ["a", "b", "size_a", "size_b", "both", "novel"])
-
-    with_a = pairs.join(texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(test, "a long, b long, size_a long, size_b long, both long, novel array<long>")
+            out = []
+            for role, a, b, x in zip(*(batch.column(c).to_pylist() for c in ("role", "sid", "b")), _arrays(batch.column("members"))):
+                if role == 0:
+                    leader = x.copy()
+                    continue
+                own = np.searchsorted(leader, x).clip(max=len(leader) - 1)
+                own = leader[own] == x
+                out.append((a, b, len(x), len(leader), int(own.sum()), signed(x[~own]) if novel else []))
+            if out:
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["a", "b", "size_a", "size_b", "both", "novel"])
+
+    n = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    dealt = pairs.join(n, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / AT_ONCE)).alias("part"))
+    asked = dealt.select(F.col("a").alias("sid"), "b", "part", F.lit(1).alias("role")).union(dealt.select(F.col("b").alias("sid"), "b", "part", F.lit(0).alias("role")).distinct())
+    rows = asked.join(sets.select("sid", "members"), "sid").repartition("b", "part").sortWithinPartitions("b", "part", "role")
+    return mapped(rows, test, "a long, b long, size_a long, size_b long, both long, novel array<long>")
+
+
+def _arrays(column):
+    """The arrays of a column of lists, as views. Members are in unsigned order and so stay unsigned."""
+    values, at = column.values.to_numpy(zero_copy_only=False).view(np.uint64), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at[:-1], at[1:]))
 
 
 def linked(tests: DataFrame) -> DataFrame:
@@ -181,67 +230,110 @@ def _leadership(k: int) -> Column:
     return F.struct(F.col("members"), F.xxhash64("sid", F.lit(k)))
 
 
-def block(size: Column) -> Column:
-    """Size class; sets that link are of one class or of neighbouring ones."""
-    return F.floor(F.log(size.cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+def block_of(size: Column, at: Column) -> Column:
+    """Block of a set in a list: its size class and the class of the position that the shingle has in it."""
+    return (F.floor(F.log(size.cast("double")) / float(np.log(SIZE_RATIO)) + 1e-9) * (POSITIONS + 1) + F.floor(POSITIONS * at / size)).cast("int")
 
 
-def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of sizes(), and sid, component for the sets that have a link."""
-    all_sizes = written(sizes(docs), "sizes")
-    sets = all_sizes.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
-    lists = written(index_lists(prefix_rows(docs, common_shingles(docs)), sets), "lists")
-    # One text for each set in a list.
-    alive = lists.select("sid").distinct().join(sets, "sid").select("sid", "doc_id")
-    texts = written(documents(docs).join(alive, "doc_id").dropDuplicates(["sid"]), "texts").select("sid", "text")
+def meeting(lists: DataFrame) -> DataFrame:
+    """Pairs of list rows of different components whose sizes and positions allow a link: every column
+    of lists (h, sid, size, at, component, ...) as _a and _b, b not larger than a.
 
-    tested, star, led = None, None, None
+    First blocks meet, by their bounds; rows follow only where their blocks do. A list has no more blocks
+    than there are classes, whatever the number of its rows.
+    """
+    rows = lists.withColumn("block", block_of(F.col("size"), F.col("at")))
+    bounds = rows.groupBy("h", "block").agg(*(f(c).alias(f"{n}_{c}") for c in ("size", "at", "component") for n, f in (("least", F.min), ("most", F.max))))
+    of = lambda side: bounds.select("h", *(F.col(c).alias(f"{c}_{side}") for c in bounds.columns if c != "h"))
+    c = F.col
+    # Shared shingles stand before the common one, at most as many as the smaller position, or behind it.
+    behind = lambda size, at: size - at
+    possible = F.least("most_at_a", "most_at_b") + F.least(behind(c("most_size_a"), c("least_at_a")), behind(c("most_size_b"), c("least_at_b")))
+    may = (c("most_size_a") >= c("least_size_b")) & (4 * c("most_size_b") >= 3 * c("least_size_a")) & (7 * possible >= 3 * (c("least_size_a") + c("least_size_b")))
+    several = (F.least("least_component_a", "least_component_b") < F.greatest("most_component_a", "most_component_b"))
+    blocks = of("a").join(of("b"), "h").where(may & several).select("h", "block_a", "block_b")
+    side = lambda s: rows.select("h", *(F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "h"))
+    met = blocks.join(side("a"), ["h", "block_a"]).join(side("b"), ["h", "block_b"])
+    # Of two of one size the one with the smaller id is b.
+    ordered = (c("size_b") < c("size_a")) | ((c("size_b") == c("size_a")) & (c("sid_b") < c("sid_a")))
+    possible = F.least("at_a", "at_b") + F.least(behind(c("size_a"), c("at_a")), behind(c("size_b"), c("at_b")))
+    return met.where((c("component_a") != c("component_b")) & ordered & (4 * c("size_b") >= 3 * c("size_a")) & (7 * possible >= 3 * (c("size_a") + c("size_b"))))
+
+
+def _mixed(lists: DataFrame, *more: Column) -> DataFrame:
+    """The lists whose sets are of several components."""
+    return lists.groupBy("h").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), *more).where("_least < _most").drop("_least", "_most")
+
+
+def _with_components(rows: DataFrame, star: DataFrame | None) -> DataFrame:
+    """rows with the component of each sid and its number of members; a set without links is its own."""
+    if star is None:
+        return rows.withColumn("component", F.col("sid")).withColumn("members", F.lit(1).cast("long"))
+    members = star.groupBy("component").agg(F.count("*").alias("members"))
+    return rows.join(star.join(members, "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+
+
+def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """sizes() of all keyed() rows, and sid, component for the sets that have a link."""
+    all_sizes = written(sizes(rows), "sizes")
+    first = all_sizes.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.min("key").alias("key"))
+    common = common_shingles(rows)
+    sets = written(indexed(final_prefixes(prefix_rows(rows, common), first), rows, common), "sets")
+    lists = sets.select("sid", "size", "c", "least", F.explode("index").alias("x")).select("sid", "size", "c", "least", "x.*")
+
+    star, led, tests = None, None, []
     for k in range(ROUNDS):
-        named = lists.withColumn("component", F.col("sid")).withColumn("members", F.lit(1).cast("long"))
-        if star is not None:
-            members = star.groupBy("component").agg(F.count("*").alias("members"))
-            named = lists.join(star.join(members, "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
-        mixed = named.groupBy("h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component"), F.max_by(F.struct("sid", "component"), _leadership(k)).alias("leader")).where("least_component < most_component").select("h", "leader")
-        asks = named.join(mixed, "h").where(F.col("component") != F.col("leader.component")).groupBy("sid", F.col("leader.sid").alias("leader")).agg(F.count("*").alias("n"))
-        pairs = asks.groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("sid").alias("a"), "b")
-        tests = written(compared(pairs, texts, novel=k == 0), "tests")
-        led = tests if k == 0 else led
-        links, n_pairs = linked(tests), tests.count()
-        now = tests.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        tested = now if tested is None else tested.union(now)
-        n_links = links.count()
-        star = components(links if star is None else links.union(star.select(F.col("sid").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("sid"), "component")
-        star = written(star, "star")
+        named = _with_components(lists, star)
+        leaders = _mixed(named, F.max_by(F.struct("sid", "component"), _leadership(k)).alias("leader"))
+        asks = named.join(leaders, "h").where(F.col("component") != F.col("leader.component")).groupBy("sid", F.col("leader.sid").alias("leader")).agg(F.count("*").alias("n"))
+        pairs = written(asks.groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("sid").alias("a"), "b"), "pairs")
+        tests.append(written(compared(pairs, sets, novel=k == 0), "tests"))
+        discarded(pairs)
+        led = tests[0]
+        links = written(linked(tests[-1]), "linked")
+        n_pairs, n_links = tests[-1].count(), links.count()
+        now = components(links if star is None else links.union(star.select(F.col("sid").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("sid"), "component")
+        now = written(now, "star")
+        discarded(links, star)
+        star = now
         if n_links < WORTH * n_pairs or not n_links:
             break
 
     by_leader = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"))
-    named = lists.join(star, "sid", "left").withColumn("component", F.coalesce("component", "sid")).join(by_leader, "sid", "left")
-    named = written(named.withColumn("block", block(F.col("size"))), "named")
-    mixed = named.groupBy("h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component")).where("least_component < most_component").select("h")
-    left = named.join(mixed, "h", "left_semi")
-    kept = ("sid", "size", "pos", "c", "least", "component", "leader", "lacks", "adds")
-    x = left.select("h", "block", *(F.col(c).alias(f"{c}_a") for c in kept))
-    y = left.select("h", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in kept))
-    # b is not larger than a, and of two of one size the one with the smaller id.
-    meets = (F.col("size_b") < F.col("size_a")) | ((F.col("size_b") == F.col("size_a")) & (F.col("sid_b") < F.col("sid_a")))
-    fits = 4 * F.col("size_b") >= 3 * F.col("size_a")
+    named = written(_with_components(lists, star).drop("members").join(by_leader, "sid", "left"), "named")
+    # Shared shingles from the common one on, in both final prefixes.
     enough = F.least(F.col("c_a") - F.col("pos_a"), F.col("c_b") - F.col("pos_b")) >= F.greatest("least_a", "least_b")
     # Pairs under one leader that have to share novel shingles meet by these instead.
     elsewhere = F.coalesce((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0), F.lit(False))
-    met = x.join(y, ["h", "block"]).where((F.col("component_a") != F.col("component_b")) & meets & fits & enough & ~elsewhere).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-
-    novel = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), F.col("size_a").alias("size"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"), F.explode("novel").alias("h")).join(star, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = novel.groupBy("leader", "h").agg(F.min("component").alias("least_component"), F.max("component").alias("most_component")).where("least_component < most_component").select("leader", "h")
-    novel = novel.join(mixed, ["leader", "h"], "left_semi")
-    kept = ("sid", "size", "lacks", "adds", "component")
-    x = novel.select("leader", "h", *(F.col(c).alias(f"{c}_a") for c in kept))
-    y = novel.select("leader", "h", *(F.col(c).alias(f"{c}_b") for c in kept))
-    share = x.join(y, ["leader", "h"]).where((F.col("component_a") != F.col("component_b")) & meets & fits & (_surplus() > 0)).groupBy("sid_a", "sid_b").agg(F.count("*").alias("n"), F.max(_surplus()).alias("surplus")).where("14 * n >= surplus").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-
-    further = met.union(share).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    across = linked(compared(written(further, "further"), texts))
-    return all_sizes, components(star.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(across)).select(F.col("node").alias("sid"), "component")
+    met = meeting(named.join(_mixed(named), "h", "left_semi")).where(enough & ~elsewhere).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+
+    # Lists of the novel shingles under each leader; a shingle there has no position.
+    novel = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), F.col("size_a").alias("size"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"), F.explode("novel").alias("h"))
+    novel = written(_with_components(novel, star).drop("members").withColumn("h", F.xxhash64("leader", "h")).withColumn("at", F.lit(0).cast("long")), "novel")
+    share = meeting(novel.join(_mixed(novel), "h", "left_semi")).where((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0)).groupBy("sid_a", "sid_b").agg(F.count("*").alias("n"), F.max(_surplus()).alias("surplus")).where("14 * n >= surplus").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+
+    further = met.union(share).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for t in tests:
+        further = further.join(t.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    further = written(further, "further")
+    across = written(linked(compared(further, sets)), "linked")
+    discarded(named, novel, further, *tests, sets)
+    found = written(components(star.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(across)).select(F.col("node").alias("sid"), "component"), "components")
+    discarded(star, across)
+    return all_sizes, found
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """key, doc_id, n_shingles, component_id, component_key (the least key) for every one of keyed() rows."""
+    all_sizes, found = set_components(rows)
+    # Equal sets first, then components: each step combines before it shuffles. Written, so that the
+    # joins with it are plain ones that Spark splits where an id is hot.
+    by_set = written(all_sizes.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("component_id"), F.min("key").alias("component_key")), "least-of-sets")
+    lowest = written(found.join(by_set, "sid").groupBy("component").agg(F.min("component_id").alias("component_id"), F.min("component_key").alias("component_key")), "least")
+    named = written(found.join(lowest, "component").select("sid", "component_id", "component_key").union(by_set.join(found, "sid", "left_anti").select("sid", "component_id", "component_key")), "named-sets")
+    discarded(by_set, lowest, found)
+    full = all_sizes.where("n_shingles > 0").join(named, "sid").select("key", "doc_id", "n_shingles", "component_id", "component_key")
+    return full.union(all_sizes.where("n_shingles = 0").select("key", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("key").alias("component_key")))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -250,19 +342,19 @@ def join_components(docs: DataFrame) -> DataFrame:
     Without words or with null text: n_shingles 0, a component of its own. Equal rows are linked.
     A null doc_id is never the id of a component that has another. Other columns are not read.
     """
-    all_sizes, named = set_components(docs)
-    full = all_sizes.where("n_shingles > 0").join(named, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    lowest = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return full.join(lowest, "component").select("doc_id", "n_shingles", "component_id").union(all_sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return _named(keyed(documents(docs), "key")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the rows of each component but those of its smallest doc_id; all columns stay.
+    """docs with one row of each component, that with the smallest doc_id; all columns stay.
 
-    Rows with a null doc_id stay, as they have no id by which they could be told apart.
+    Of rows that repeat this doc_id the first stays, in the order of keyed(); a row without a doc_id
+    stays only if no row of its component has one. Rows without words all stay.
     """
-    found = join_components(docs)
-    return docs.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")), F.col("_gone") == docs["doc_id"], "left_anti")
+    rows = keyed(docs, "_row")
+    found = _named(documents(rows, F.col("_row").alias("key")))
+    gone = found.where("key <> component_key").select(F.col("key").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, documents, mapped, slices, table, written
+from .common import bytes_of, discarded, documents, keyed, mapped, slices, table, written
 from .shingles import _BYTE, mix, powers
 
 LENGTH, GRAM = 100, 24
@@ -132,20 +132,6 @@ def _dealt(key: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + first.astype(np.uint64))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text: a key for each row, ascending with doc_id; rows without a doc_id come last.
-
-    Unique ids are keys as they are. Else rows are put in order and written once; rows of one doc_id
-    then follow one another by the hash of their text.
-    """
-    d = documents(docs)
-    ids = d.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max(F.when(F.col("doc_id").isNull(), 2).otherwise(F.col("n"))).alias("most")).first()
-    if (ids["most"] or 0) <= 1:
-        return d.withColumn("key", F.col("doc_id"))
-    order = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
-    return written(d.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keyed")
-
-
 def frequent_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Ascending frequent buckets and the number of parts of each; only how they are dealt depends on it."""
 
@@ -162,6 +148,7 @@ def frequent_buckets(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     least = max(LEAST, total / FREQUENT)
     found = {r["h"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}  # FREQUENT rows at most
+    discarded(counts)
     h = np.sort(np.array(list(found), dtype=np.int64))
     return h, np.array([-(-PART * found[x] // least) for x in h.tolist()], dtype=np.int64)
 
@@ -199,7 +186,9 @@ def marked(found: DataFrame) -> DataFrame:
     one = written(one.where("differs OR k > 1").select("h", "salt", "g", *place, "last", (F.col("k") > 1).alias("later")), "marked-in-part")
     settled = one.where("salt = 0 OR later").select("h", *place, "last", "later")
     across = one.where("salt > 0 AND NOT later").withColumn("k", F.row_number().over(Window.partitionBy("h", "g").orderBy(*place)))
-    return written(settled.union(across.select("h", *place, "last", (F.col("k") > 1).alias("later"))), "marked")
+    out = written(settled.union(across.select("h", *place, "last", (F.col("k") > 1).alias("later"))), "marked")
+    discarded(one)
+    return out
 
 
 def with_bytes(wanted: DataFrame, rows: DataFrame) -> DataFrame:
@@ -294,9 +283,11 @@ def repeated(rows: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFrame:
     found = marked(blocks(rows, frequent_buckets(rows)))
     later = found.where("later").select("key", F.col("first").cast("long").alias("start"), (F.col("last") + LENGTH).cast("long").alias("end"))
     open_ = found.where("NOT later").select("h", "key", "first", "last")
-    large = open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > bucket_blocks).select("h", F.lit(True).alias("wide"))
-    wanted = open_.join(written(large, "large"), "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
-    return later.union(compared(with_bytes(wanted, rows)))
+    large = written(open_.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > bucket_blocks).select("h", F.lit(True).alias("wide")), "large")
+    wanted = open_.join(large, "h", "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
+    out = written(later.union(compared(with_bytes(wanted, rows))), "spans")
+    discarded(found, large)
+    return out
 
 
 def removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -337,8 +328,8 @@ def deduplicated(docs: DataFrame, bucket_blocks: int = BUCKET_BLOCKS) -> DataFra
     passages, in the order of keyed(); rows without a doc_id come after all others. Other columns are
     not read.
     """
-    rows = keyed(docs)
-    return removed(rows, written(repeated(rows, bucket_blocks), "spans"))
+    rows = keyed(documents(docs), "key")
+    return removed(rows, repeated(rows, bucket_blocks))
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

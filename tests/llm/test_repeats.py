@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from rowsmith.llm import repeats as r
+from rowsmith.llm.common import documents, keyed
 
 from .helpers import ODD, SMALL, clashing, docs
 
@@ -82,7 +83,7 @@ def test_frequent_buckets_are_found_over_all_texts(spark, monkeypatch):
     rng = random.Random(6)
     passage = "".join(rng.choice("abcdefghij ") for _ in range(150))
     texts = ["".join(rng.choice("klmnopq ") for _ in range(300)) + passage for _ in range(60)]
-    rows = r.keyed(docs(spark, texts).repartition(30))
+    rows = keyed(documents(docs(spark, texts).repartition(30)), "key")
     hot, parts = r.frequent_buckets(rows)
     assert 0 < len(hot) < 20 and all(parts >= r.PART)
     found = r.blocks(rows, (hot, parts))
