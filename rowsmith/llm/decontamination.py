@@ -7,18 +7,18 @@ through it; the longest match that ends at each word tells whether a window of a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, with_n_chars
+from .common import documents, keyed, mapped, slices, table, with_n_chars, written
 
 WINDOW = 10
-#: Item words in one automaton, which bounds what is broadcast at once; more items go in further blocks.
-BLOCK_WORDS = 400_000
+#: Bytes of the items of one automaton, about; more items go in further blocks, one after another.
+BLOCK_BYTES = 500_000
 #: Share of a document's words inside hits above which the whole document goes, instead of the spans.
 MOST_HIT = 0.8
 
@@ -137,17 +137,17 @@ class Automaton:
         return ranges, items
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Broadcast]:
-    """Broadcast automata of all items, each of at most block_words words or one item."""
-    spark, found, block, size = benchmark.sparkSession, [], [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        words = words_of(r["text"])
-        if block and size + len(words) > block_words:
-            found.append(spark.sparkContext.broadcast(Automaton(block, window)))
-            block, size = [], 0
-        block.append((r["item_id"], words))
-        size += len(words)
-    return [*found, spark.sparkContext.broadcast(Automaton(block, window))]
+def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """item_id, text, block of the items, and the number of blocks; items go to blocks by their hash."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    n = -(-(items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // block_bytes) or 1
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")), n
+
+
+def automaton(items: DataFrame, block: int, window: int = WINDOW) -> Broadcast:
+    """The automaton of one block of items, for all tasks."""
+    rows = items.where(F.col("block") == block).select("item_id", "text").collect()  # about BLOCK_BYTES
+    return items.sparkSession.sparkContext.broadcast(Automaton([(r["item_id"], words_of(r["text"])) for r in rows], window))
 
 
 def _cut(text: str, ranges: list[list[int]]) -> str:
@@ -161,71 +161,105 @@ def _cut(text: str, ranges: list[list[int]]) -> str:
     return b"".join([*kept, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _scan(text: str | None, blocks: list[Broadcast]) -> tuple[list[bytes], list[list[int]], set]:
-    """The words of a text, the merged ranges of those that are hit, the items that occur."""
-    words = words_of(text)
-    ranges: list[list[int]] = []
-    items: set = set()
-    for b in blocks:
-        more, others = b.value.scan(words)
-        ranges, items = ranges + more, items | others
-    merged: list[list[int]] = []
+def _merged(ranges: list[list[int]]) -> list[list[int]]:
+    """The union of ranges of words, ascending."""
+    out: list[list[int]] = []
     for a, b in sorted(ranges):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
         else:
-            merged.append([a, b])
-    return words, merged, items
+            out.append([a, b])
+    return out
+
+
+def _scanned(rows: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, finish: Callable, schema) -> DataFrame:
+    """finish(batch, words, ranges, items) for every batch of rows, over the hits of all blocks of items.
+
+    Each block is a pass of its own over the texts, so that a task holds one automaton, whatever the
+    number of items. All passes but the last write the hits that they find; the last one reads them.
+    rows has doc_id and text.
+    """
+    items, n = item_blocks(benchmark, block_bytes)
+    if n > 1:
+        rows = keyed(rows, "_key")
+    earlier = None
+    for block in range(n - 1):
+        found = automaton(items, block, window)
+
+        def scan(batches, found=found):
+            import pyarrow as pa
+
+            for batch in batches:
+                for part in slices(batch):
+                    out = []
+                    for key, text in zip(part.column("_key").to_pylist(), part.column("text").to_pylist()):
+                        ranges, own = found.value.scan(words_of(text))
+                        if ranges:
+                            out.append((key, ranges, list(own)))
+                    if out:
+                        kinds = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.int64())]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["_key", "_ranges", "_items"])
+
+        hits = written(mapped(rows.select("_key", "text"), scan, "_key long, _ranges array<array<long>>, _items array<long>"), "hits")
+        found.destroy()
+        earlier = hits if earlier is None else earlier.union(hits)
+    if earlier is None:
+        rows = rows.withColumn("_ranges", F.lit(None).cast("array<array<long>>")).withColumn("_items", F.lit(None).cast("array<long>"))
+    else:
+        # The hits of one text make one list.
+        rows = rows.join(earlier.groupBy("_key").agg(F.flatten(F.collect_list("_ranges")).alias("_ranges"), F.flatten(F.collect_list("_items")).alias("_items")), "_key", "left")
+    last = automaton(items, n - 1, window)
+
+    def end(batches):
+        for batch in batches:
+            for part in slices(batch):
+                words, ranges, items = [], [], []
+                for text, r, i in zip(*(part.column(c).to_pylist() for c in ("text", "_ranges", "_items"))):
+                    own = words_of(text)
+                    more, others = last.value.scan(own)
+                    words.append(len(own))
+                    ranges.append(_merged((r or []) + more))
+                    items.append(others | set(i or ()))
+                yield finish(part, words, ranges, items)
+
+    return mapped(rows, end, schema)
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, ids of the items that occur.
 
     Every row of docs gives one row. Null or empty texts have no words; null or empty items match
     nothing; an item with null item_id marks words but is not listed. Items of one id count once.
     """
-    blocks = automata(benchmark, window, block_words)
 
-    def scan(batches):
+    def rows(part, words, ranges, items):
         import pyarrow as pa
 
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    words, ranges, items = _scan(text, blocks)
-                    rows.append((doc_id, len(words), sum(b - a + 1 for a, b in ranges), sorted(items - {None})))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 3 + [pa.list_(pa.int64())])], ["doc_id", "n_words", "n_hit", "items"])
+        hit = [sum(b - a + 1 for a, b in r) for r in ranges]
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(i - {None}) for i in items], pa.list_(pa.int64()))], ["doc_id", "n_words", "n_hit", "items"])
 
-    return documents(docs).mapInArrow(scan, "doc_id long, n_words long, n_hit long, items array<long>")
+    return _scanned(documents(docs), benchmark, window, block_bytes, rows, "doc_id long, n_words long, n_hit long, items array<long>")
 
 
-def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, most_hit: float = MOST_HIT) -> DataFrame:
+def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_hit: float = MOST_HIT) -> DataFrame:
     """docs without the hit words and what stands between them; n_chars follows, if there is one.
 
     A document goes where more than most_hit of its words are hit. All other rows and columns stay.
     """
-    blocks = automata(benchmark, window, block_words)
+    names = docs.columns
 
-    def clean(batches):
+    def rows(part, words, ranges, _):
         import pyarrow as pa
 
-        for batch in batches:
-            for part in slices(batch):
-                at = part.schema.get_field_index("text")
-                texts, keep = part.column(at).to_pylist(), []
-                changed = False
-                for i, text in enumerate(texts):
-                    words, ranges, _ = _scan(text, blocks)
-                    keep.append(sum(b - a + 1 for a, b in ranges) <= most_hit * len(words))
-                    if ranges and keep[-1]:
-                        texts[i], changed = _cut(text, ranges), True
-                if changed:
-                    part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
-                yield part.filter(pa.array(keep, pa.bool_()))
-
-    return with_n_chars(docs.mapInArrow(clean, docs.schema))
+        part = part.select(names)
+        at = part.schema.get_field_index("text")
+        keep = [sum(b - a + 1 for a, b in r) <= most_hit * n for n, r in zip(words, ranges)]
+        if any(r and k for r, k in zip(ranges, keep)):
+            texts = [_cut(t, r) if r and k else t for t, r, k in zip(part.column(at).to_pylist(), ranges, keep)]
+            part = part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+        return part.filter(pa.array(keep, pa.bool_()))
+
+    return with_n_chars(_scanned(docs, benchmark, window, block_bytes, rows, docs.schema))
 
 
 def item_digest(items: Column) -> Column:

@@ -64,8 +64,8 @@ def bench(spark, rows):
 def test_odd_rows_and_blocks(spark):
     items = {1: "tab and vt", 2: ODD[12][:300], 3: None, 4: "", 5: "Naïve CAFÉ — ß"}
     rows = clashing(bench(spark, list(items.items())))
-    for words_ in (400_000, 5):
-        got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in d.scanned(clashing(docs(spark, ODD)), rows, block_words=words_).collect()}
+    for most in (d.BLOCK_BYTES, 150):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in d.scanned(clashing(docs(spark, ODD)), rows, block_bytes=most).collect()}
         assert got == brute(dict(enumerate(ODD)), items)
     assert d.scanned(docs(spark, []), rows).count() == 0
     assert [r.n_hit for r in d.scanned(docs(spark, ["a b"]), bench(spark, [])).collect()] == [0]
@@ -77,3 +77,19 @@ def test_cleaned(spark):
     d0 = docs(spark, [f"Before, here. {item}! After it all.", item, "clean", None])
     got = {r.doc_id: (r.text, r.n_chars) for r in d.cleaned(d0, bench(spark, [(1, item)])).collect()}
     assert got == {0: ("Before, here. ! After it all.", 29), 2: ("clean", 5), 3: (None, None)}
+
+
+def test_many_blocks_and_repeated_ids(spark):
+    """Items in several blocks, rows that share a doc_id or have none: each row has its own hits."""
+    items = {i: " ".join(f"w{i}x{k}" for k in range(12)) for i in range(20)}
+    rows = bench(spark, list(items.items()))
+    assert d.item_blocks(rows, 200)[1] > 4
+    texts = [items[3] + " and " + items[15], "clean", items[4], f"{items[7]} {items[7]} x", None]
+    want = brute(dict(enumerate(texts)), items)
+    for ids in ([0, 1, 2, 3, 4], [5, 5, None, 5, None]):
+        got = d.scanned(clashing(docs(spark, texts, ids)), rows, block_bytes=200).collect()
+        assert sorted((r.n_words, r.n_hit, r["items"]) for r in got) == sorted((n, h, i) for n, h, i in want.values())
+        kept = d.cleaned(clashing(docs(spark, texts, ids)), rows, block_bytes=200, most_hit=0.97)
+        assert sorted((r.text or "").strip() for r in kept.collect()) == ["", "and", "clean", "x"]
+        assert "rank" in kept.columns
+    assert d.cleaned(clashing(docs(spark, [])), rows, block_bytes=200).count() == 0
