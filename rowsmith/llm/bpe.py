@@ -24,7 +24,7 @@ _BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PR
 BLANK = chr(_BYTES[32])
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 #: Pieces of one generation kept by a worker, two at most, and the longest that is kept.
-KEPT, LONGEST = 250_000, 48
+KEPT, LONGEST = 150_000, 48
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import documents, slices, table, written
+from .common import documents, mapped, slices, table, written
 
 CAPACITY = 1024
 END = 2
@@ -111,7 +111,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[np
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row for each piece of each document, with its rank among the pieces of its length in its task.
 
-    Null text: the end id alone. The rows are written once, so ranks stay as they are.
+    Null text: the end id alone. Rows of one doc_id, and rows without one, are documents each of their
+    own. The rows are written once, so ranks stay as they are.
     """
 
     def cut(batches):
@@ -135,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()])], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    return written(documents(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
+    return written(mapped(documents(docs), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"), "pieces")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -163,7 +164,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     ranked = cut.join(starts, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

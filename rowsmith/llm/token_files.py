@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Encoder
-from .common import documents, shared_path, slices, table
+from .common import documents, mapped, shared_path, slices, table
 
 # Fixed values of the zstandard frame format and its seekable variant.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEKABLE_MAGIC, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -123,7 +123,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataF
     """Writes files in ascending doc_id order; returns the manifest: part, path, n_docs, n_ids.
 
     A file's name holds the attempt that wrote it and only the manifest names files, so attempts that
-    failed leave nothing that is read. Null text: the end id alone. Null doc_ids come first.
+    failed leave nothing that is read. Null text: the end id alone. Null doc_ids come first; rows of one
+    doc_id follow one another by the hash of their text, and each has a place of its own.
     """
 
     def put(batches):
@@ -150,8 +151,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataF
             yield pa.RecordBatch.from_pylist([{"part": context.partitionId(), "path": path, "n_docs": n_docs, "n_ids": n_ids}])
 
     # Rows of one doc_id are told apart by their text, so that many such rows spread over tasks too.
-    rows = documents(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
-    manifest = rows.mapInArrow(put, "part long, path string, n_docs long, n_ids long")
+    order = ["doc_id", F.xxhash64("text")]
+    manifest = mapped(documents(docs).repartitionByRange(*order).sortWithinPartitions(*order), put, "part long, path string, n_docs long, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
@@ -179,7 +180,9 @@ def read(manifest: DataFrame) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition("path").mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task for each file; a number that is given is not merged into fewer.
+    spread = files.repartitionByRange(max(1, manifest.count()), "start", "path")
+    return mapped(spread, get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
