@@ -14,14 +14,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, written
+from .common import discarded, documents, mapped, slices, table, written
 
 #: Labelled documents that the model is fitted on, at most about so many; chosen by the hash of doc_id.
 SAMPLE = 20_000
-#: Terms of the model, and the least G-statistic of a term's association with the label.
-TERMS, LEAST_G = 256, 30.0
+#: Terms of the model: those most associated with the label, by G-statistic.
+TERMS = 2048
 GRADES = 3  # above 0, which is not toxic
 REJECT = 0.5  # likelihood of a grade above 0
+#: A term's association with the label counts for severity from this G-statistic on (one in 10**7 by chance).
+CERTAIN_G = 28.0
+#: A term's count is scaled by g / (g + DOUBT): the less sure its association, the less it can weigh.
+DOUBT = 20.0
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,7 +47,7 @@ def features_of(word: bytes) -> list[bytes]:
 
 def hits_of(text: str | None, terms: dict[bytes, int]) -> list[int]:
     """Term numbers of all words, each as often as it occurs; words seen before are looked up once."""
-    if _memo[0] is not terms or len(_memo[1]) > 200_000:
+    if _memo[0] is not terms or len(_memo[1]) > 100_000:
         _memo[:] = [terms, {}]
     memo = _memo[1]
     out: list[int] = []
@@ -59,7 +63,7 @@ def hits_of(text: str | None, terms: dict[bytes, int]) -> list[int]:
 @dataclass(frozen=True)
 class Model:
     terms: dict[bytes, int]
-    weights: np.ndarray
+    weights: np.ndarray  # with the scale of each term
     thresholds: np.ndarray
 
     def likelihoods(self, text: str | None) -> np.ndarray:
@@ -96,7 +100,7 @@ def without_shorter(counts: DataFrame) -> DataFrame:
     return counts.join(longer, ["term", "a", "b"], "left_anti")
 
 
-def fit_ordinal(rows: list[np.ndarray], cols: np.ndarray, values: np.ndarray, grades: np.ndarray, terms: int, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], cols: np.ndarray, values: np.ndarray, grades: np.ndarray, terms: int, steps: int = 400, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds by gradient descent on the negative log-likelihood.
 
     Each threshold separates the grades above it from the others; the weights are shared.
@@ -123,12 +127,13 @@ def fit_ordinal(rows: list[np.ndarray], cols: np.ndarray, values: np.ndarray, gr
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """The model from the labelled sample. Without both classes it has no terms and rejects nothing.
 
-    Grades of toxic documents come from how dense the terms of the toxic class stand in them, cut at
-    the terciles of the sample.
+    Labels only say toxic or not. Grades of toxic documents come from how dense terms stand in them that
+    are surely of the toxic class, each weighted by its odds, cut at the terciles of the sample.
     """
     nothing = Model({}, np.zeros(0), np.full(GRADES, 30.0))
-    # The sample is bounded, so sending it to every task is too.
-    own = documents(docs).join(F.broadcast(sample(labels, most)), "doc_id")
+    # The sample is bounded, so sending its ids to every task is too; its texts are read three times.
+    # Equal texts count once, so that a large group of copies with one wrong label does not teach it.
+    own = written(documents(docs).join(F.broadcast(sample(labels, most)), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "sample")
 
     def distinct(batches):
         import pyarrow as pa
@@ -137,23 +142,25 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             for part in slices(batch):
                 n = (Counter(), Counter())
                 for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                    own = n[int(y > 0)]
-                    own.update({f for w in set(words_of(text)) for f in features_of(w)})
-                    own[b""] += 1  # the empty term stands for the number of documents
+                    of = n[int(y > 0)]
+                    of.update({f for w in set(words_of(text)) for f in features_of(w)})
+                    of[b""] += 1  # the empty term stands for the number of documents
                 for y in (0, 1):
                     yield pa.RecordBatch.from_arrays([pa.array(list(n[y]), pa.binary()), pa.array([y] * len(n[y]), pa.int32()), pa.array(list(n[y].values()), pa.int64())], ["term", "toxic", "n"])
 
-    counts = own.mapInArrow(distinct, "term binary, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    counts = mapped(own, distinct, "term binary, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
     counts = written(counts.where("a + b > 1 OR octet_length(term) = 0"), "terms")
     total = counts.where("octet_length(term) = 0").first()
     if total is None or not total["a"] or not total["b"]:
         return nothing
     na, nb = total["a"], total["b"]
-    top = without_shorter(counts.where("octet_length(term) > 0")).withColumn("g", _g(na, nb)).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(TERMS).collect()
+    top = without_shorter(counts.where("octet_length(term) > 0")).withColumn("g", _g(na, nb)).orderBy(F.desc("g"), "term").limit(TERMS).collect()
+    discarded(counts)
     terms = {bytes(r["term"]): k for k, r in enumerate(top)}
     if not terms:
         return nothing
-    harmful = np.array([r["a"] / na > r["b"] / nb for r in top])
+    # How much more often than not a document with the term is toxic; none for terms of the other class.
+    odds = np.array([max(0.0, np.log((r["a"] + 0.5) * (nb + 1) / ((r["b"] + 0.5) * (na + 1)))) * (r["g"] >= CERTAIN_G) for r in top])
 
     def hits(batches):
         import pyarrow as pa
@@ -162,30 +169,38 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
             for part in slices(batch):
                 rows = []
                 for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
-                    rows.append((int(y > 0), len(words_of(text)), hits_of(text, terms)))
+                    k, n = np.unique(np.array(hits_of(text, terms), dtype=np.int64), return_counts=True)
+                    rows.append((int(y > 0), len(words_of(text)), k.astype(np.int32), n.astype(np.int32)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.list_(pa.int32())])], ["toxic", "n", "hits"])
-
-    seen = own.mapInArrow(hits, "toxic int, n long, hits array<int>").collect()  # a row for each document of the sample
-    y = np.array([r["toxic"] for r in seen])
-    density = np.array([100 * harmful[r["hits"]].sum() / max(1, r["n"]) if r["hits"] else 0.0 for r in seen])
-    cuts = np.quantile(density[y > 0], np.arange(1, GRADES) / GRADES)
-    grades = np.where(y > 0, 1 + np.searchsorted(cuts, density, "left"), 0)
-    rows, cols, values = [], [], []
-    for i, r in enumerate(seen):
-        if r["hits"]:
-            k, n = np.unique(r["hits"], return_counts=True)
-            rows.append(np.full(len(k), i))
-            cols.append(k)
-            values.append(np.log1p(n))
-    if not rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())])], ["toxic", "n_words", "terms", "times"])
+
+    # A row for each document of the sample, with each of the TERMS at most once.
+    seen = mapped(own, hits, "toxic int, n_words long, terms array<int>, times array<int>").collect()
+    discarded(own)
+    grades = severity_grades(np.array([r["toxic"] for r in seen]), np.array([100 * odds[r["terms"]] @ np.array(r["times"], dtype=float) / max(1, r["n_words"]) if r["terms"] else 0.0 for r in seen]))
+    rows = np.repeat(np.arange(len(seen)), [len(r["terms"]) for r in seen])
+    cols = np.array([k for r in seen for k in r["terms"]], dtype=np.int64)
+    values = np.log1p(np.array([n for r in seen for n in r["times"]], dtype=float))
+    if not len(rows):
         return nothing
-    w, thresholds = fit_ordinal(np.concatenate(rows), np.concatenate(cols), np.concatenate(values), grades, len(terms))
-    return Model(terms, w, thresholds)
+    scale = np.array([r["g"] / (r["g"] + DOUBT) for r in top])
+    w, thresholds = fit_ordinal(rows, cols, values * scale[cols], grades, len(terms))
+    return Model(terms, w * scale, thresholds)
+
+
+def severity_grades(toxic: np.ndarray, density: np.ndarray) -> np.ndarray:
+    """0 for documents that are not toxic; toxic ones by the terciles of density among them, ties by place."""
+    grades = np.zeros(len(toxic), dtype=np.int64)
+    own = np.flatnonzero(toxic > 0)
+    grades[own[np.argsort(density[own], kind="stable")]] = 1 + np.arange(len(own)) * GRADES // max(1, len(own))
+    return grades
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, severity (the expected grade), grade (the likeliest), toxic. Null or empty text: no hits."""
+    """doc_id, severity (the expected grade), grade (the median), toxic (a grade above 0 is as likely as not).
+
+    Null or empty text: no hits. Each row is scored by its text alone, whatever its doc_id.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -194,10 +209,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 p = np.array([shared.value.likelihoods(t) for t in part.column("text").to_pylist()]).reshape(-1, GRADES)
-                each = -np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)], ["doc_id", "severity", "grade", "toxic"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= REJECT).sum(1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)], ["doc_id", "severity", "grade", "toxic"])
 
-    return documents(docs).mapInArrow(score, "doc_id long, severity double, grade int, toxic boolean")
+    return mapped(documents(docs), score, "doc_id long, severity double, grade int, toxic boolean")
 
 
 def kept(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,7 +225,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 yield part.filter(pa.array([bool(shared.value.likelihoods(t)[0] < REJECT) for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return mapped(docs, keep, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

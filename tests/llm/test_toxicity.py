@@ -53,7 +53,7 @@ def test_features():
 
 
 def test_words_with_equal_counts_all_stay(spark):
-    texts = ["calm plain text" + [" scum", " disgusting", "", "", "", ""][i % 6] for i in range(300)]
+    texts = [f"calm plain text {chr(97 + i % 26)}{chr(97 + i // 26)}" + [" scum", " disgusting", "", "", "", ""][i % 6] for i in range(300)]
     labels = spark.createDataFrame([(i, 1, int(i % 6 < 2)) for i in range(300)], "doc_id long, quality int, toxic int")
     model = t.fitted(docs(spark, texts), labels)
     assert {b"scum", b"disgusting"} <= set(model.terms) and b"disg*" not in model.terms
@@ -64,3 +64,47 @@ def test_only_beginnings_in_the_same_documents_go(spark):
     rows = [(b"idiot", 3, 1), (b"idio*", 5, 1), (b"idiots", 3, 1), (b"idiot*", 3, 1), (b"scum", 3, 1), (b"disgustingly", 3, 1), (b"disgustin*", 3, 1), (b"disgusti*", 3, 1), (b"loser", 3, 0), (b"lose*", 3, 1)]
     got = t.without_shorter(spark.createDataFrame([(bytearray(x), a, b) for x, a, b in rows], "term binary, a long, b long")).collect()
     assert {bytes(r.term) for r in got} == {b"idiot", b"idio*", b"idiots", b"scum", b"disgustingly", b"loser", b"lose*"}
+
+
+def test_query_by_brute_force(spark):
+    """Every row of the query from its own text: terms counted one by one, the law of the model written out."""
+    from .helpers import SMALL
+
+    d, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = t.fitted(d, labels)
+    got = {r.doc_id: r for r in t.op6_toxicity(spark, SMALL).collect()}
+    texts = {r.doc_id: r.text for r in d.collect()}
+    assert set(got) == set(texts) and len(model.terms) > 100 and np.all(np.diff(model.thresholds) > 0)
+    for k, text in texts.items():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or ord(c) > 127 else " " for c in text or "").split()
+        score = 0.0
+        for term, i in model.terms.items():
+            if term.endswith(b"*"):
+                n = sum(w.encode().startswith(term[:-1]) and len(w.encode()) > len(term) - 1 for w in words)
+            else:
+                n = sum(w.encode() == term for w in words)
+            score += np.log1p(n) * model.weights[i]
+        p = 1 / (1 + np.exp(-np.clip(score - model.thresholds, -30, 30)))
+        assert abs(got[k].severity - p.sum()) < 1e-6 and got[k].grade == int((p >= 0.5).sum()) and got[k].toxic == bool(p[0] >= 0.5)
+
+
+def test_all_grades_occur(spark):
+    d = "/root/testdata/sf0.01"
+    rows = t.op6_toxicity(spark, d).collect()
+    n = np.bincount([r.grade for r in rows], minlength=t.GRADES + 1)
+    assert all(n > 0) and n[0] > 0.85 * len(rows)
+    severity = [np.mean([r.severity for r in rows if r.grade == g]) for g in range(t.GRADES + 1)]
+    assert severity == sorted(severity)
+
+
+def test_terciles():
+    y = np.array([0, 1, 1, 1, 0, 1, 1, 1])
+    assert t.severity_grades(y, np.array([9, 1, 1, 1, 0, 1, 1, 5.0])).tolist() == [0, 1, 1, 2, 0, 2, 3, 3]
+    assert t.severity_grades(np.zeros(3), np.ones(3)).tolist() == [0, 0, 0]
+
+
+def test_repeated_and_null_ids(spark):
+    d, labels = labelled(spark)
+    model = t.fitted(d, labels)
+    rows = t.scored(docs(spark, ["vile vile vile", "fine", "vile vile", None], [3, 3, None, None]), model).collect()
+    assert sorted((r.doc_id or 0, r.toxic) for r in rows) == [(0, False), (0, True), (3, False), (3, True)]
