@@ -1,10 +1,12 @@
 """Personal data: fixed base patterns, and spans that weak supervision adds to them.
 
-Labelers of three kinds (pattern, gazetteer, context) vote on candidate spans: for, against or not at
-all. Expectation-maximisation over the counts of vote patterns in the whole corpus estimates how far
-each labeler can be trusted and how likely each pattern is personal; a logistic span classifier is
-then trained on these soft labels. Both work on counts by pattern, whose number is fixed by the
-labelers and features, not by the corpus.
+Labelers of three kinds vote on candidate spans, for, against or not at all: patterns (the form of the
+span, how varied it is, its check digit), gazetteers (prefixes of keys, issuers and countries; words that
+name personal data) and contexts (assignments, quotes, what stands around). For each kind of span
+expectation-maximisation over the counts of vote patterns in the whole corpus estimates how far each
+labeler can be trusted and how likely each pattern is personal; a logistic span classifier is then
+trained on these soft labels. Both work on counts by pattern, whose number is fixed by the labelers and
+features, not by the corpus.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, table, with_n_chars, written
+from .common import discarded, documents, mapped, slices, table, with_n_chars, written
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 _RANK = {k: i for i, k in enumerate(KINDS)}
@@ -80,14 +82,22 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 # Candidates beyond the base, each pattern with the rank of its kind.
 _ASSIGNED = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|auth|credential)s?\b[\"']?[ ]?[=:][ ]?[\"']?([^\s\"',;]{6,})")
-_HEX = re.compile(r"\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,128}\b")
+_HEX = re.compile(r"(?i)\b(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}+\b")
 _NATIONAL = re.compile(r"(?<![0-9+])\(?[2-9][0-9]{2}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _DIGITS = re.compile(r"(?<![0-9.])[0-9]{9,19}(?![0-9.])")
-_SECRET_CUES = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|token|secret|key|auth|credential|bearer)s?\W*$")
-_PHONE_CUES = re.compile(r"(?i)(?:tel|phone|call|fax|mobile|cell|contact|whatsapp)\w*\W*$")
-_CARD_CUES = re.compile(r"(?i)(?:card|visa|account|iban|payment|credit)\w*\W*$")
-_CUES = {4: _SECRET_CUES, 3: _PHONE_CUES, 2: _CARD_CUES}
-LABELERS = ("shape", "cue words", "assignment", "variety", "surroundings")
+# Gazetteers, fixed values: words that name a secret, a phone or a card; beginnings of known keys, of the
+# numbers of card issuers, and of national numbers that are in use.
+NAMES = {
+    4: frozenset("password passwd passphrase pwd pass token secret key apikey auth credential credentials bearer private access session cookie jwt pin otp".split()),
+    3: frozenset("tel telephone phone call fax mobile cell contact whatsapp hotline number portable handy telefon telefono numero".split()),
+    2: frozenset("card visa mastercard amex account iban payment credit debit konto carte tarjeta cuenta compte".split()),
+}
+KEY_BEGINNINGS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghs_", "glpat-", "sk-", "sk_live_", "pk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ", "SG.", "-----BEGIN")
+ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "30", "36", "38", "35", "6011", "65", "62")
+NO_AREA = ("0", "1", "37", "96")
+_WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z]{0,4}\Z")
+_ASSIGNMENT = re.compile(r"[=:][ ]?[\"']?\Z")
+LABELERS = ("shape", "beginnings", "names", "assignment", "variety", "surroundings")
 
 
 def _vote(text: str, kind: int, a: int, b: int) -> str:
@@ -98,18 +108,22 @@ def _vote(text: str, kind: int, a: int, b: int) -> str:
     variety = len(set(span)) / max(1, min(len(span), 16))
     if kind == 4:
         shape = "+" if digits >= 3 and letters >= 3 and len(span) >= 12 else "-" if digits == 0 else "0"
+        known = "+" if span.startswith(KEY_BEGINNINGS) else "0"
         varied = "+" if variety >= 0.5 and digits else "-" if variety < 0.3 else "0"
     elif kind == 3:
         shape = "+" if 9 <= digits <= 15 and len(span) > digits else "-"
+        known = "-" if span.lstrip("(").startswith(NO_AREA) else "+"
         varied = "+" if len(set(span)) >= 4 else "-"
     else:
         shape = "+" if 12 <= digits <= 19 else "-"
+        known = "+" if span.startswith(ISSUERS) else "-"
         varied = "+" if luhn(span) else "-"
-    cue = "+" if _CUES[kind].search(before) else "0"
-    assigned = "+" if re.search(r"[=:][ ]?[\"']?$", before) else "-" if kind == 4 else "0"
+    word = _WORD_BEFORE.search(before)
+    named = "+" if word and word[1].lower() in NAMES[kind] else "0"
+    assigned = "+" if _ASSIGNMENT.search(before) else "-" if kind == 4 else "0"
     around = "+" if (before[-1:] in {"=", '"', "'", "("} or after in {'"', "'", ")"}) else "-" if after == "." and kind != 3 else "0"
     size = min(len(span) // 8, 6)
-    return f"{shape}{cue}{assigned}{varied}{around}|{KINDS[kind]}|{size}|{4 * digits // max(1, len(span))}|{int(4 * variety)}"
+    return f"{shape}{known}{named}{assigned}{varied}{around}|{KINDS[kind]}|{size}|{4 * digits // max(1, len(span))}|{int(4 * variety)}"
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
@@ -159,24 +173,27 @@ def reliabilities(counts: dict[str, int], rounds: int = 200) -> tuple[dict[str,
 
 def _features(label: str) -> list[str]:
     votes, *rest = label.split("|")
-    return ["bias", *(f"v{i}{v}" for i, v in enumerate(votes)), *(f"f{i}{v}" for i, v in enumerate(rest)), f"k{rest[0]}{votes[:3]}"]
+    return ["bias", *(f"v{i}{v}" for i, v in enumerate(votes)), *(f"f{i}{v}" for i, v in enumerate(rest)), *(f"k{rest[0]}{i}{v}" for i, v in enumerate(votes))]
 
 
 def classifier(counts: dict[str, int], steps: int = 400) -> dict[str, float]:
     """The trained span classifier as its probability for each pattern of votes and features."""
     if not counts:
         return {}
-    by_votes: dict[str, int] = {}
+    # A labeler may be good for one kind of span and poor for another.
+    by_votes: dict[str, dict[str, int]] = {}
     for label, n in counts.items():
-        by_votes[label.split("|")[0]] = by_votes.get(label.split("|")[0], 0) + n
-    soft, _, _ = reliabilities(by_votes)
+        votes, kind = label.split("|")[:2]
+        own = by_votes.setdefault(kind, {})
+        own[votes] = own.get(votes, 0) + n
+    soft = {kind: reliabilities(own)[0] for kind, own in by_votes.items()}
     labels = sorted(counts)
     names = {f: i for i, f in enumerate(sorted({f for p in labels for f in _features(p)}))}
     x = np.zeros((len(labels), len(names)))
     for i, p in enumerate(labels):
         for f in _features(p):
             x[i, names[f]] = 1
-    y, n = np.array([soft[p.split("|")[0]] for p in labels]), np.array([counts[p] for p in labels], dtype=float)
+    y, n = np.array([soft[p.split("|")[1]][p.split("|")[0]] for p in labels]), np.array([counts[p] for p in labels], dtype=float)
     n = n / n.sum()
     w, m, v = np.zeros(len(names)), 0, 0
     for t in range(1, steps + 1):
@@ -204,7 +221,7 @@ def extracted(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(base_rows, pa.list_(span)), pa.array(more_rows, pa.list_(span))], ["doc_id", "base", "more"])
 
     kind = "array<struct<start:long,kind:int,end:long,votes:string>>"
-    return written(documents(docs).mapInArrow(find, f"doc_id long, base {kind}, more {kind}"), "candidates")
+    return written(mapped(documents(docs), find, f"doc_id long, base {kind}, more {kind}"), "candidates")
 
 
 def trained(found: DataFrame) -> dict[str, float]:
@@ -214,7 +231,10 @@ def trained(found: DataFrame) -> dict[str, float]:
 
 
 def detected(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """One row a document with its spans. Null or empty text has none; equal rows give equal rows."""
+    """One row a document with its spans. Null or empty text has none.
+
+    Each row counts by its text alone: equal rows, and rows of one doc_id or none, give a row each.
+    """
     found = extracted(docs)
     accepted = docs.sparkSession.sparkContext.broadcast(frozenset(p for p, q in trained(found).items() if q >= least))
 
@@ -232,7 +252,7 @@ def detected(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 types = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return mapped(found, finish, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redacted_text(text: str | None, accepted: frozenset[str]) -> str | None:
@@ -251,7 +271,9 @@ def redacted_text(text: str | None, accepted: frozenset[str]) -> str | None:
 
 def redacted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs with the personal data of their texts redacted; all rows and columns stay."""
-    accepted = docs.sparkSession.sparkContext.broadcast(frozenset(p for p, q in trained(extracted(docs)).items() if q >= least))
+    found = extracted(docs)
+    accepted = docs.sparkSession.sparkContext.broadcast(frozenset(p for p, q in trained(found).items() if q >= least))
+    discarded(found)
 
     def redact(batches):
         import pyarrow as pa
@@ -261,7 +283,7 @@ def redacted(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 at = part.schema.get_field_index("text")
                 yield part.set_column(at, part.schema.field(at), pa.array([redacted_text(t, accepted.value) for t in part.column(at).to_pylist()], part.schema.field(at).type))
 
-    return with_n_chars(docs.mapInArrow(redact, docs.schema))
+    return with_n_chars(mapped(docs, redact, docs.schema))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,28 @@ def test_secrets_are_added(spark):
     rows = [f'text token = "{hashlib.sha1(bytes([i])).hexdigest()}" text' for i in range(30)] + [f"number {10**15 + 7 * i} here" for i in range(30)]
     added = [r.n_added for r in pii.detected(docs(spark, rows)).orderBy("doc_id").collect()]
     assert sum(added[:30]) >= 28 and sum(added[30:]) <= 3
+
+
+def test_recall_of_planted_kinds(spark):
+    """Of each kind that stands in the given documents nine in ten are found; others are left alone."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in d.collect()}
+    got = {r.doc_id: [s.split(":") for s in r.spans.split(",") if s] for r in pii.detected(d).collect()}
+    planted = {"email": r"[a-z]+\.[0-9]+@mail[0-9]+\.example\.com", "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])", "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "secret": r"(?i)(?<=token = \")[0-9a-f]{40}(?=\")"}
+    for kind, pattern in planted.items():
+        want = [(k, m.start(), m.end()) for k, t in texts.items() for m in re.finditer(pattern, t or "")]
+        found = [any(s[0] == kind and int(s[1]) <= a and b <= int(s[2]) for s in got[k]) for k, a, b in want]
+        assert len(want) >= 5 and sum(found) >= 0.9 * len(found), kind
+    clean = [k for k, t in texts.items() if not re.search("[0-9@]", t or "")]
+    assert len(clean) > 500 and not any(got[k] for k in clean)
+
+
+def test_repeated_ids_and_long_secrets(spark):
+    texts = ["a@b.c", "x 1.2.3.4", "a@b.c", None]
+    rows = pii.detected(clashing(docs(spark, texts, [4, 4, None, None]))).collect()
+    assert sorted((r.doc_id or 0, r.spans) for r in rows) == [(0, ""), (0, "email:0:5"), (4, "email:0:5"), (4, "ip:2:9")]
+    long = "0123456789abcdef" * 40
+    assert [(a, pii.KINDS[k], b) for a, k, b, _ in pii.candidates(f"key {long} end", [])] == [(4, "secret", 4 + len(long))]
+    kept = pii.redacted(clashing(docs(spark, texts, [4, 4, None, None])))
+    assert sorted(r.text or "" for r in kept.collect()) == ["", "[EMAIL]", "[EMAIL]", "x [IP]"] and "rank" in kept.columns
+    assert pii.redacted(docs(spark, [])).count() == 0
