@@ -11,8 +11,12 @@ from .common import table, written
 
 #: (verdict, host, path)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Words of hosts that label a URL as one to be blocked, where no labels are given. Fixed values.
+SEEDS = ("ads", "adserver", "bet", "bets", "betting", "casino", "cheap", "crack", "escort", "free", "gambling", "jackpot", "keygen", "loan", "loans", "pills", "pharmacy", "poker", "porn", "replica", "slots", "track", "tracker", "viagra", "warez", "win", "xxx")
 #: Labelled URLs that the trees are trained on, at most about so many, by the hash of the URL.
 SAMPLE = 20_000
+#: Folds that labelled URLs are in while the trees are trained.
+FOLDS = 5
 #: Suffixes and first path parts, fewer than so many of each, whose statistics are broadcast; the others are joined.
 HOT = 1000
 FEATURES = ["length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "secure", "last_part_length", "suffix_rate", "part_rate"]
@@ -67,11 +71,15 @@ def _rates(labelled: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return counts.where(F.col("n") > least), counts.where(F.col("n") <= least)
 
 
-def _with_rates(urls: DataFrame, rates: list[tuple[str, DataFrame, DataFrame]], own: Column | None = None) -> DataFrame:
+def fold_of(url: str = "url") -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(FOLDS))
+
+
+def _with_rates(urls: DataFrame, rates: list[tuple[str, DataFrame, DataFrame]], labelled: DataFrame | None = None) -> DataFrame:
     """urls with the smoothed share of blocked URLs by each key, 0.5 for one without labelled URLs.
 
-    own is the label of URLs that are counted in the rates: each is then left out of its own rate, so
-    that a key of one URL does not give its label away and counts as an unseen one does.
+    With labelled, urls are some of those that the rates count: each then has the rates of the other
+    folds alone, so that no URL's own label is in its rates.
     """
     for key, hot, others in rates:
         urls = urls.join(F.broadcast(hot), key, "left")
@@ -80,9 +88,11 @@ def _with_rates(urls: DataFrame, rates: list[tuple[str, DataFrame, DataFrame]],
         urls = urls.withColumn("_k", F.when(F.col("n").isNull(), F.col(key))).withColumn("_d", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.xxhash64("url")))
         urls = urls.join(rest, (F.col("_k") == F.col("_key")) & (F.col("_d") == F.col("_deal")), "left")
         n, blocked = F.coalesce("n", "_n", F.lit(0)), F.coalesce("blocked", "_blocked", F.lit(0.0))
-        if own is not None:
-            n, blocked = n - 1, blocked - own
-        urls = urls.withColumn(f"{key}_rate", (blocked + 1) / (n + 2)).drop("n", "blocked", "_k", "_d", "_key", "_deal", "_n", "_blocked")
+        if labelled is not None:
+            fold = labelled.groupBy(F.col(key).alias("_key2"), fold_of().alias("_fold")).agg(F.count("*").alias("_own"), F.sum("label").alias("_own_blocked"))
+            urls = urls.join(fold, (F.col(key) == F.col("_key2")) & (fold_of() == F.col("_fold")), "left")
+            n, blocked = n - F.coalesce("_own", F.lit(0)), blocked - F.coalesce("_own_blocked", F.lit(0.0))
+        urls = urls.withColumn(f"{key}_rate", (blocked + 1) / (n + 2)).drop("n", "blocked", "_k", "_d", "_key", "_deal", "_n", "_blocked", "_key2", "_fold", "_own", "_own_blocked")
     return urls
 
 
@@ -96,8 +106,11 @@ class Filter:
         n = max(1, labelled.count())
         sample = features.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30)))
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        train = written(_with_rates(sample.repartition(4, "url"), self.rates, F.col("label")).select("label", *FEATURES), "urls")
-        self.model = GBTClassifier(maxIter=12, maxDepth=3, seed=11, featuresCol="features", labelCol="label").fit(self.assembler.transform(train))
+        train = written(_with_rates(sample.repartition(4, "url"), self.rates, features).select("label", *FEATURES), "urls")
+        # Both labels weigh alike, however rare one of them is.
+        share = train.agg(F.avg("label").alias("x")).first()["x"] or 0.0
+        train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / max(share, 1e-6)).otherwise(0.5 / max(1 - share, 1e-6)))
+        self.model = GBTClassifier(maxIter=12, maxDepth=3, seed=11, featuresCol="features", labelCol="label", weightCol="weight").fit(self.assembler.transform(train))
 
     def judged(self, urls: DataFrame) -> DataFrame:
         """urls with the likelihood that they are to be blocked."""
@@ -107,17 +120,29 @@ class Filter:
         return self.model.transform(x).withColumn("blocked_likelihood", vector_to_array("probability")[1])
 
 
-def verdicts(pages: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict. URLs with a rule are the labels for those without.
+def seeded(urls: DataFrame) -> DataFrame:
+    """urls with label: 1.0 where a word of the host is one of SEEDS, else 0.0.
+
+    Weak labels: hosts of unwanted kinds often say so. The trees see no words, only the lexical features,
+    and so judge hosts that name themselves otherwise by their likeness to these.
+    """
+    words = F.split(F.col("host"), "[^a-z0-9]+")
+    return urls.withColumn("label", F.arrays_overlap(words, F.array(*map(F.lit, SEEDS))).cast("double"))
+
+
+def verdicts(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict. labelled: url and label (1.0: to be blocked), else seeded() pages.
 
-    If the rules give no labels of both kinds, URLs without a rule are allowed.
+    If there are no labels of both kinds, URLs without a rule are allowed. Every row is judged by its url
+    alone; rows with one page_id, or none, give a row each.
     """
     urls = ruled(pages)
-    labelled = urls.where("given IS NOT NULL").withColumn("label", (F.col("given") == "block").cast("double"))
-    kinds = {r["label"] for r in labelled.select("label").distinct().collect()}  # two rows at most
+    own = seeded(urls) if labelled is None else parsed(labelled.select(F.lit(None).cast("long").alias("page_id"), "url")).join(labelled.groupBy("url").agg(F.max("label").alias("label")), "url")
+    own = own.where("url <> ''").select("url", "host", "path", "label")
+    kinds = {r["label"] for r in own.select("label").distinct().collect()}  # two rows at most
     if len(kinds) < 2:
         return urls.select("page_id", "host", "path", "rule", F.coalesce("given", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("blocked_likelihood"))
-    j = Filter(labelled).judged(urls)
+    j = Filter(own).judged(urls)
     return j.select("page_id", "host", "path", "rule", F.coalesce("given", F.when(F.col("blocked_likelihood") >= 0.5, "block").otherwise("allow")).alias("verdict"), "blocked_likelihood")
 
 

@@ -75,8 +75,35 @@ def test_rates_of_all_keys(spark, monkeypatch):
     for r in rows:
         seen = counts.get(r.part, [])
         assert abs(r.part_rate - (sum(seen) + 1) / (len(seen) + 2)) < 1e-12
-    # A labelled URL is left out of its own rates.
-    own = u._with_rates(u._lexical(d), rates, __import__("pyspark").sql.functions.col("label")).collect()
+    # A labelled URL has the rates of the other folds.
+    f = u._lexical(d)
+    own = u._with_rates(f.withColumn("fold", u.fold_of()), rates, f).collect()
+    fold = {r.url: r.fold for r in own}
     assert len(own) == 600
     for r in own:
-        assert abs(r.part_rate - (sum(counts[r.part]) - r.label + 1) / (len(counts[r.part]) + 1)) < 1e-12
+        seen = [label(i) for i in range(600) if part(i) == r.part and fold[f"http://h{i}.org/{part(i)}/x"] != r.fold]
+        assert abs(r.part_rate - (sum(seen) + 1) / (len(seen) + 2)) < 1e-12
+
+
+def test_held_out_pages(spark):
+    """Trees trained on half of the given pages judge the other half by likeness alone."""
+    F = __import__("pyspark").sql.functions
+    d = u.seeded(u.ruled(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))).where("url <> ''").select("url", "host", "path", "label").withColumn("half", F.crc32("host") % 2)
+    rows = u.Filter(d.where("half = 0").drop("half")).judged(d.where("half = 1").drop("half")).select("label", "blocked_likelihood").collect()
+    bad, good = ([r.blocked_likelihood >= 0.5 for r in rows if r.label == y] for y in (1.0, 0.0))
+    assert len(bad) >= 20 and sum(bad) >= 0.8 * len(bad) and sum(good) <= 0.03 * len(good)
+
+
+def test_verdicts_follow_the_trees(spark):
+    rows = u.op5_url_filter(spark, "/root/testdata/sf0.01").collect()
+    free = [r for r in rows if r.rule is None]
+    assert len(free) > 50 and all(r.verdict == ("block" if r.blocked_likelihood >= 0.5 else "allow") for r in free)
+    assert 0 < sum(r.verdict == "block" for r in free) < 0.2 * len(free)
+
+
+def test_repeated_and_null_page_ids(spark):
+    d = spark.createDataFrame([(3, "http://a.com/"), (3, "http://a.net/es/x"), (None, "http://a.com/"), (None, None)], "page_id long, url string")
+    assert sorted((r.page_id or 0, r.host, r.rule or "") for r in u.verdicts(clashing(d)).collect()) == [(0, "", ""), (0, "a.com", "com/"), (3, "a.com", "com/"), (3, "a.net", "net/es/")]
+    given = spark.createDataFrame([(f"http://{'q-' * (i % 2)}h{i}.org/", float(i % 2)) for i in range(200)], "url string, label double")
+    got = u.verdicts(spark.createDataFrame([(1, "http://q-new.org/"), (2, "http://new.org/")], "page_id long, url string"), given).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["block", "allow"]
