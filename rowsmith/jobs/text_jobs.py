@@ -372,13 +372,27 @@ SELECT cluster, n_tokens, max(n) AS n, string_agg(coalesce(literal, actual || '(
 
 
 def diff_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patterns with optional slots from pairs of differing lines, tested on every line of their cluster."""
+    """Snippets with optional slots from pairs of differing lines, and how many lines of their cluster match."""
     log = _logs(spark, sf_dir)
     found = mining.matching_patterns(log, "event_type")
     # A pattern for each cluster; all lines of the cluster are tested against it.
-    tested = log.join(F.broadcast(found), "event_type")
-    ok = F.expr("rlike(line, concat('^(?:', regexp_replace(pattern, '[(][?]P<[A-Za-z0-9]+>', '('), ')$'))")
-    return tested.groupBy("event_type", "pattern", "snippet").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("n_matched"))
+    tested = log.join(found, "event_type")
+    ok = F.coalesce(F.expr("rlike(line, concat('^(?:', regexp_replace(pattern, '[(][?]P<[A-Za-z0-9]+>', '('), ')$'))"), F.lit(False))
+    return tested.groupBy("event_type", "snippet", "error").agg(F.count("*").alias("n"), F.sum(ok.cast("long")).alias("n_matched"))
+
+
+# The lines are rendered from columns, so the class of each slot is that of its column; users and the word
+# behind some of them differ side by side, so they are one slot.
+DIFF_TEMPLATES_SQL = f"""
+WITH v AS (SELECT event_type, user_id || CASE WHEN event_id % 3 = 0 THEN ' again' ELSE '' END AS u, string_split(props, ' ') AS p FROM events),
+w AS (SELECT event_type, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS t FROM v),
+k AS (SELECT event_type, i, count(DISTINCT t) AS different, min(t) AS least, bit_and({c.mask_sql('t')}) AS m FROM w GROUP BY 1, 2),
+slots AS (SELECT event_type, i, CASE WHEN different = 1 THEN least ELSE {c.first_sql('m', 1)} || '(var_v' || (sum((different > 1)::INT) OVER (PARTITION BY event_type ORDER BY i)) || ')' END AS part FROM k),
+props AS (SELECT event_type, string_agg(part, ' ' ORDER BY i) AS props FROM slots GROUP BY 1),
+u AS (SELECT event_type, count(*) AS n, bit_and({c.mask_sql('u')}) AS m FROM v GROUP BY 1)
+SELECT event_type, 'start() ' || event_type || ' by user ' || {c.first_sql('m', 1)} || '(var_v0) with ' || props || ' end()' AS snippet, NULL::VARCHAR AS error, n, n AS n_matched
+FROM u JOIN props USING (event_type)
+"""
 
 
 def token_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,5 +485,5 @@ ORACLES = {
     "rule_table_roundtrip": TABLE_SQL, "gap_table_roundtrip": TABLE_SQL, "column_width_profile": COLUMN_WIDTH_SQL, "row_layouts": ROW_LAYOUTS_SQL,
     "template_parse_filldown": TEMPLATE_FILLDOWN_SQL, "template_parse_continuation": TEMPLATE_CONTINUATION_SQL, "continued_lines": CONTINUED_SQL, "template_parse_lines": PARSE_LINES_SQL, "snippet_compile": SNIPPET_COMPILE_SQL,
     "verify_counts": VERIFY_COUNTS_SQL, "verify_content": VERIFY_CONTENT_SQL, "verify_verdicts": VERDICTS_SQL, "coverage_unmatched": COVERAGE_SQL, "registry_upsert": REGISTRY_UPSERT_SQL, "registry_lookup": REGISTRY_LOOKUP_SQL,
-    "whitespace_variants": WHITESPACE_SQL, "mined_slots": MINED_SLOTS_SQL, "mined_templates": MINED_TEMPLATES_SQL, "token_symbols": TOKEN_SYMBOLS_SQL, "token_split": TOKEN_SPLIT_SQL, "token_join_capture": TOKEN_CAPTURE_SQL,
+    "whitespace_variants": WHITESPACE_SQL, "mined_slots": MINED_SLOTS_SQL, "mined_templates": MINED_TEMPLATES_SQL, "diff_templates": DIFF_TEMPLATES_SQL, "token_symbols": TOKEN_SYMBOLS_SQL, "token_split": TOKEN_SPLIT_SQL, "token_join_capture": TOKEN_CAPTURE_SQL,
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import PUNCT
+from ..functions.classes import CLASSES, PUNCT
 from ..sources.documents import lines_of
 
 SPACE = r"[ \t\n\x0b\f\r]"
@@ -49,14 +51,9 @@ def is_clock_or_address(data: Column) -> Column:
     )
 
 
-# The classes that a signature replaces, each between white space or line ends.
-MASKED = [
-    ("digit", r"[0-9]"),
-    ("digits", r"[0-9]+"),
-    ("number", r"[0-9]*[.]?[0-9]+"),
-    ("puncts", PUNCT + "{2,}"),
-    ("mixed_number", r"[+\(\[\$-]?(?:[0-9]+(?:[,:/-][0-9]+)*)?[.]?[0-9]+[\]\)%a-zA-Z]*"),
-]
+#: The classes that a signature replaces, each between white space or line ends. One mark is a class of its
+#: own and stays.
+MASKED = [(name, PUNCT + "{2,}" if name == "puncts" else re.sub(r"\((?!\?)(?<!\\\()", "(?:", dict(CLASSES)[name])) for name in ("digit", "digits", "number", "puncts", "mixed_number")]
 
 
 def signature(line: Column) -> Column:
@@ -68,6 +65,17 @@ def signature(line: Column) -> Column:
     return F.when(is_empty(line), blank).otherwise(out)
 
 
+def signature_at(docs: DataFrame, index: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, signature, error of the line at a place of each document; negative places count from the end.
+
+    A place that a document does not have, and a null text, gives the error as a value.
+    """
+    lines = lines_of(F.col(text))
+    at = F.lit(index) if index >= 0 else F.size(lines) + index
+    d = docs.select(key, F.when(at >= 0, F.get(lines, at)).alias("_line"))
+    return d.select(key, F.when(F.col("_line").isNotNull(), signature(F.col("_line"))).alias("signature"), F.when(F.col("_line").isNull(), f"line {index} is not there").alias("error"))
+
+
 def signature_sql(line: str) -> str:
     """The same for DuckDB; twice each, as a blank may belong to two tokens."""
     out = line
@@ -83,8 +91,6 @@ _BRACKETS = {"[:digit:]": "0-9", "[:alpha:]": "a-zA-Z", "[:alnum:]": "a-zA-Z0-9"
 
 def marker_pattern(item: str) -> str:
     """The pattern of a marker: `--regex R`, `--wildcard W` or plain text; case does not count."""
-    import re
-
     kind, _, rest = item.partition(" ")
     if kind == "--regex":
         return f"(?i){rest}"
@@ -98,11 +104,14 @@ def marker_pattern(item: str) -> str:
 
 
 def position_of(lines: Column, item: int | str | None) -> Column:
-    """0-based place of the first line that a marker matches, or a valid index itself; else null."""
+    """0-based place of the first line that a marker matches, or a valid index itself; else null.
+
+    Negative indices count from the end.
+    """
     if item is None:
         return F.lit(None).cast("int")
     if isinstance(item, int):
-        return F.when(F.size(lines) > item, F.lit(item))
+        return F.when(F.size(lines) > item, F.lit(item)) if item >= 0 else F.when(F.size(lines) >= -item, F.size(lines) + item)
     at = F.array_position(F.transform(lines, lambda x: x.rlike(marker_pattern(item))), True)
     return F.when(at > 0, (at - 1).cast("int"))
 

@@ -75,13 +75,16 @@ def segments(a: str, b: str) -> list[tuple[str, str, str]]:
 
 
 def pair_parts(a: str, b: str, level: str = "actual") -> list[tuple[str, bool | None]] | None:
-    """(literal, None) or (sub-pattern, whether one of the lines lacks it) in the order of two lines."""
+    """(literal, None) or (sub-pattern, whether one of the lines lacks it) in the order of two lines.
+
+    Runs of several tokens count as ones with wide gaps; what their gaps are in all lines is seen later.
+    """
     parts: list[tuple[str, bool | None]] = []
     for kind, p, q in segments(a, b):
         if kind == "common":
-            parts.append((p, None))
+            parts += [(token, None) for token in p.split()]
             continue
-        both = [v for v in (p, q) if v]
+        both = [v.replace(" ", "  ") for v in (p, q) if v]
         name = class_of_values(both, level)
         if name is None or name not in c.PATTERN:
             return None
@@ -89,30 +92,55 @@ def pair_parts(a: str, b: str, level: str = "actual") -> list[tuple[str, bool |
     return parts
 
 
-def assembled(parts: list[tuple[str, bool | None]]) -> tuple[str, str]:
-    """(pattern, snippet) of parts; an optional slot goes with its gap."""
-    pattern, snippet, n, gap = "", [], 0, ""
-    for text, optional in parts:
+#: What may stand between two tokens, as seen in all lines: one blank, blanks, any white space.
+ONE, BLANKS, ANY = 0, 1, 2
+_GAP = {ONE: (" ", " "), BLANKS: (" +", "  "), ANY: (r"\s+", "\t ")}
+
+
+def assembled(parts: list[tuple[str, bool | None]], gaps: list[int] | None = None, noted: bool = False) -> tuple[str, str]:
+    """(pattern, snippet) of parts, with the kind of each gap, blanks if none are given; an optional slot
+    goes with its gap. noted: a pattern that takes any white space, with each gap as a group."""
+    pattern, snippet, n, k = "", "", 0, 0
+    open_ = False  # whether something stands before, so that a gap is due
+    for i, (text, optional) in enumerate(parts):
+        gap = ("", "") if not open_ else _GAP[BLANKS if gaps is None else gaps[k]]
+        shown = gap[1] if open_ else ""
+        between = (rf"(?P<g{k}>\s+)" if noted else gap[0]) if open_ else ""
+        k += open_
         if optional is None:
-            pattern += gap + " +".join(map(re.escape, text.split()))
-            snippet.append(text)
-            gap = " +"
+            pattern, snippet, open_ = pattern + between + re.escape(text), snippet + shown + text, True
             continue
         slot = f"(?P<v{n}>{c.PATTERN[text]})"
-        if not optional:
-            pattern += gap + slot
-            gap = " +"
-        else:
-            pattern += f"(?:{gap}{slot})?" if gap else f"(?:{slot} +)?"
-        snippet.append(f"{text}(var_v{n}{', or_empty' if optional else ''})")
+        snippet += f"{shown}{text}(var_v{n}{', or_empty' if optional else ''})"
         n += 1
-    return pattern, " ".join(snippet)
+        if not optional:
+            pattern, open_ = pattern + between + slot, True
+        elif open_:
+            pattern += f"(?:{between}{slot})?"
+        else:  # in front: the gap behind it is its own
+            own = _GAP[BLANKS if gaps is None else gaps[k]]
+            pattern += f"(?:{slot}" + (rf"(?P<g{k}>\s+)" if noted else own[0]) + ")?"
+            snippet += own[1]
+            k += 1
+    return pattern, snippet.rstrip()
 
 
 def pair_pattern(a: str, b: str, level: str = "actual") -> tuple[str, str] | None:
-    """(pattern, snippet) for two lines; a slot that one of them lacks is optional, with its gap."""
-    parts = pair_parts(a, b, level)
-    return None if parts is None else assembled(parts)
+    """(pattern, snippet) for two lines, with their white space around."""
+    parts = pair_parts(a.strip(), b.strip(), level)
+    if parts is None:
+        return None
+    pattern, snippet = assembled(parts)
+    both = (a, b)
+    ends = [envelope(all(f(x) for x in both), any(f(x) for x in both), any(re.search(r"[\t\n\x0b\f\r]", x) for x in both)) for f in (lambda x: x[:1].isspace(), lambda x: x[-1:].isspace())]
+    return ends[0][0] + pattern + ends[1][0], snippet
+
+
+def envelope(always: bool, sometimes: bool, tabs: bool) -> tuple[str, str]:
+    """Pattern and snippet option of the white space at an end of the lines."""
+    if not sometimes:
+        return "", ""
+    return (r"\s" if tabs else " ") + ("+" if always else "*"), ("whitespace" if tabs else "space") + ("s" if always else "")
 
 
 def candidates(lines: list[str]) -> dict[str, list[tuple[str, bool | None]]]:
@@ -123,14 +151,37 @@ def candidates(lines: list[str]) -> dict[str, list[tuple[str, bool | None]]]:
     for level in ("actual", "lessen", "root"):
         for a, b in combinations(lines, 2):
             parts = pair_parts(a, b, level)
-            if parts is not None and (pattern := assembled(parts)[0]) not in out and all(re.fullmatch(pattern, x) for x in lines):
+            if parts is not None and (pattern := assembled(parts, noted=True)[0]) not in out and all(re.fullmatch(pattern, x) for x in lines):
                 out[pattern] = parts
     return out
 
 
+def gap_kind(gap: str) -> int:
+    return ONE if gap == " " else BLANKS if not gap.strip(" ") else ANY
+
+
 def general_pattern(lines: list[str]) -> tuple[str, str] | None:
-    """The first of the candidates of these lines."""
-    return next((assembled(parts) for parts in candidates(lines).values()), None)
+    """(pattern, snippet) of some lines in hand: the first candidate, with the classes of all values of its
+    slots, the kinds of all its gaps and the white space around the lines."""
+    own = [x.strip() for x in lines if x.strip()]
+    for pattern, parts in candidates(own).items():
+        masks, gaps = [-1] * sum(o is not None for _, o in parts), [ONE] * pattern.count("(?P<g")
+        for x in own:
+            m = re.fullmatch(pattern, x).groupdict()
+            masks = [k & value_mask(m[f"v{i}"]) if m[f"v{i}"] else k for i, k in enumerate(masks)]
+            gaps = [max(g, gap_kind(m[f"g{i}"])) if m[f"g{i}"] else g for i, g in enumerate(gaps)]
+        raw = [x for x in lines if x.strip()]
+        tabs = any(re.search(r"[\t\n\x0b\f\r]", x) for x in raw)
+        ends = [(all(f(x) for x in raw), any(f(x) for x in raw), tabs) for f in (lambda x: x[:1].isspace(), lambda x: x[-1:].isspace())]
+        return finished(refined(parts, masks), gaps, *ends)
+    return None
+
+
+def finished(parts: list[tuple[str, bool | None]], gaps: list[int], leading: tuple, trailing: tuple) -> tuple[str, str]:
+    """(pattern, snippet) with what stands around the lines."""
+    pattern, snippet = assembled(parts, gaps)
+    (before, start), (after, end) = envelope(*leading), envelope(*trailing)
+    return before + pattern + after, f"start({start}) {snippet} end({end})"
 
 
 def value_mask(value: str) -> int:
@@ -165,31 +216,47 @@ def _samples(lines: DataFrame, cluster: str, line: str, sample: int) -> DataFram
     return ends.withColumn("keep", (n <= sample) | (k == 0) | (spread(k) > spread(k - 1))).where("keep").select(cluster, F.col("x.line").alias("line"))
 
 
+#: What stands in the place of a pattern where there is none.
+TOO_FEW, NO_PATTERN = "fewer than two different lines", "no pattern of two lines matches all lines"
+
+
 def matching_patterns(lines: DataFrame, cluster: str, line: str = "line", sample: int = 12, rounds: int = 8) -> DataFrame:
-    """cluster, pattern, snippet: the first candidate that matches all lines of the cluster.
+    """cluster, pattern, snippet, error: the first candidate that matches all lines of the cluster.
 
     Candidates come from pairs of a bounded sample and are tested on every line. Where all of them fail,
     for each the least line that it fails on joins the sample for the next round. The classes of the
-    slots are those of their values in all lines. Pattern and snippet are null where no candidate of any
-    round matches all lines. Sample and candidates of each cluster pass through the driver.
+    slots, the gaps between tokens and the white space around the lines are those of all lines; blank
+    lines do not count. Where fewer than two lines differ, or no candidate of any round matches all
+    lines, pattern and snippet are null and error says so. What passes through the driver is bounded by
+    the sample and its candidates for each cluster.
     """
-    x = F.trim(F.regexp_replace(F.col(line), r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z", ""))
-    own = lines.select(F.col(cluster).alias("cluster"), x.alias("line")).where("line <> ''")
+    raw = F.col(line)
+    x = F.regexp_replace(raw, r"\A[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+\z", "")
+    own = lines.select(F.col(cluster).alias("cluster"), raw.alias("raw"), x.alias("line")).where("line <> ''")
+    lead, trail = F.col("raw").rlike(r"\A[ \t\n\x0b\f\r]"), F.col("raw").rlike(r"[ \t\n\x0b\f\r]\z")
+    around = {
+        r["cluster"]: r
+        for r in own.groupBy("cluster").agg(
+            F.bool_and(lead).alias("all_lead"), F.bool_or(lead).alias("lead"), F.bool_and(trail).alias("all_trail"), F.bool_or(trail).alias("trail"), F.bool_or(F.col("raw").rlike(r"[\t\n\x0b\f\r]")).alias("tabs"),
+            (F.min("line") < F.max("line")).alias("several"),
+        ).collect()
+    }
     open_: dict = {}
     for r in _samples(own, "cluster", "line", sample).collect():
-        open_.setdefault(r["cluster"], []).append(r["line"])
-    found: dict = dict.fromkeys(open_)
+        if around[r["cluster"]]["several"]:
+            open_.setdefault(r["cluster"], []).append(r["line"])
+    found: dict = {k: (None, None, NO_PATTERN if r["several"] else TOO_FEW) for k, r in around.items()}
     for _ in range(rounds):
         tried = {k: got for k, some in open_.items() if (got := candidates(sorted(set(some), key=lambda s: (len(s), s))))}
         if not tried:
             break
         fails: dict = {k: set() for k in tried}
-        masks: dict = {}
+        seen: dict = {}
         for r in _tested(own, {k: list(got) for k, got in tried.items()}).collect():
             if r["fail"] is not None:
                 fails[r["cluster"]].add((r["k"], r["fail"]["line"]))
-            elif r["slot"] >= 0:
-                masks.setdefault((r["cluster"], r["k"]), {})[r["slot"]] = r["mask"]
+            else:
+                seen.setdefault((r["cluster"], r["k"]), {})[r["part"], r["i"]] = r["masks"] if r["part"] == "slot" else r["kind"]
         nxt = {}
         for key, got in tried.items():
             dead = {k for k, _ in fails[key]}
@@ -198,18 +265,23 @@ def matching_patterns(lines: DataFrame, cluster: str, line: str = "line", sample
                 more = sorted({x for _, x in fails[key]}, key=lambda s: (len(s), s))
                 nxt[key] = open_[key] + more[:sample]
                 continue
-            parts, seen = list(got.values())[first], masks.get((key, first), {})
-            found[key] = assembled(refined(parts, [seen.get(i, 0) for i in range(sum(o is not None for _, o in parts))]))
+            pattern, parts = list(got.items())[first]
+            own_seen, r = seen.get((key, first), {}), around[key]
+            masks = [own_seen.get(("slot", i), 0) for i in range(sum(o is not None for _, o in parts))]
+            gaps = [own_seen.get(("gap", i), ONE) for i in range(pattern.count("(?P<g"))]
+            found[key] = (*finished(refined(parts, masks), gaps, (r["all_lead"], r["lead"], r["tabs"]), (r["all_trail"], r["trail"], r["tabs"])), None)
         open_ = nxt
-    rows = [(k, *(p or (None, None))) for k, p in found.items()]
     kind = lines.select(F.col(cluster).alias(cluster)).schema[0].dataType.simpleString()
-    return lines.sparkSession.createDataFrame(rows, f"`{cluster}` {kind}, pattern string, snippet string")
+    return lines.sparkSession.createDataFrame([(k, *p) for k, p in found.items()], f"`{cluster}` {kind}, pattern string, snippet string, error string")
 
 
 def _tested(lines: DataFrame, patterns: dict) -> DataFrame:
-    """cluster, k, slot, mask, fail: for pattern k of a cluster the least line that it fails on (at slot -1), and
-    the masks of all values of its slots. Each task hands on a bounded number of rows; a pattern that
-    failed in a task is not tried there on longer lines."""
+    """cluster, k, part, i, masks, kind, fail: for pattern k of a cluster the least line that it fails on; or
+    of its slot i the masks of all values, of its gap i the widest kind.
+
+    Each task hands on a bounded number of rows; a pattern that failed in a task is not tried there on
+    longer lines.
+    """
     shared = lines.sparkSession.sparkContext.broadcast(patterns)
 
     def test(batches):
@@ -217,7 +289,8 @@ def _tested(lines: DataFrame, patterns: dict) -> DataFrame:
 
         compiled = {key: [re.compile(p) for p in ps] for key, ps in shared.value.items()}
         fails: dict = {}
-        masks: dict = {}
+        slots: dict = {}
+        gaps: dict = {}
         memo: dict = {}
         for pdf in batches:
             for key, x in zip(pdf["cluster"], pdf["line"]):
@@ -229,19 +302,23 @@ def _tested(lines: DataFrame, patterns: dict) -> DataFrame:
                     if m is None:
                         fails[at] = size
                     elif at not in fails:
-                        own = masks.setdefault(at, [-1] * len(p.groupindex))
-                        for slot in range(len(own)):
-                            v = m[f"v{slot}"]
-                            if v:
+                        for name, v in m.groupdict().items():
+                            if not v:
+                                continue
+                            if name[0] == "g":
+                                gaps[*at, int(name[1:])] = max(gaps.get((*at, int(name[1:])), ONE), gap_kind(v))
+                                continue
+                            if v not in memo:
                                 if len(memo) > 100_000:
                                     memo.clear()
-                                if v not in memo:
-                                    memo[v] = value_mask(v)
-                                own[slot] &= memo[v]
-        rows = [(key, k, -1, -1, n, x) for (key, k), (n, x) in fails.items()]
-        rows += [(key, k, slot, m, -1, None) for (key, k), ms in masks.items() if (key, k) not in fails for slot, m in enumerate(ms) if m != -1]
-        yield pd.DataFrame(rows, columns=["cluster", "k", "slot", "mask", "length", "line"])
+                                memo[v] = value_mask(v)
+                            slots[*at, int(name[1:])] = slots.get((*at, int(name[1:])), -1) & memo[v]
+        rows = [(key, k, "fail", -1, None, None, n, x) for (key, k), (n, x) in fails.items()]
+        rows += [(key, k, "slot", i, m, None, None, None) for (key, k, i), m in slots.items() if (key, k) not in fails]
+        rows += [(key, k, "gap", i, None, g, None, None) for (key, k, i), g in gaps.items() if (key, k) not in fails]
+        out = pd.DataFrame(rows, columns=["cluster", "k", "part", "i", "masks", "kind", "length", "line"])
+        yield out.astype({"masks": "Int64", "kind": "Int32", "length": "Int32"})
 
     kind = lines.schema["cluster"].dataType.simpleString()
-    t = lines.mapInPandas(test, f"cluster {kind}, k int, slot int, mask long, length int, line string")
-    return t.groupBy("cluster", "k", "slot").agg(F.bit_and("mask").alias("mask"), F.min(F.when(F.col("line").isNotNull(), F.struct("length", "line"))).alias("fail"))
+    t = lines.select("cluster", "line").mapInPandas(test, f"cluster {kind}, k int, part string, i int, masks long, kind int, length int, line string")
+    return t.groupBy("cluster", "k", "part", "i").agg(F.bit_and("masks").alias("masks"), F.max("kind").alias("kind"), F.min(F.when(F.col("line").isNotNull(), F.struct("length", "line"))).alias("fail"))

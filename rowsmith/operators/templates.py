@@ -73,12 +73,12 @@ def _class_pattern(name: str, options: list[str]) -> str:
 
 
 def _literal(text: str) -> str:
-    """Literal text: blanks one or many, runs of one mark twice or more, all else as it is."""
+    """Literal text: blanks one or many, white space with a tab, runs of one mark twice or more, all else as it is."""
     out = []
-    for part in re.findall(r" +|([!-/:-@\[-`{-~])\1+|[^ ]", text) and re.finditer(r" +|([!-/:-@\[-`{-~])\1+|[^ ]", text):
+    for part in re.finditer(r"[ \t]+|([!-/:-@\[-`{-~])\1+|[^ \t]", text):
         s = part[0]
-        if s[0] == " ":
-            out.append(" " if len(s) == 1 else " +")
+        if s[0] in " \t":
+            out.append(" " if s == " " else " +" if "\t" not in s else r"\s+")
         elif part[1]:
             out.append(f"{_mark(s[0])}{{2,}}")
         else:
@@ -197,7 +197,8 @@ class Machine:
         self.has = {o: {n for n, (_, own) in template.values.items() if o in own} for o in OPTIONS}
 
     def _blank(self, kept: dict | None = None) -> dict:
-        return {n: kept[n] if kept and n in self.has["Filldown"] else [] if n in self.has["List"] else "" for n in self.t.values}
+        """Values before a record; None has not been captured, which an empty text has."""
+        return {n: kept[n] if kept and n in self.has["Filldown"] else [] if n in self.has["List"] else None for n in self.t.values}
 
     def records(self, text: str) -> tuple[list[dict], str | None]:
         """The records in order, and the error that stopped the document, if one did."""
@@ -209,8 +210,8 @@ class Machine:
             if any(not now[n] for n in self.has["Required"]):
                 now = self._blank(now)
                 return
-            if any(now.values()):
-                rows.append({n: list(v) if isinstance(v, list) else v for n, v in now.items()})
+            if any(v is not None and v != [] for v in now.values()):
+                rows.append({n: list(v) if isinstance(v, list) else v or "" for n, v in now.items()})
             now = self._blank(now)
 
         for line in re.split(LINE_END, text):
@@ -219,9 +220,8 @@ class Machine:
                 if not m:
                     continue
                 for n, v in m.groupdict().items():
-                    v = v or ""
                     if n in self.has["List"]:
-                        now[n] = [*now[n], v]
+                        now[n] = [*now[n], v or ""]
                     else:
                         now[n] = v
                     if v and n in self.has["Fillup"]:
@@ -275,10 +275,31 @@ def parse(docs: DataFrame, template: Template, key: str = "doc_id", text: str =
     return docs.select(F.col(key).alias("k"), F.col(text).alias("x")).mapInPandas(run, schema)
 
 
+def always_captures(pattern: str) -> bool:
+    """Whether a line that matches the rule captures all its values: none stands in an option or a choice."""
+    p = re.sub(r"\\.|\[[^]]*\]", "x", re.sub(r"\$\{\w+\}", "\0", pattern.replace("$$", "")))
+    holds, choice = [False], [False]
+    for i, ch in enumerate(p):
+        if ch == "(":
+            holds.append(False)
+            choice.append(False)
+        elif ch == "\0":
+            holds[-1] = True
+        elif ch == "|":
+            choice[-1] = True
+        elif ch == ")" and len(holds) > 1:
+            held, chosen = holds.pop(), choice.pop()
+            if held and (chosen or p[i + 1 : i + 2] in ("?", "*", "{")):
+                return False
+            holds[-1] |= held
+    return not (holds[0] and choice[0])
+
+
 def is_stateless(template: Template) -> bool:
     """One state, every rule of which ends a record of its own on its line."""
     rules = template.states.get("Start", [])
-    return len(template.states) == 1 and all(r.record_op == "Record" and r.line_op == "Next" and not r.state for r in rules) and not any(o for _, o in template.values.values())
+    own = all(r.record_op == "Record" and r.line_op == "Next" and not r.state and always_captures(r.pattern) for r in rules)
+    return len(template.states) == 1 and own and not any(o for _, o in template.values.values())
 
 
 def parse_lines(lines: DataFrame, template: Template, line: str = "line") -> DataFrame:
@@ -295,7 +316,9 @@ def parse_lines(lines: DataFrame, template: Template, line: str = "line") -> Dat
     which = F.lit(None).cast("int")
     for i in reversed(range(len(rules))):
         which = F.when(F.col(line).rlike(rules[i][0]), i).otherwise(which)
-    found = lines.withColumn("_rule", which).where("_rule IS NOT NULL")
+    # A rule without values ends no record, as nothing is captured.
+    bare = [i for i, (_, groups) in enumerate(rules) if not groups]
+    found = lines.withColumn("_rule", which).where(F.col("_rule").isNotNull() & ~F.col("_rule").isin(bare))
     columns = []
     for n in template.values:
         value = F.lit("")
