@@ -465,10 +465,13 @@ def table_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.table_snippets(_rows(spark, sf_dir), _NAMES)
 
 
+# Where the flag is missing, part ends at 8 and its length, and supplier starts at 23; one blank on either
+# side of the stretch is text.
 TABLE_SNIPPET_SQL = f"""
-WITH p AS (SELECT column_no, actual FROM ({COLUMN_WIDTH_SQL})),
-s AS (SELECT layout, rank, p.column_no AS k, actual || '(var_' || (['line_no', 'part', 'flag', 'supplier'])[p.column_no + 1] || ')' AS part FROM ({ROW_LAYOUTS_SQL}), p WHERE layout[p.column_no + 1] = '1')
-SELECT layout, rank, 'start() ' || string_agg(part, '  ' ORDER BY k) || ' end(space) -> Record' AS snippet FROM s GROUP BY 1, 2
+WITH p AS (SELECT max(actual) FILTER (WHERE column_no = 0) AS a, max(actual) FILTER (WHERE column_no = 1) AS b, max(actual) FILTER (WHERE column_no = 2) AS c, max(actual) FILTER (WHERE column_no = 3) AS d FROM ({COLUMN_WIDTH_SQL})),
+w AS (SELECT 13 - max(length(part)) AS least, 13 - min(length(part)) AS most FROM ({TABLE_SQL}) WHERE flag = '')
+SELECT layout, rank, 'start() ' || a || '(var_line_no)  ' || b || '(var_part)' || CASE WHEN layout = '1111' THEN '  ' || c || '(var_flag)  ' ELSE ' space(repetition_' || least || '_' || most || ') ' END || d || '(var_supplier) end() -> Record' AS snippet
+FROM ({ROW_LAYOUTS_SQL}), p, w
 """
 
 QUERIES = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import PUNCT
 from ..sources.documents import lines_of
-from .lines import is_clock_or_address
+from .lines import cut, framed, is_clock_or_address, marker_signatures, signature
 
 _CLOCK = re.compile(r"[0-9]+(:[0-9]+)+")
 _MAC = re.compile(r"(?i)[0-9a-f]{2}([:-][0-9a-f]{2}){5}")
@@ -46,7 +46,7 @@ def split_pairs(line: str, count: int = 1, separator: str = ":") -> list[tuple[s
         a, b = line.rfind(" ", 0, at) + 1, line.find(" ", at)
         word = line[a : b if b >= 0 else len(line)]
         tail = word[:-1] if word.endswith((separator, ",")) and not word.endswith(2 * separator) else word
-        if not _holds_separators(tail) and at > a:
+        if not _holds_separators(tail) and (at > a or line[:a].strip()):
             marks.append(at)
             at = line.find(separator, b if b >= 0 else len(line))
         else:
@@ -57,7 +57,7 @@ def split_pairs(line: str, count: int = 1, separator: str = ":") -> list[tuple[s
     for mark in marks[1:]:
         if len(out) + 1 >= count:
             break
-        left = line[start:mark]
+        left = line[start:mark].rstrip()
         gaps = list(re.finditer(" {2,}", left)) or list(re.finditer(" +", left))
         if not gaps:
             continue
@@ -101,6 +101,66 @@ def records(docs: DataFrame, names: list[str], key: str = "doc_id", text: str =
     return d.select(key, *(cell(n).alias(n) for n in names), (F.size("_pairs") > 0).alias("is_category"))
 
 
+def _lines_udf(options: dict[int, tuple[int, str]], count: int, separator: str):
+    """The pairs of all lines of an array, each with the line's place and the keys of its line; a line
+    without any is kept whole, with a null key."""
+
+    @F.pandas_udf("array<struct<line_no:long,pair_no:long,shape:string,key:string,value:string>>")
+    def split(blocks: pd.Series) -> pd.Series:
+        out = []
+        for lines in blocks:
+            rows = []
+            for i, x in enumerate(lines if lines is not None else ()):
+                found = split_pairs(x, *options.get(i, (count, separator)))
+                shape = "\n".join(k for k, _ in found)
+                rows += [{"line_no": i, "pair_no": n, "shape": shape, "key": k, "value": v} for n, (k, v) in enumerate(found)] or [{"line_no": i, "pair_no": 0, "shape": None, "key": None, "value": x}]
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return split
+
+
+def block_pairs(docs: DataFrame, starting_from: int | str | None = None, ending_to: int | str | None = None, options: dict[int, tuple[int, str]] | None = None, count: int = 1, separator: str = ":", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pairs, start_line, end_line: the pairs of the lines between two markers, neither included.
+
+    options gives count and separator of single lines, by their place from the start of the block. Lines
+    without pairs are kept as literals. Works inside each row of docs: no shuffle.
+    """
+    return cut(docs, starting_from, ending_to, False, key, text).select(key, _lines_udf(options or {}, count, separator)(F.col("lines")).alias("pairs"), "start_line", "end_line")
+
+
+def block_records(blocks: DataFrame, names: list[str], key: str = "doc_id") -> DataFrame:
+    """One record for each of block_pairs(): the first value of each name, '' where there is none, and
+    whether the block has any pair at all."""
+    d = blocks.select(key, F.transform(F.filter("pairs", lambda p: p["key"].isNotNull()), lambda p: F.struct(variable_of(p["key"]).alias("key"), p["value"].alias("value"))).alias("_pairs"))
+    cell = lambda n: F.coalesce(F.get(F.filter("_pairs", lambda p: p["key"] == n), 0)["value"], F.lit(""))
+    return d.select(key, *(cell(n).alias(n) for n in names), (F.size("_pairs") > 0).alias("is_category"))
+
+
+def block_rules(blocks: DataFrame, separator: str = ":") -> DataFrame:
+    """order, rule: a line of `key: class(var_name)` for each different line of keys, in the order of their
+    first places, with the class of all values; lines without pairs by their signature."""
+    from .profiles import class_of_sets
+
+    p = blocks.select(F.explode("pairs").alias("p")).select("p.*").withColumn("variable", variable_of(F.col("key")))
+    keyed = p.where(F.col("key").isNotNull())
+    place = keyed.groupBy("shape", "pair_no").agg(F.min("line_no").alias("first"), F.min("key").alias("key"), F.min("variable").alias("variable"))
+    profile = class_of_sets(keyed.select("shape", "pair_no", "value"), ["shape", "pair_no"]).join(place, ["shape", "pair_no"])
+    gap = F.when(F.col("or_empty"), "zero_or_spaces()").otherwise(" ")
+    slot = F.when(F.col("actual").isNull(), F.concat(F.lit("something(var_"), "variable", F.lit(", or_empty)"))).otherwise(F.concat("actual", F.lit("(var_"), "variable", F.when(F.col("or_empty"), ", or_empty").otherwise(""), F.lit(")")))
+    part = F.concat("key", F.lit(separator), gap, slot)
+    # The pairs of one line make one list.
+    rules = profile.groupBy("shape").agg(F.min("first").alias("order"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", part.alias("part")))), lambda x: x["part"]), "  ").alias("rule")).select("order", "rule")
+    literal = p.where(F.col("key").isNull() & F.col("value").rlike("[^ ]")).groupBy(signature(F.col("value")).alias("rule")).agg(F.min("line_no").alias("order")).select("order", "rule")
+    return rules.union(literal)
+
+
+def block_template(blocks: DataFrame, separator: str = ":") -> str:
+    """The snippet of blocks between markers: a rule to enter at each form of the start marker, block_rules(),
+    and one to stop at each form of the end marker. A line for each rule reaches the driver."""
+    return framed([r["rule"] for r in block_rules(blocks, separator).orderBy("order", "rule").collect()], *marker_signatures(blocks))
+
+
 def block_snippet(found: DataFrame) -> DataFrame:
     """snippet: one line of `key: class(var_name)` for all keys of pairs(), in the order of their first places.
 

@@ -116,14 +116,32 @@ def position_of(lines: Column, item: int | str | None) -> Column:
     return F.when(at > 0, (at - 1).cast("int"))
 
 
-def between(docs: DataFrame, start: int | str | None, end: int | str | None, inclusive: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, line_no, line of the lines from a start marker to before an end marker.
+def cut(docs: DataFrame, start: int | str | None, end: int | str | None, inclusive: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, first (place of the first line that is kept), lines (an array), start_line and end_line: the lines
+    of each document from a start marker to before an end marker, and the markers, null where there are none.
 
     Tables include the start line, categories do not; those also ignore an end before the start.
-    Works on the lines of each row alone: no shuffle.
+    Works on the lines of each row alone: no shuffle. A null text has no lines.
     """
-    d = docs.select(key, lines_of(F.col(text)).alias("lines")).withColumn("a", position_of(F.col("lines"), start)).withColumn("b", position_of(F.col("lines"), end))
+    d = docs.select(key, F.coalesce(lines_of(F.col(text)), F.array().cast("array<string>")).alias("lines")).withColumn("a", position_of(F.col("lines"), start)).withColumn("b", position_of(F.col("lines"), end))
     a = F.coalesce(F.col("a") if inclusive else F.col("a") + 1, F.lit(0))
     b = F.col("b") if inclusive else F.when(~((F.col("a") > 0) & (F.col("b") > 0) & (F.col("a") >= F.col("b"))) | F.col("a").isNull(), F.col("b"))
-    d = d.select(key, F.posexplode("lines").alias("n", "line"), a.alias("a"), b.alias("b"))
-    return d.where((F.col("n") >= F.col("a")) & (F.col("b").isNull() | (F.col("n") < F.col("b")))).select(key, F.col("n").cast("long").alias("line_no"), "line")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.get("lines", F.col(c)))
+    return d.select(key, a.alias("first"), F.slice("lines", a + 1, F.greatest(F.coalesce(b, F.size("lines")) - a, F.lit(0))).alias("lines"), at("a").alias("start_line"), at("b").alias("end_line"))
+
+
+def between(docs: DataFrame, start: int | str | None, end: int | str | None, inclusive: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, line_no, line: cut() with a row for each line."""
+    return cut(docs, start, end, inclusive, key, text).select(key, "first", F.posexplode("lines").alias("n", "line")).select(key, (F.col("first") + F.col("n")).cast("long").alias("line_no"), "line")
+
+
+def framed(body: list[str], starts: list[str], ends: list[str]) -> str:
+    """The lines of a snippet between the rules for its markers, given as signatures."""
+    first = [f"{x} -> Table" for x in starts]
+    return "\n".join([*first, *(["Table"] if first else []), *body, *(f"{x} -> EOF" for x in ends)])
+
+
+def marker_signatures(cuts: DataFrame) -> tuple[list[str], list[str]]:
+    """The different signatures of the start and end markers of cut(): as many as markers are written."""
+    r = cuts.agg(*(F.array_sort(F.collect_set(F.when(F.col(c).isNotNull(), signature(F.col(c))))).alias(c) for c in ("start_line", "end_line"))).first()
+    return r["start_line"], r["end_line"]

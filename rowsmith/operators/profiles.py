@@ -51,6 +51,13 @@ def snippet(actual: Column, variable: Column, or_empty: Column | None = None) ->
     return F.concat(actual, F.lit("(var_"), variable, option, F.lit(")"))
 
 
+def regex(actual: Column, variable: Column, level: str = "actual") -> Column:
+    """`(?P<name>pattern)` of a slot at a level of its class: actual, lessen (any gaps) or root (any text)."""
+    names = {a: {"actual": a, "lessen": le, "root": r}[level] for a, _, le, r, _ in c.DIMENSION}
+    patterns = F.create_map(*(F.lit(x) for a, n in names.items() for x in (a, c.PATTERN[n])))
+    return F.concat(F.lit("(?P<"), variable, F.lit(">"), F.element_at(patterns, actual), F.lit(")"))
+
+
 def readable_snippet(actual: Column, variable: Column, value: Column) -> Column:
     """`class(var=name, value=x)`; parentheses of the value are spelled out."""
     safe = F.replace(F.replace(value, F.lit("("), F.lit("_SYMBOL_LEFT_PARENTHESIS_")), F.lit(")"), F.lit("_SYMBOL_RIGHT_PARENTHESIS_"))
@@ -77,6 +84,21 @@ def is_group_with_multi_spaces(values: Column) -> Column:
     return F.exists(values, lambda v: F.trim(v).rlike("[^ ]  +[^ ]"))
 
 
+def is_plural(values: Column) -> Column:
+    """Whether all values have several tokens."""
+    return F.forall(values, lambda v: F.trim(v).rlike("[^ ] +[^ ]"))
+
+
+def is_singular(values: Column) -> Column:
+    """Whether all values have one token."""
+    return F.forall(values, lambda v: F.trim(v).rlike(r"\A[^ ]+\z"))
+
+
+def is_mixing(values: Column) -> Column:
+    """Whether some values have one token and some have several."""
+    return ~is_singular(values) & ~is_plural(values)
+
+
 def is_numeric(values: Column) -> Column:
     return F.forall(values, lambda v: v.rlike(r"\A\p{N}+\z"))
 
@@ -85,6 +107,11 @@ def is_alphabet(values: Column) -> Column:
     return F.forall(values, lambda v: v.rlike(r"\A\p{L}+\z"))
 
 
+def is_not_alphabet(values: Column) -> Column:
+    """Whether no value is all letters."""
+    return F.forall(values, lambda v: ~v.rlike(r"\A\p{L}+\z"))
+
+
 def is_printable(values: Column) -> Column:
     return F.forall(values, lambda v: ~v.rlike(r"[\p{C}\p{Zl}\p{Zp}]") & ~F.replace(v, F.lit(" "), F.lit("")).rlike(r"\p{Zs}"))
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import PUNCT, actual_of, class_of, mask
 from ..sources.documents import lines_of
-from .lines import is_symbols
+from .lines import cut, framed, is_symbols, marker_signatures, signature
 
 
 def _let(value: Column, use) -> Column:
@@ -78,26 +79,76 @@ def layout_of(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.when(c == "", "0").otherwise("1")), "")
 
 
-def rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row_no, cells, layout of the rows below the reference row of each document.
+def mode_of(divider: str = "  ", widths: list[int | None] | None = None, reference: str | None = None) -> str:
+    """How cells are found: by widths, by a divider, by a reference row that is given, by single blanks,
+    by gaps of two blanks or more, or by a rule of symbols; ValueError for other dividers."""
+    if widths:
+        return "widths"
+    if re.fullmatch(PUNCT, divider):
+        return "divider"
+    if reference is not None:
+        return "reference"
+    if divider == " ":
+        return "blanks"
+    if re.fullmatch(" {2,}", divider):
+        return "gaps"
+    if divider == "":
+        return "rule"
+    raise ValueError(f"no such divider: {divider!r}")
+
+
+def _body(docs: DataFrame, columns: int, divider: str, widths: list[int | None] | None, rule: bool, gap: int, reference: str | None, key: str, lines: Column) -> DataFrame:
+    """key, lines, starts, ref (place of the reference row): documents that have such a row."""
+    start_of = (lambda x: starts_by_widths(widths)) if widths else (lambda x: starts_by_rule(x)) if rule else (lambda x: starts_by_divider(x, divider)) if divider else (lambda x: starts_by_gaps(x, gap))
+    d = docs.select(key, F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))).alias("lines"))
+    if reference is not None:
+        row = F.lit(reference)
+        return d.withColumn("starts", F.when(is_symbols(row), starts_by_rule(row)).otherwise(starts_by_gaps(row, gap))).withColumn("ref", F.lit(-1)).where(F.size("starts") == columns)
+    fits = lambda x: (F.size(start_of(x)) == columns) & (is_symbols(x) if rule else ~is_symbols(x))
+    d = d.withColumn("row", F.get(F.filter("lines", lambda s: fits(s["x"])), 0)).where("row IS NOT NULL")
+    return d.withColumn("starts", start_of(F.col("row.x"))).withColumn("ref", F.col("row.i")).drop("row")
+
+
+def rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, reference: str | None = None, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """key, row_no, line, starts, cells, edges, layout of the rows below the reference row of each document.
 
     The reference row is the first line that has the given number of columns: by widths the first line,
-    by a divider, by a rule of symbols, or else by gaps. Rows of symbols are left out, and blank lines.
+    by a divider, by a rule of symbols, or else by gaps; with a reference row that is given, all lines are
+    rows. Rows of symbols are left out, and blank lines. text: a column of texts, or an array of lines.
     Works inside each row of docs: no shuffle.
     """
-    start_of = (lambda x: starts_by_widths(widths)) if widths else (lambda x: starts_by_rule(x)) if rule else (lambda x: starts_by_divider(x, divider)) if divider else (lambda x: starts_by_gaps(x, gap))
-    fits = lambda x: (F.size(start_of(x)) == columns) & (is_symbols(x) if rule else ~is_symbols(x))
-    d = docs.select(key, F.transform(lines_of(F.col(text)), lambda x, i: F.struct(i.alias("i"), x.alias("x"))).alias("lines"))
-    d = d.withColumn("ref", F.get(F.filter("lines", lambda s: fits(s["x"])), 0)).where("ref IS NOT NULL").withColumn("starts", start_of(F.col("ref.x")))
-    body = F.filter("lines", lambda s: (s["i"] > F.col("ref.i")) & ~is_symbols(s["x"]) & s["x"].rlike("[^ ]"))
+    d = _body(docs, columns, divider, widths, rule, gap, reference, key, lines_of(F.col(text)) if isinstance(text, str) else text)
+    body = F.filter("lines", lambda s: (s["i"] > F.col("ref")) & ~is_symbols(s["x"]) & s["x"].rlike("[^ ]"))
     d = d.select(key, "starts", F.posexplode(body).alias("n", "s"))
-    d = d.select(key, F.col("n").cast("long").alias("row_no"), cells_of(F.col("s.x"), F.col("starts"), divider).alias("cells"), edges_of(F.col("s.x"), F.col("starts")).alias("edges"))
+    d = d.select(key, F.col("n").cast("long").alias("row_no"), F.col("s.x").alias("line"), "starts", cells_of(F.col("s.x"), F.col("starts"), divider).alias("cells"), edges_of(F.col("s.x"), F.col("starts")).alias("edges"))
     return d.withColumn("layout", layout_of(F.col("cells")))
 
 
+def name_of(header: Column) -> Column:
+    """Runs of digits, blanks and punctuation become underscores, none at the ends; lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(header, rf"(?:[0-9 ]|{PUNCT})+", "_"), r"\A_+|_+\z", ""))
+
+
+def column_names(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, explicit: list[str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, names: the names of the columns of each document's table, from the data.
+
+    The cells of all header lines of a column are joined, and made a name; a blank one is called after its
+    number, and one that an earlier column has gets its number. Header lines are those to the reference
+    row, that of symbols left out. Names that are given take the place of the header's. No shuffle.
+    """
+    d = _body(docs, columns, divider, widths, rule, gap, None, key, lines_of(F.col(text)))
+    if explicit:
+        return d.select(key, F.array(*map(F.lit, explicit)).alias("names"))
+    d = d.select(key, "starts", F.transform(F.filter("lines", lambda s: (s["i"] <= F.col("ref")) & ~is_symbols(s["x"]) & s["x"].rlike("[^ ]")), lambda s: s["x"]).alias("heads"))
+    d = d.withColumn("cells", F.transform("heads", lambda x: cells_of(x, F.col("starts"), divider)))
+    joined = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: name_of(F.array_join(F.filter(F.transform("cells", lambda c: F.get(c, j)), lambda c: c != ""), "_")))
+    d = d.select(key, F.transform(joined, lambda x, j: F.when(x == "", F.concat(F.lit("col"), j.cast("string"))).otherwise(x)).alias("names"))
+    return d.select(key, F.transform("names", lambda x, j: F.when(F.array_contains(F.slice("names", F.lit(1), j), x), F.concat(x, j.cast("string"))).otherwise(x)).alias("names"))
+
+
 def named(found: DataFrame, names: list[str]) -> DataFrame:
     """rows() with a column for each cell."""
-    return found.select(*(c for c in found.columns if c not in ("cells", "edges", "layout")), *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    return found.select(*(c for c in found.columns if c not in ("line", "starts", "cells", "edges", "layout")), *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)))
 
 
 def header_names(headers: list[str]) -> list[str]:
@@ -143,15 +194,86 @@ def pick_headers(docs: DataFrame, picks: list[int | str], key: str = "doc_id", t
     return docs.select(key, F.transform(F.filter(lines, wanted), lambda s: s["x"]).alias("headers"))
 
 
-def table_snippets(found: DataFrame, names: list[str]) -> DataFrame:
-    """layout, snippet: a line rule for each distinct layout of the rows, in descending order of layouts.
+#: The token of each class of groups.
+TOKEN_OF = {"words": "word", "mixed_words": "mixed_word", "puncts_group": "puncts", "non_whitespaces_group": "non_whitespaces"}
+ONE_BLANK = ("words", "phrase", "mixed_words", "mixed_phrase", "puncts_or_phrase", "puncts_phrase", "non_whitespaces_or_phrase", "non_whitespaces_phrase")
 
-    A full cell is a slot of its column's class; an empty stretch between slots is a run of blanks.
+
+def table_snippets(found: DataFrame, names: list[str], divider: str = "") -> DataFrame:
+    """layout, rank, snippet: a line rule for each distinct layout of rows(), in descending order of layouts.
+
+    A full cell is a slot of its column's class; a class of groups takes as many further tokens as the
+    column has at most. A stretch of empty cells between slots, or between dividers, is as many blanks as
+    it has in the rows of that layout; at the end it is any number. The rows themselves match their rules.
+    """
+    slots = column_profile(found).select(F.array_sort(F.collect_list(F.struct("column_no", F.col("class"), "actual", "most_items"))).alias("columns"))  # a row for each column
+    full = lambda i: F.substring("layout", i + 1, 1) == "1"
+    # Blanks before each full cell, and between the dividers of each empty one.
+    left = lambda i: F.coalesce(F.array_max(F.transform(F.slice("edges", F.lit(1), i), lambda e: e["right"])), F.lit(0))
+    blanks = F.transform("edges", lambda e, i: F.when(full(i), e["left"] - left(i)).otherwise(F.get("starts", i + 1) - F.get("starts", i) - len(divider)))
+    rows_ = found.select("layout", F.posexplode(blanks).alias("column_no", "blanks"), F.col("line").rlike(r"[ \t]\z").alias("trailing"))
+    g = rows_.groupBy("layout", "column_no").agg(F.min("blanks").alias("least"), F.max("blanks").alias("most"), F.bool_or("trailing").alias("trailing"))
+    g = g.groupBy("layout").agg(F.array_sort(F.collect_list(F.struct("column_no", "least", "most", "trailing"))).alias("stretches"))  # a row for each column
+    ranked = layouts(found).select("layout", "rank").join(g, "layout").join(F.broadcast(slots))
+
+    def assemble(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"layout": pdf["layout"], "rank": pdf["rank"], "snippet": [_rule(x, s, c, names, divider) for x, s, c in zip(pdf["layout"], pdf["stretches"], pdf["columns"])]})
+
+    return ranked.mapInPandas(assemble, "layout string, rank long, snippet string")
+
+
+def _slot(column: dict, name: str) -> str:
+    more = int(column["most_items"]) - 1
+    if column["class"] in TOKEN_OF and more > 0:
+        return f"{TOKEN_OF[column['class']]}(var_{name}, at_most_{more}_{'phrase' if column['actual'] in ONE_BLANK else 'group'}_occurrences)"
+    return f"{column['actual']}(var_{name})"
+
+
+def _rule(layout: str, stretches: list, columns: list, names: list[str], divider: str) -> str:
+    """The rule of one layout. Next to a space() one blank on either side is text, and counts."""
+    last = max((i for i, x in enumerate(layout) if x == "1"), default=-1)
+    trailing = any(bool(s["trailing"]) for s in stretches) or (last < len(layout) - 1)
+    out, indent = "", False
+    for i, x in enumerate(layout[: last + 1] if not divider else layout):
+        least, most = int(stretches[i]["least"] or 0), int(stretches[i]["most"] or 0)
+        if divider and i:
+            # A blank or more on either side of a divider, and just as many as an empty cell has.
+            out += ("  " if layout[i - 1] == "1" else " " if out else "") + divider + ("  " if x == "1" else "")
+        if x == "1":
+            if not divider and i and layout[i - 1] == "0":
+                before = 1 if "1" not in layout[:i] else 2
+                out += f" space(repetition_{max(0, least - before)}_{max(0, most - before)}) "
+            elif not divider and i:
+                out += "  "
+            elif not out:
+                indent = indent or most > 0
+            out += _slot(columns[i], names[i])
+        elif divider and i == 0:
+            indent = True
+        elif divider and i < len(layout) - 1:
+            out += f" space(repetition_{max(0, least - 2)}_{max(0, most - 2)})"
+    return f"start({'space' if indent else ''}) {out.strip()} end({'space' if trailing else ''}) -> Record"
+
+
+def block_snippet(docs: DataFrame, names: list[str], starting_from: int | str | None = None, ending_to: int | str | None = None, divider: str = "", key: str = "doc_id", text: str = "text", **how) -> str:
+    """The snippet of a table between markers, from all documents: a rule to enter at each form of the start
+    marker, one for each form of a header line, the rules of all layouts, and one to stop at each form of
+    the end marker.
+
+    What reaches the driver is a line for each layout and for each form of a header or marker.
     """
-    slots = column_profile(found).select(F.array_sort(F.collect_list(F.struct("column_no", "actual", "n_empty"))).alias("columns"))  # a row for each column
-    parts = F.transform("columns", lambda c, i: F.when(F.substring("layout", i + 1, 1) == "1", F.concat(c["actual"], F.lit("(var_"), F.get(F.array(*map(F.lit, names)), i), F.lit(")"))))
-    line = F.array_join(F.array_compact(parts), "  ")
-    return layouts(found).join(F.broadcast(slots)).select("layout", "rank", F.concat(F.lit("start() "), line, F.lit(" end(space) -> Record")).alias("snippet"))
+    pieces = cut(docs, starting_from, ending_to, True, key, text)
+    found = rows(pieces, len(names), divider=divider, key=key, text=F.col("lines"), **how)
+    body = [r["snippet"] for r in table_snippets(found, names, divider).orderBy("rank").select("snippet").collect()]
+    starts, ends = marker_signatures(pieces)
+    b = _body(pieces, len(names), divider, how.get("widths"), how.get("rule", False), how.get("gap", 2), how.get("reference"), key, F.col("lines"))
+    heads = b.select(F.explode(F.filter("lines", lambda x: (x["i"] <= F.col("ref")) & ~is_symbols(x["x"]) & x["x"].rlike("[^ ]"))).alias("x"))
+    forms = heads.groupBy(F.rtrim(signature(F.col("x.x"))).alias("head")).agg(F.min("x.i").alias("i")).orderBy("i", "head")
+    # A header that is itself a marker has its rule before.
+    return framed([*(r["head"] for r in forms.collect() if r["head"] not in {x.rstrip() for x in starts}), *body], starts, ends)
 
 
 def layouts(found: DataFrame) -> DataFrame:
@@ -176,3 +298,54 @@ def continued(lines: DataFrame, keys: list[str], is_start: Column, order: str =
     grouped = lines.withColumn("group_no", F.sum(is_start.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("group_no > 0")
     all_ = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.trim(F.col(line)).alias("x"))))
     return grouped.groupBy(*keys, "group_no").agg(all_.alias("a")).select(*keys, "group_no", F.col("a")[0]["x"].alias("first"), F.transform(F.slice("a", F.lit(2), F.size("a")), lambda s: s["x"]).alias("tails"))
+
+
+_USER_MARKER = re.compile(r"(?i) *< *user[ ._+-]marker[ ._+-](one|multi)[ ._+-]?line *>")
+
+
+def prepared(lines: list[str]) -> list[tuple[str, str | None, list[str]]]:
+    """(line, first cell, further lines of the last cell) with the markers that users put before lines.
+
+    A marked one line is the first cell of the line after it. A marked multi line starts a row, and lines
+    behind it whose indent is more than 0.8 times the first of them go on with its last cell.
+    """
+    out: list[tuple[str, str | None, list[str]]] = []
+    indent, head = None, None
+    tail = False
+    for x in lines:
+        if tail:
+            own = len(x) - len(x.lstrip())
+            if x.strip() and (indent is None or own > 0.8 * indent):
+                indent = own if indent is None else indent
+                out[-1][2].append(x.strip())
+                continue
+            tail, indent = False, None
+        m = _USER_MARKER.match(x)
+        rest = x[m.end() :] if m else x
+        if m and m[1].lower() == "one":
+            head = rest.strip()
+            continue
+        out.append((rest, head, []))
+        head, tail = None, bool(m)
+    return out
+
+
+def marked_rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row_no, cells, tails: rows() of tables whose lines users have marked as parts of one row.
+
+    tails has the further lines of the last cell. Works inside each row of docs: no shuffle.
+    """
+
+    @F.pandas_udf("array<string>")
+    def read(texts: pd.Series) -> pd.Series:
+        # What belongs to a line goes behind it, between marks that no line holds.
+        return texts.map(lambda t: ["\n".join([x, h or "", *r]) for x, h, r in prepared(re.split("\r\n|\r|\n", t))] if t is not None else [])
+
+    start_of = (lambda x: starts_by_widths(widths)) if widths else (lambda x: starts_by_rule(x)) if rule else (lambda x: starts_by_divider(x, divider)) if divider else (lambda x: starts_by_gaps(x, gap))
+    fits = lambda x: (F.size(start_of(x)) == columns) & (is_symbols(x) if rule else ~is_symbols(x))
+    d = docs.select(key, F.transform(read(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.split(x, "\n").alias("p"))).alias("lines"))
+    d = d.withColumn("row", F.get(F.filter("lines", lambda s: fits(s["p"][0])), 0)).where("row IS NOT NULL").withColumn("starts", start_of(F.col("row.p")[0]))
+    d = d.select(key, "starts", F.posexplode(F.filter("lines", lambda s: (s["i"] > F.col("row.i")) & ~is_symbols(s["p"][0]) & s["p"][0].rlike("[^ ]"))).alias("n", "s"))
+    d = d.select(key, F.col("n").cast("long").alias("row_no"), F.col("s.p").alias("p"), cells_of(F.col("s.p")[0], F.col("starts"), divider).alias("cells"))
+    cells = F.when(F.col("p")[1] != "", F.transform("cells", lambda c, i: F.when(i == 0, F.col("p")[1]).otherwise(c))).otherwise(F.col("cells"))
+    return d.select(key, "row_no", cells.alias("cells"), F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0))).alias("tails"))

@@ -172,6 +172,12 @@ def compile_snippet(snippet: str) -> Template:
     return t
 
 
+def regexes(template: Template) -> list[str]:
+    """The rules of a template as regular expressions with named groups, in their order: alternatives for the
+    rows of a table, lines in a row for a block of pairs."""
+    return [template.regex(r) for rules in template.states.values() for r in rules]
+
+
 def compile_all(snippets: DataFrame) -> DataFrame:
     """snippets(name, snippet) to name, template, error: a snippet that fails has its error as a value."""
 

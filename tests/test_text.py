@@ -180,7 +180,7 @@ def test_headers_alignment_and_snippets(spark):
     assert tabular.pick_headers(d, [0, "---"]).first()["headers"] == ["name   size", "----   ----"]
     found = tabular.rows(d, 2, rule=True)
     assert {r.column_no: (r.alignment, r.width) for r in tabular.column_alignment(found).collect()} == {0: ("left", 2), 1: ("center", 2)}
-    assert [r.snippet for r in tabular.table_snippets(found, ["name", "size"]).collect()] == ["start() letters(var_name)  digits(var_size) end(space) -> Record"]
+    assert [r.snippet for r in tabular.table_snippets(found, ["name", "size"]).collect()] == ["start() letters(var_name)  digits(var_size) end() -> Record"]
     lines = spark.createDataFrame([("a: 1  b: x y",), ("a: 22  b:",)], "line string")
     assert category.block_snippet(category.pairs(lines, ["line"], 2)).first()[0] == "a: digits(var_a)  b: phrase(var_b, or_empty)"
 
