@@ -80,6 +80,12 @@ def passes(failures: Column, policy: int) -> Column:
     return failures.bitwiseAND(policy) == 0
 
 
+def sole_failure(failures: Column, policy: int) -> Column:
+    """The one bit of a policy that a row fails, if it fails just one: without that rule it would be kept."""
+    own = failures.bitwiseAND(policy)
+    return F.when((own != 0) & (own.bitwiseAND(own - 1) == 0), own).otherwise(F.lit(0)).cast("long")
+
+
 def ablation(book: DataFrame, policy: int) -> DataFrame:
     """For each rule of a policy: rows that it fails, that it alone fails, and kept without it.
 
@@ -97,7 +103,11 @@ def ablation(book: DataFrame, policy: int) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = ledger(table(spark, sf_dir, "documents"))
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(F.col("failures"), BASE)).alias("base_failed"), passes(F.col("failures"), POLICIES[POLICY]).alias("kept"), "failures")
+    f = F.col("failures")
+    return book.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~passes(f, BASE)).alias("base_failed"), passes(f, POLICIES[POLICY]).alias("kept"), "failures", "n_lines",
+        *(passes(f, bits).alias(f"kept_{name}") for name, bits in POLICIES.items()), sole_failure(f, POLICIES[POLICY]).alias("sole_failure"),
+    )
 
 
 OP10_SQL = r"""
@@ -124,5 +134,6 @@ f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END)::BIGINT AS failures FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept, failures, n_lines::BIGINT AS n_lines,
+  (failures & 3) = 0 AS kept_base, (failures & 15) = 0 AS kept_v1, failures = 0 AS kept_v2, CASE WHEN failures IN (1, 2, 4, 8, 16, 32) THEN failures ELSE 0 END AS sole_failure FROM f
 """

@@ -210,6 +210,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 p = np.array([shared.value.likelihoods(t) for t in part.column("text").to_pylist()]).reshape(-1, GRADES)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p.sum(1)), pa.array((p >= REJECT).sum(1).astype(np.int32)), pa.array(p[:, 0] >= REJECT)], ["doc_id", "severity", "grade", "toxic"])
+        _memo[:] = [None, {}]  # the worker goes on to other work
 
     return mapped(documents(docs), score, "doc_id long, severity double, grade int, toxic boolean")
 
@@ -224,6 +225,7 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 yield part.filter(pa.array([bool(shared.value.likelihoods(t)[0] < REJECT) for t in part.column("text").to_pylist()], pa.bool_()))
+        _memo[:] = [None, {}]  # the worker goes on to other work
 
     return mapped(docs, keep, docs.schema)
 

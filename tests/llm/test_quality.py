@@ -2,7 +2,7 @@ import re
 
 from rowsmith.llm import quality as q
 
-from .helpers import ODD, clashing, docs
+from .helpers import ODD, SMALL, clashing, docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -38,3 +38,12 @@ def test_ablation(spark):
 
 def test_policies_grow_with_their_version():
     assert q.POLICIES["base"] & q.POLICIES["v1"] == q.POLICIES["base"] and q.POLICIES["v1"] & q.POLICIES["v2"] == q.POLICIES["v1"]
+
+
+def test_policies_and_ablation_agree(spark):
+    """What one rule alone rejects is what its ablation keeps more."""
+    rows = q.op10_quality_rules(spark, SMALL).collect()
+    book = q.ledger(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    for r in q.ablation(book, q.POLICIES[q.POLICY]).collect():
+        assert r.alone == sum(x.sole_failure == q.BIT[r.rule] for x in rows) and r.kept_without == sum(x.kept for x in rows) + r.alone
+    assert all(x.kept == x.kept_v2 and x.base_failed != x.kept_base and x.kept_base >= x.kept_v1 >= x.kept_v2 for x in rows)
