@@ -63,3 +63,22 @@ def test_one_of_each_takes_rows_with_ids_first(spark):
 
     d = docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f"], [1, 2, None])
     assert sorted((r.doc_id is None, r.doc_id) for r in jaccard.one_of_each(d).collect()) == [(False, 1)]
+
+
+def test_stages_bear_odd_tables(spark):
+    """Empty tables, nulls, repeated and missing ids, equal rows, and columns with clashing names."""
+    from .helpers import ODD, clashing, docs
+
+    texts = [*[t for t in ODD if len(t or "") < 10_000], "same text here", None, "mail a@b.c"]
+    ids = [*range(len(texts) - 4), 3, 3, None, None]
+    for frame in (docs(spark, []), clashing(docs(spark, texts, ids))):
+        n = frame.count()
+        for name, stage in pipeline.STAGES:
+            out = written(stage(spark, frame, SMALL), "odd")
+            if name == "packing":
+                assert {r.doc_id for r in out.collect()} == {r.doc_id for r in frame.collect()}
+                break
+            assert out.columns == frame.columns and out.count() <= n
+            if name != "near duplicates":
+                assert out.count() == n  # all these documents are clean
+            frame, n = out, out.count()
