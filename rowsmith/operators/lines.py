@@ -57,12 +57,15 @@ MASKED = [(name, PUNCT + "{2,}" if name == "puncts" else re.sub(r"\((?!\?)(?<!\\
 
 
 def signature(line: Column) -> Column:
-    """The line with its numeric and punctuation tokens replaced by their class; spacing stays."""
+    """The line with its numeric and punctuation tokens replaced by their class; spacing stays.
+
+    A line without a digit or two marks in a row has no such token, and is left as it is.
+    """
     out = line
     for name, pattern in MASKED:
         out = F.regexp_replace(out, rf"(?<![^ \t\n\x0b\f\r]){pattern}(?![^ \t\n\x0b\f\r])", f"{name}()")
     blank = F.when(line.rlike(r"[^ ]"), "start() end(whitespace)").otherwise("start() end(space)")
-    return F.when(is_empty(line), blank).otherwise(out)
+    return F.when(is_empty(line), blank).when(line.rlike(f"[0-9]|{PUNCT}{{2}}"), out).otherwise(line)
 
 
 def signature_at(docs: DataFrame, index: int, key: str = "doc_id", text: str = "text") -> DataFrame:
