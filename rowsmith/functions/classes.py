@@ -7,6 +7,8 @@ sub-pattern in rank order that is left.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,12 +67,22 @@ PLURAL_BIT = len(SUBS)
 SINGLE_OR_MORE = sum(1 << i for i, s in enumerate(SUBS) if s[0] in GROUPS and GROUPS[s[0]].index(s[1]) < 2)
 
 
+#: For values without a blank: the bits of each class of one token, with those of the groups of such tokens.
+SINGLE = [(base, sum(1 << k for k, sub in enumerate(SUBS) if sub[0] == name or (sub[0] in GROUPS and 1 << k & SINGLE_OR_MORE and dict(CLASSES)[sub[0]] == base))) for name, base in CLASSES if name not in GROUPS]
+
+
 def mask(value: Column) -> Column:
-    """BIGINT mask of one value; null and empty match nothing."""
-    total = F.when(F.trim(value).rlike(r"[^ \t\n\x0b\f\r][ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]"), F.lit(1 << PLURAL_BIT)).otherwise(F.lit(0)).cast("long")
-    for k, (_, _, java, _) in enumerate(SUBS):
-        total = total.bitwiseOR(F.when(value.rlike(rf"\A(?:{java})\z"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return total
+    """BIGINT mask of one value; null and empty match nothing.
+
+    A value without a blank is one token at most, so that one pattern speaks for a class and its groups.
+    """
+    zero = F.lit(0).cast("long")
+    bits = lambda pairs: [F.when(value.rlike(rf"\A(?:{p})\z"), F.lit(m)).otherwise(zero).cast("long") for p, m in pairs]
+    either = lambda cols: reduce(lambda x, y: x.bitwiseOR(y), cols)
+    one = either(bits(SINGLE))
+    several = either(bits([(java, 1 << k) for k, (_, _, java, _) in enumerate(SUBS)]))
+    plural = F.when(F.trim(value).rlike(r"[^ \t\n\x0b\f\r][ \t\n\x0b\f\r]+[^ \t\n\x0b\f\r]"), F.lit(1 << PLURAL_BIT)).otherwise(zero).cast("long")
+    return F.when(value.contains(" "), several.bitwiseOR(plural)).otherwise(one.bitwiseOR(plural))
 
 
 def mask_sql(value: str) -> str:
