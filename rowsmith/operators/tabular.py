@@ -300,6 +300,7 @@ def continued(lines: DataFrame, keys: list[str], is_start: Column, order: str =
     return grouped.groupBy(*keys, "group_no").agg(all_.alias("a")).select(*keys, "group_no", F.col("a")[0]["x"].alias("first"), F.transform(F.slice("a", F.lit(2), F.size("a")), lambda s: s["x"]).alias("tails"))
 
 
+# Fixed value: the form of the markers.
 _USER_MARKER = re.compile(r"(?i) *< *user[ ._+-]marker[ ._+-](one|multi)[ ._+-]?line *>")
 
 
