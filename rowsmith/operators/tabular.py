@@ -124,6 +124,13 @@ def rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | No
     return d.withColumn("layout", layout_of(F.col("cells")))
 
 
+def parsed(docs: DataFrame, columns: int, divider: str = "  ", widths: list[int | None] | None = None, reference: str | None = None, key: str = "doc_id", text: str | Column = "text") -> DataFrame:
+    """rows() in the mode that the arguments name, as mode_of() ranks them."""
+    mode = mode_of(divider, widths, reference)
+    how = {"widths": {"widths": widths}, "divider": {"divider": divider}, "reference": {"reference": reference}, "blanks": {"gap": 1}, "gaps": {"gap": 2}, "rule": {"rule": True}}[mode]
+    return rows(docs, len(widths) if mode == "widths" else columns, key=key, text=text, **how)
+
+
 def name_of(header: Column) -> Column:
     """Runs of digits, blanks and punctuation become underscores, none at the ends; lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(header, rf"(?:[0-9 ]|{PUNCT})+", "_"), r"\A_+|_+\z", ""))

@@ -44,6 +44,18 @@ def test_modes():
         tabular.mode_of("||")
 
 
+@pytest.mark.parametrize("divider, how", [("|", {}), (" ", {}), ("  ", {}), ("", {}), ("|", {"widths": [6, 6, None]}), ("  ", {"reference": "----  ----  -"})])
+def test_parsed_in_every_mode(spark, divider, how):
+    """One table in the form of each mode: the rows are the same."""
+    bar = "| " if divider == "|" and not how else "  " if divider != " " else " "
+    width = {" ": 4}.get(divider, 6 - len(bar))
+    line = lambda a, b, x: f"{a:<{width}}{bar}{b:<{width}}{bar}{x}"
+    head = [] if "reference" in how else [line("name", "unit", "n")]
+    text = "\n".join([*head, *([line("-" * width, "-" * width, "-")] if divider == "" else []), line("ab", "", "1"), line("cd", "ef", "2")])
+    got = tabular.parsed(docs(spark, text), 3, divider, **how).orderBy("row_no").collect()
+    assert [r.cells for r in got] == [["ab", "", "1"], ["cd", "ef", "2"]]
+
+
 def test_reference_row_of_the_user(spark):
     d = docs(spark, "name  size\na     10\nbb    5")
     assert [r.cells for r in tabular.rows(d, 2, reference="----  ----").orderBy("row_no").collect()] == [["name", "size"], ["a", "10"], ["bb", "5"]]
