@@ -36,7 +36,7 @@ from .shingles import mix, shingle_sets
 SHARE, LEAST, COMMON, PART = 64, 16, 50_000, 8
 COMMON_COUNT = 1 << 40
 #: Rounds of leaders at most, and the share of its pairs that a round has to link for another to follow.
-ROUNDS, WORTH = 8, 0.1
+ROUNDS, WORTH = 8, 0.2
 #: Sets that are compared with one copy of a leader's set.
 AT_ONCE = 500
 #: Size classes of blocks have this ratio; position classes are so many to a whole size.
@@ -222,14 +222,6 @@ def _surplus() -> Column:
     return 7 * parts - (F.col("size_a") + F.col("size_b")) - 14 * F.least("lacks_a", "lacks_b")
 
 
-def _leadership(k: int) -> Column:
-    """What a leader of a list is chosen by in round k: first the set with the largest share of shared
-    shingles, which stands in the middle of its near copies; then some member of the largest component."""
-    if k == 0:
-        return F.struct(F.col("c") / F.col("size"), F.col("sid"))
-    return F.struct(F.col("members"), F.xxhash64("sid", F.lit(k)))
-
-
 def block_of(size: Column, at: Column) -> Column:
     """Block of a set in a list: its size class and the class of the position that the shingle has in it."""
     return (F.floor(F.log(size.cast("double")) / float(np.log(SIZE_RATIO)) + 1e-9) * (POSITIONS + 1) + F.floor(POSITIONS * at / size)).cast("int")
@@ -260,17 +252,28 @@ def meeting(lists: DataFrame) -> DataFrame:
     return met.where((c("component_a") != c("component_b")) & ordered & (4 * c("size_b") >= 3 * c("size_a")) & (7 * possible >= 3 * (c("size_a") + c("size_b"))))
 
 
-def _mixed(lists: DataFrame, *more: Column) -> DataFrame:
-    """The lists whose sets are of several components."""
-    return lists.groupBy("h").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), *more).where("_least < _most").drop("_least", "_most")
-
+def with_leaders(lists: DataFrame, star: DataFrame | None, k: int) -> DataFrame:
+    """The rows of lists whose sets are of several components, with the component of each set and the
+    leader of each list: (sid, component).
 
-def _with_components(rows: DataFrame, star: DataFrame | None) -> DataFrame:
-    """rows with the component of each sid and its number of members; a set without links is its own."""
+    In the first round that is the set with the largest share of shared shingles, which stands in the
+    middle of its near copies; then some member of the largest component.
+    """
     if star is None:
-        return rows.withColumn("component", F.col("sid")).withColumn("members", F.lit(1).cast("long"))
-    members = star.groupBy("component").agg(F.count("*").alias("members"))
-    return rows.join(star.join(members, "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).withColumn("members", F.coalesce("members", F.lit(1).cast("long")))
+        named, order = lists.withColumn("component", F.col("sid")), F.struct("share", "sid")
+    else:
+        named = lists.join(star, "sid", "left").withColumn("component", F.coalesce("component", "sid")).withColumn("members", F.coalesce("members", F.lit(1)))
+        order = F.struct("members", F.xxhash64("sid", F.lit(k)))
+    leaders = named.groupBy("h").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.max_by(F.struct("sid", "component"), order).alias("leader")).where("_least < _most").select("h", "leader")
+    return named.join(leaders, "h").select(*lists.columns, "component", "leader")
+
+
+def without_known(pairs: DataFrame, tests: list[DataFrame]) -> DataFrame:
+    """Different pairs a > b that none of the tests have."""
+    out = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    for t in tests:
+        out = out.join(t.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
+    return out
 
 
 def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,45 +282,43 @@ def set_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = all_sizes.where("n_shingles > 0").groupBy("sid", "n_shingles").agg(F.min("key").alias("key"))
     common = common_shingles(rows)
     sets = written(indexed(final_prefixes(prefix_rows(rows, common), first), rows, common), "sets")
-    lists = sets.select("sid", "size", "c", "least", F.explode("index").alias("x")).select("sid", "size", "c", "least", "x.*")
+    # behind: shared shingles from this one on.
+    lists = sets.select("sid", "size", "c", (F.col("c") / F.col("size")).alias("share"), F.explode("index").alias("x")).select("x.h", "sid", "size", "x.at", (F.col("c") - F.col("x.pos")).alias("behind"), "share")
 
-    star, led, tests = None, None, []
+    # Lists whose sets have come to be of one component are left behind from round to round.
+    star, tests, kept = None, [], None
     for k in range(ROUNDS):
-        named = _with_components(lists, star)
-        leaders = _mixed(named, F.max_by(F.struct("sid", "component"), _leadership(k)).alias("leader"))
-        asks = named.join(leaders, "h").where(F.col("component") != F.col("leader.component")).groupBy("sid", F.col("leader.sid").alias("leader")).agg(F.count("*").alias("n"))
+        now = written(with_leaders(lists if kept is None else kept.select(*lists.columns), star, k), "lists")
+        discarded(kept)
+        kept = now
+        asks = kept.where(F.col("component") != F.col("leader.component")).groupBy("sid", F.col("leader.sid").alias("leader")).agg(F.count("*").alias("n"))
         pairs = written(asks.groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("b")).select(F.col("sid").alias("a"), "b"), "pairs")
         tests.append(written(compared(pairs, sets, novel=k == 0), "tests"))
         discarded(pairs)
-        led = tests[0]
         links = written(linked(tests[-1]), "linked")
         n_pairs, n_links = tests[-1].count(), links.count()
-        now = components(links if star is None else links.union(star.select(F.col("sid").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("sid"), "component")
-        now = written(now, "star")
+        found = components(links if star is None else links.union(star.select(F.col("sid").alias("a"), F.col("component").alias("b")))).select(F.col("node").alias("sid"), "component")
+        found = found.join(found.groupBy("component").agg(F.count("*").cast("int").alias("members")), "component").select("sid", "component", "members")
+        found = written(found, "star")
         discarded(links, star)
-        star = now
+        star = found
         if n_links < WORTH * n_pairs or not n_links:
             break
 
-    by_leader = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"))
-    named = written(_with_components(lists, star).drop("members").join(by_leader, "sid", "left"), "named")
-    # Shared shingles from the common one on, in both final prefixes.
-    enough = F.least(F.col("c_a") - F.col("pos_a"), F.col("c_b") - F.col("pos_b")) >= F.greatest("least_a", "least_b")
-    # Pairs under one leader that have to share novel shingles meet by these instead.
+    by_leader = tests[0].select(F.col("a").alias("sid"), F.col("b").alias("leader"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"))
+    left = written(with_leaders(kept.select(*lists.columns), star, ROUNDS).drop("leader", "share").join(by_leader, "sid", "left"), "left")
+    enough = F.least("behind_a", "behind_b") >= F.greatest(*(F.greatest(F.lit(1), F.floor(F.floor((3 * F.col(s) + 3) / 4) / 10)) for s in ("size_a", "size_b")))
+    # Pairs under one leader that have to share novel shingles meet by these instead, in lists of their
+    # own in which a shingle has no position.
     elsewhere = F.coalesce((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0), F.lit(False))
-    met = meeting(named.join(_mixed(named), "h", "left_semi")).where(enough & ~elsewhere).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    met = meeting(left).where(enough & ~elsewhere).select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
+    novel = tests[0].select(F.explode("novel").alias("h"), F.col("b").alias("leader"), F.col("a").alias("sid"), F.col("size_a").alias("size")).select(F.xxhash64("leader", "h").alias("h"), "sid", "size", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("share"))
+    novel = written(with_leaders(novel, star, ROUNDS).drop("leader", "share").join(by_leader, "sid"), "novel")
+    share = meeting(novel).where((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0)).groupBy(F.greatest("sid_a", "sid_b").alias("a"), F.least("sid_a", "sid_b").alias("b")).agg(F.count("*").alias("n"), F.max(_surplus()).alias("surplus")).where("14 * n >= surplus").select("a", "b")
 
-    # Lists of the novel shingles under each leader; a shingle there has no position.
-    novel = led.select(F.col("a").alias("sid"), F.col("b").alias("leader"), F.col("size_a").alias("size"), (F.col("size_b") - F.col("both")).alias("lacks"), (F.col("size_a") - F.col("both")).alias("adds"), F.explode("novel").alias("h"))
-    novel = written(_with_components(novel, star).drop("members").withColumn("h", F.xxhash64("leader", "h")).withColumn("at", F.lit(0).cast("long")), "novel")
-    share = meeting(novel.join(_mixed(novel), "h", "left_semi")).where((F.col("leader_a") == F.col("leader_b")) & (_surplus() > 0)).groupBy("sid_a", "sid_b").agg(F.count("*").alias("n"), F.max(_surplus()).alias("surplus")).where("14 * n >= surplus").select(F.col("sid_a").alias("a"), F.col("sid_b").alias("b"))
-
-    further = met.union(share).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    for t in tests:
-        further = further.join(t.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    further = written(further, "further")
+    further = written(without_known(met.union(share), tests), "further")
     across = written(linked(compared(further, sets)), "linked")
-    discarded(named, novel, further, *tests, sets)
+    discarded(kept, left, novel, further, *tests, sets)
     found = written(components(star.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(across)).select(F.col("node").alias("sid"), "component"), "components")
     discarded(star, across)
     return all_sizes, found
