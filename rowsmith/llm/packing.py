@@ -123,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
         seen: dict[int, int] = defaultdict(int)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4_000_000):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), Encoder.of(tokenizer, True).encode([t or "" for t in part.column("text").to_pylist()])):
                     ids += last

@@ -136,7 +136,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END) -> DataF
         last = np.array([end], dtype="<u4").tobytes()
         writer, n_docs, n_ids = None, 0, 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, 4_000_000):
                 if writer is None:
                     fs, where = file_system(path)
                     fs.create_dir(where.rpartition("/")[0], recursive=True)
