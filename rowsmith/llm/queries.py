@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import decontamination, jaccard, packing, pii, quality, repeats, sharding, token_files, toxicity, url_filter
+from . import codes, decontamination, jaccard, packing, pii, quality, repeats, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op13_vector_codes": codes.op13_vector_codes,
 }
 
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op8_decontamination": decontamination.OP8_SQL,
     "op9_jaccard_join": jaccard.OP9_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op13_vector_codes": codes.OP13_SQL,
 }
