@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB equivalents."""
 
-from . import codes, decontamination, jaccard, main_text, packing, pii, quality, repeats, sharding, token_files, toxicity, url_filter
+from . import alignment, codes, decontamination, jaccard, main_text, packing, pii, quality, repeats, sharding, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_token_alignment": alignment.op11_token_alignment,
     "op12_main_text": main_text.op12_main_text,
     "op13_vector_codes": codes.op13_vector_codes,
 }
