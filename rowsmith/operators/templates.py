@@ -121,7 +121,7 @@ def compile_line(line: str, values: dict[str, tuple[str, frozenset[str]]]) -> Ru
     out, at, end = [], 0, ""
     for m in _ELEMENT.finditer(body):
         name, args = m[1], [a.strip() for a in m[2].split(",") if a.strip()]
-        if name not in PATTERN and name not in {"start", "end", "something", "space", "zero_or_spaces"}:
+        if name not in PATTERN and name not in {"start", "end", "something", "space", "zero_or_spaces", "zero_or_whitespaces"}:
             # Words before a parenthesis are text, unless they look like a class with arguments.
             if any(a.startswith("var_") for a in args):
                 raise SnippetError(f"unknown class {name}")
@@ -137,6 +137,8 @@ def compile_line(line: str, values: dict[str, tuple[str, frozenset[str]]]) -> Ru
             end = _SPACES[args[0] if args else ""] + "$$"
         elif name == "zero_or_spaces":
             out.append(" *")
+        elif name == "zero_or_whitespaces":
+            out.append(r"\s*")
         elif name == "space":
             found = re.fullmatch(r"repetition_([0-9]*)_([0-9]*)", args[0] if args else "")
             out.append(f" {{{found[1] or 0},{found[2]}}}" if found else " ")
