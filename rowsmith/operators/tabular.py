@@ -315,7 +315,8 @@ def prepared(lines: list[str]) -> list[tuple[str, str | None, list[str]]]:
     """(line, first cell, further lines of the last cell) with the markers that users put before lines.
 
     A marked one line is the first cell of the line after it. A marked multi line starts a row, and lines
-    behind it whose indent is more than 0.8 times the first of them go on with its last cell.
+    behind it whose indent is more than 0.8 times the first of them go on with its last cell; they keep
+    their indent.
     """
     out: list[tuple[str, str | None, list[str]]] = []
     indent, head = None, None
@@ -325,7 +326,7 @@ def prepared(lines: list[str]) -> list[tuple[str, str | None, list[str]]]:
             own = len(x) - len(x.lstrip())
             if x.strip() and (indent is None or own > 0.8 * indent):
                 indent = own if indent is None else indent
-                out[-1][2].append(x.strip())
+                out[-1][2].append(x.rstrip())
                 continue
             tail, indent = False, None
         m = _USER_MARKER.match(x)
@@ -338,11 +339,9 @@ def prepared(lines: list[str]) -> list[tuple[str, str | None, list[str]]]:
     return out
 
 
-def marked_rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, row_no, cells, tails: rows() of tables whose lines users have marked as parts of one row.
-
-    tails has the further lines of the last cell. Works inside each row of docs: no shuffle.
-    """
+def marked_found(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of rows() for tables with marked lines, and head (first cell on a line of its own, or '') and
+    tails (further lines of the last cell, with their indent)."""
 
     @F.pandas_udf("array<string>")
     def read(texts: pd.Series) -> pd.Series:
@@ -354,6 +353,78 @@ def marked_rows(docs: DataFrame, columns: int, divider: str = "", widths: list[i
     d = docs.select(key, F.transform(read(F.col(text)), lambda x, i: F.struct(i.alias("i"), F.split(x, "\n").alias("p"))).alias("lines"))
     d = d.withColumn("row", F.get(F.filter("lines", lambda s: fits(s["p"][0])), 0)).where("row IS NOT NULL").withColumn("starts", start_of(F.col("row.p")[0]))
     d = d.select(key, "starts", F.posexplode(F.filter("lines", lambda s: (s["i"] > F.col("row.i")) & ~is_symbols(s["p"][0]) & s["p"][0].rlike("[^ ]"))).alias("n", "s"))
-    d = d.select(key, F.col("n").cast("long").alias("row_no"), F.col("s.p").alias("p"), cells_of(F.col("s.p")[0], F.col("starts"), divider).alias("cells"))
-    cells = F.when(F.col("p")[1] != "", F.transform("cells", lambda c, i: F.when(i == 0, F.col("p")[1]).otherwise(c))).otherwise(F.col("cells"))
-    return d.select(key, "row_no", cells.alias("cells"), F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0))).alias("tails"))
+    line = F.col("s.p")[0]
+    d = d.select(key, F.col("n").cast("long").alias("row_no"), line.alias("line"), "starts", cells_of(line, F.col("starts"), divider).alias("cells"), edges_of(line, F.col("starts")).alias("edges"), F.col("s.p").alias("p"))
+    return d.select(key, "row_no", "line", "starts", "cells", "edges", layout_of(F.col("cells")).alias("layout"), F.col("p")[1].alias("head"), F.slice("p", F.lit(3), F.greatest(F.size("p") - 2, F.lit(0))).alias("tails"))
+
+
+def marked_rows(docs: DataFrame, columns: int, divider: str = "", widths: list[int | None] | None = None, rule: bool = False, gap: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, row_no, cells, tails: rows() of tables whose lines users have marked as parts of one row.
+
+    tails has the further lines of the last cell. Works inside each row of docs: no shuffle.
+    """
+    d = marked_found(docs, columns, divider, widths, rule, gap, key, text)
+    cells = F.when(F.col("head") != "", F.transform("cells", lambda c, i: F.when(i == 0, F.col("head")).otherwise(c))).otherwise(F.col("cells"))
+    return d.select(key, "row_no", cells.alias("cells"), F.transform("tails", lambda x: F.regexp_replace(x, r"\A\s+", "")).alias("tails"))
+
+
+def unmarked(text: Column) -> Column:
+    """The text without its users' markers."""
+    return F.regexp_replace(text, r"(?im)^ *< *user[ ._+-]marker[ ._+-](?:one|multi)[ ._+-]?line *>", "")
+
+
+def marked_snippet(docs: DataFrame, names: list[str], divider: str = "", key: str = "doc_id", text: str = "text", **how) -> str:
+    """The snippet of tables with rows of several lines, from texts in which users have marked them; it reads
+    texts without markers. Its last column is a list where a row goes on in further lines.
+
+    A first cell on a line of its own leads to a state that reads the rest of the row. With further lines,
+    a row's beginning is recognised without capturing, which ends the record before it, and then captured.
+    ValueError where a row of nothing but a first cell, or but a last cell that stands where further lines do,
+    cannot be told from these. The driver gets a row for each layout.
+    """
+    found = marked_found(docs, len(names), divider, key=key, text=text, **how)
+    last = len(names) - 1
+    indent = lambda x: F.length(x) - F.length(F.ltrim(x))
+    cells = F.when(F.col("head") != "", F.transform("cells", lambda c, i: F.when(i == 0, F.col("head")).otherwise(c))).otherwise(F.col("cells"))
+    # Further lines are rows of nothing but a last cell, where the profile of columns is concerned.
+    tails = F.transform("tails", lambda x: F.transform("cells", lambda c, i: F.when(i == last, F.ltrim(x)).otherwise("")))
+    profile = column_profile(found.select(F.explode(F.concat(F.array(cells), tails)).alias("cells"))).orderBy("column_no").collect()
+    columns = [r.asDict() for r in profile]
+    for c in columns:
+        if c["actual"] is None:
+            raise ValueError(f"column {names[c['column_no']]} is always empty")
+    full = lambda i: F.substring("layout", i + 1, 1) == "1"
+    left = lambda i: F.coalesce(F.array_max(F.transform(F.slice("edges", F.lit(1), i), lambda e: e["right"])), F.lit(0))
+    blanks = F.transform("edges", lambda e, i: F.when(full(i), e["left"] - left(i)).otherwise(F.get("starts", i + 1) - F.get("starts", i) - len(divider)))
+    headed = (F.col("head") != "").alias("headed")
+    each = found.select(headed, "layout", F.posexplode(blanks).alias("column_no", "blanks"), F.col("line").rlike(r"[ \t]\z").alias("trailing"))
+    g = each.groupBy("headed", "layout", "column_no").agg(F.min("blanks").alias("least"), F.max("blanks").alias("most"), F.bool_or("trailing").alias("trailing"))
+    g = g.groupBy("headed", "layout").agg(F.array_sort(F.collect_list(F.struct("column_no", "least", "most", "trailing"))).alias("stretches")).orderBy(F.desc("layout"))
+    rules = [(r["headed"], r["layout"], [s.asDict() for s in r["stretches"]]) for r in g.collect()]  # 2 ** columns for each, at most
+    edge = found.select(F.explode("tails").alias("x")).agg(F.min(indent(F.col("x"))).alias("least"), F.max(indent(F.col("x"))).alias("most")).first()
+    heads, listed = [x for h, x, _ in rules if h], edge["most"] is not None
+    if heads and any(x.rstrip("0") == "1" for h, x, _ in rules if not h):
+        raise ValueError("a row of nothing but a first cell looks like a first cell on a line of its own")
+    lonely = [s for h, x, s in rules if listed and not h and x == "0" * last + "1"]
+    if any(s[last]["least"] <= edge["most"] and s[last]["most"] >= edge["least"] for s in lonely):
+        raise ValueError("a row of nothing but a last cell stands where further lines do")
+
+    own = f"(var_{names[last]}"
+    as_list = lambda x: re.sub(re.escape(own) + r"((?:, \w+)*)\)", lambda m: f"{own}{m[1]}, meta_data_list)", x) if listed else x
+    bare = lambda x: re.sub(r"\(var_\w+(?:, )?", "(", x)
+    row = lambda x, s: _rule(x, s, columns, names, divider).removesuffix(" -> Record")
+    body, rest = [], []
+    for is_headed, x, s in rules:
+        r = row(x, s)
+        if is_headed:
+            rest.append(f"{as_list(r)} -> {'Next' if listed else 'Record'} Start")
+        else:
+            body += [f"{bare(r)} -> Continue.Record", f"{as_list(r)} -> Next"] if listed else [f"{r} -> Record"]
+    if heads:
+        line = f"start() {_slot(columns[0], names[0])} end(space)"
+        lead = ([f"{bare(line)} -> Continue.Record"] if listed else []) + [f"{line} -> Rest"]
+        # Words one blank apart are no row where cells are further apart.
+        body = [*lead, *body] if columns[0]["actual"] in ONE_BLANK or columns[0]["class"] not in TOKEN_OF else [*body, *lead]
+    if listed:
+        body.append(as_list(f"start() space(repetition_{max(0, edge['least'] - 1)}_{max(0, edge['most'] - 1)}) {_slot(columns[last], names[last])} end(space)"))
+    return "\n".join([*body, *(["", "Rest", *rest] if heads else [])])

@@ -1,5 +1,7 @@
 """Tables and pairs between markers, from text to snippet and back; marked rows, headers, token edits, files."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,10 +69,50 @@ def test_column_names(spark):
     assert [r.names for r in tabular.column_names(d, 4, rule=True, explicit=list("abcd")).collect()] == [list("abcd")]
 
 
-def test_marked_rows(spark):
-    d = docs(spark, "a        b       c\n-------- ------- -------\nk1       k2      k3\n<user-marker-one-line>very-long-cell\n         m2      m3\n< User Marker Multi Line >n1       n2      n3\n                 more\n                  again\n  o1     o2      o3", None)
-    got = [(r.cells, r.tails) for r in tabular.marked_rows(d, 3, rule=True).orderBy("row_no").collect()]
-    assert got == [(["k1", "k2", "k3"], []), (["very-long-cell", "m2", "m3"], []), (["n1", "n2", "n3"], ["more", "again"]), (["o1", "o2", "o3"], [])]
+def ledger(rng, heads, tails, gaps):
+    """A marked table, and its rows as cells and further lines."""
+    rows = []
+    for k in range(12):
+        how = rng.choice(["plain", *["head"] * heads, *["tail"] * tails])
+        cells = [f"id{k}", rng.choice(["", "7", "42"]) if gaps else "7", f"note {k}x"]
+        if how == "head":
+            cells[0] = f"name of no {k}"
+        rows.append((how, cells, [f"more {k}y"] + ["and so on"] * rng.randrange(2) if how == "tail" else []))
+    text = "id        state    note\n--------- -------- ----"
+    for how, (a, b, c), more in rows:
+        mark = {"head": rng.choice(["<user-marker-one-line>", " < User Marker One Line >"]), "tail": "<user_marker.multi+line>", "plain": ""}[how]
+        text += f"\n{mark}" + (f"{a}\n{'':<10}" if how == "head" else f"{a:<10}") + f"{b:<9}{c}" + "".join(f"\n{'':<{19 + i}}{x}" for i, x in enumerate(more))
+    return text, [(cells, more) for _, cells, more in rows]
+
+
+@pytest.mark.parametrize("heads, tails, gaps", [(1, 0, False), (0, 1, False), (1, 1, False), (1, 1, True), (0, 1, True), (0, 0, True)])
+def test_marked_tables(spark, heads, tails, gaps):
+    """Rows as they were rendered; and by rules inferred from the marked tables, from the texts without marks."""
+    rng = random.Random(heads * 4 + tails * 2 + gaps)
+    tables = [ledger(rng, heads, tails, gaps) for _ in range(5)]
+    d = docs(spark, *(t for t, _ in tables), None, "")
+    got = {}
+    for r in tabular.marked_rows(d, 3, rule=True).orderBy("doc_id", "row_no").collect():
+        got.setdefault(r.doc_id, []).append((r.cells, r.tails))
+    assert got == {k: rows for k, (_, rows) in enumerate(tables)}
+    t = templates.compile_snippet(tabular.marked_snippet(d, ["id", "state", "note"], rule=True))
+    plain = d.select("doc_id", tabular.unmarked(F.col("text")).alias("text"))
+    got = {}
+    for r in templates.parse(plain, t).orderBy("doc_id", "record_no").collect():
+        note = list(r.note) if tails else [r.note]
+        got.setdefault(r.doc_id, []).append(([r.id, r.state, note[0]], note[1:]))
+    # The heading is a row by its words.
+    assert {k: v[1:] if v and v[0][0][0] == "id" else v for k, v in got.items()} == {k: rows for k, (_, rows) in enumerate(tables)}
+
+
+def test_marked_tables_that_cannot_be_told_apart(spark):
+    head = "a        b\n-------- ----\n"
+    with pytest.raises(ValueError, match="first cell"):
+        tabular.marked_snippet(docs(spark, head + "x\n<user-marker-one-line>long one\n         y"), ["a", "b"], rule=True)
+    with pytest.raises(ValueError, match="last cell"):
+        tabular.marked_snippet(docs(spark, head + "<user-marker-multi-line>x        y\n         z\nu        v", head + "         w"), ["a", "b"], rule=True)
+    with pytest.raises(ValueError, match="always empty"):
+        tabular.marked_snippet(docs(spark, head + "x"), ["a", "b"], rule=True)
 
 
 CARD = "intro: 1\nbegin 3\nname: ann lee  age: 7\nplain words\nowner:   place: x\nrate = 5\nend\nname: no"

@@ -1,5 +1,6 @@
 """Pairs, tables, templates, verification, registry, tokens and mined patterns."""
 
+import random
 import re
 
 import pytest
@@ -10,18 +11,22 @@ from rowsmith.sources.documents import explode_lines
 from rowsmith.streaming import counts
 
 
-@pytest.mark.parametrize(
-    "line, count, want",
-    [
-        ("owner: Ann, Bo", 1, {"owner": "Ann, Bo"}), ("disk   space: 12 GB", 1, {"disk   space": "12 GB"}), ("host: db1   port: 5432  mode: rw", 3, {"host": "db1", "port": "5432", "mode": "rw"}),
-        ("host:   port: ", 2, {"host": "", "port": ""}), ("host:   port:  mode: ", 3, {"host": "", "port": "", "mode": ""}), ("host:   port: 5432  mode: ", 3, {"host": "", "port": "5432", "mode": ""}),
-        ("started: 23:59:01", 1, {"started": "23:59:01"}), ("started: 23:59:01 UTC  card: a0:b1:c2:d3:e4:f5", 2, {"started": "23:59:01 UTC", "card": "a0:b1:c2:d3:e4:f5"}),
-        ("at: 7:05   routes: fe80::1, ::ffff, 2001:db8::   card: a0:b1:c2:d3:e4:f5", 3, {"at": "7:05", "routes": "fe80::1, ::ffff, 2001:db8::", "card": "a0:b1:c2:d3:e4:f5"}),
-        ("no separator", 1, {}), (": nothing before", 1, {}), ("at 10:20:30", 1, {}),
-    ],
-)
-def test_pairs(line, count, want):
-    assert dict(category.split_pairs(line, count)) == want
+VALUES = ["", "on", "7", "x y", "x, y", "21:40", "6:07:08 h", "0a:1b:2c:3d:4e:5f", "::9", "fd00::1, fd00::2", "3.5 km/h (max)"]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rendered_pairs_are_read_back(seed):
+    """Keys of one word or two before their values, wide gaps in between; fewer are read if fewer are asked for."""
+    rng = random.Random(seed)
+    for _ in range(100):
+        keys = rng.sample(["mode", "speed", "via", "left side", "no(s)", "n.r", "kind"], rng.randrange(1, 5))
+        pairs = [(k, rng.choice(VALUES)) for k in keys]
+        line = "".join(f"{k}: {v}" + " " * rng.randrange(2, 5) for k, v in pairs).rstrip(" ")
+        assert category.split_pairs(line, len(pairs)) == pairs, line
+        if all(v for _, v in pairs):
+            assert category.split_pairs(line, 1)[0][0] == pairs[0][0]
+    for line in ("", "words alone", ":starts with one", "left 8:15", "at ::1", "02:42:ac:11:00:02 seen"):
+        assert category.split_pairs(line, 2) == [], line
 
 
 def test_variable_and_records(spark):
@@ -134,36 +139,66 @@ def test_tokens(spark):
     assert tokens.captured(d, [("letters", "a"), ("digits", None), ("=x-y", "b")]).select("a", "b").first() == ("abc", "x-y")
 
 
-@pytest.mark.parametrize(
-    "lines, pattern, snippet",
-    [
-        (["we sell a lamp", "we sell the old lamp"], "we sell (?P<v0>W( W)*) lamp", "start() we sell words(var_v0) lamp end()"),
-        (["  we sell a lamp", "    we sell the old lamp", "  we sell the very old lamp ", "    they sell a lantern"], " +(?P<v0>[a-zA-Z]+) sell (?P<v1>W( W)+) *", "start(spaces) letters(var_v0) sell phrase(var_v1) end(space)"),
-        ([" 9812 | pts01  |  1:10.25 | /usr/bin/top --all -u", "77 | pts12  |  0:02.50 | -sh"], None, "start(space) digits(var_v0) | word(var_v1)  |  mixed_number(var_v2) | mixed_words(var_v3) end()"),
-        (["take \t it on one day", "take it on two days"], None, "start() take\t it on phrase(var_v0) end()"),
-        (["addr: c::d % 8", "addr: c::e % 64"], None, "start() addr: mixed_word(var_v0) % digits(var_v1) end()"),
-        (["addr: 7::2 % 32", "addr: 7::3 / 33"], None, "start() addr: non_whitespaces_phrase(var_v0) end()"),
-        (["we paint blue big \t door", "we paint red big door", "we paint green big door", "we paint big door"], r"we paint(?: (?P<v0>[a-zA-Z]+))? big\s+door", "start() we paint letters(var_v0, or_empty) big\t door end()"),
-        (["my line one is a top line", "line two is a next odd line"], None, "start() letters(var_v0, or_empty) line letters(var_v1) is a words(var_v2) line end()"),
-    ],
-)
-def test_general_pattern(spark, lines, pattern, snippet):
-    """Of some lines in hand, and of a cluster in a table, with other clusters around."""
-    got = mining.general_pattern(lines)
-    assert all(re.fullmatch(got[0], x) for x in lines)
-    assert got[1] == snippet and (pattern is None or got[0] == pattern.replace("W", "[a-zA-Z][a-zA-Z0-9]*"))
-    d = spark.createDataFrame([("k", x) for x in lines] + [("other", "x 1"), ("other", "x 2"), ("one", "same"), ("one", " same ")], "kind string, line string")
+SLOTS = {
+    "digits": lambda rng: str(rng.randrange(10, 9999)), "letters": lambda rng: rng.choice(["Xa", "Xbb", "Xccc", "Xdddd", "Xe"]), "mixed_number": lambda rng: f"{rng.randrange(10, 24)}:{rng.randrange(10, 60)}", "mixed_word": lambda rng: f"{rng.choice('XYZ')}{rng.randrange(9)}/{rng.choice('uvw')}",
+    "phrase": lambda rng: f"X{rng.choice('abcd')}{rng.randrange(100, 999)} Y{rng.randrange(100, 999)}" + rng.choice(["", f" Z{rng.randrange(100, 999)}"]),
+}
+
+
+def rendered(rng, n):
+    """Lines of one form: literal words, and between them slots of one class each, with what each holds."""
+    literals = rng.sample(["red", "of", "=>", "(max)", "gets", "$", "until", "|"], rng.randrange(2, 5))
+    kinds = [rng.choice([None, *SLOTS]) for _ in literals]
+    kinds[0] = kinds[0] or "digits"
+    rows = []
+    for _ in range(n):
+        values = [SLOTS[k](rng) if k else None for k in kinds]
+        rows.append((" ".join(x for lit, v in zip(literals, values) for x in (lit, v) if x is not None), [v for v in values if v is not None]))
+    return rows, [k for k in kinds if k]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_patterns_of_rendered_lines(seed):
+    """What is inferred from lines that differ matches all of them, captures what each slot was given, and compiles."""
+    rng = random.Random(seed)
+    for _ in range(25):
+        rows, kinds = rendered(rng, 8)
+        lines = [x for x, _ in rows]
+        found = mining.general_pattern(lines)
+        assert found is not None, lines
+        matches = [re.fullmatch(found[0], x) for x in lines]
+        assert all(matches)
+        varying = [i for i in range(len(kinds)) if len({v[i] for _, v in rows}) > 1]
+        # Words that some values have in common may stand outside of the slot.
+        if all(kinds[i] != "phrase" for i in varying):
+            assert [list(m.groups()) for m in matches] and [[m[f"v{k}"] for k in range(len(varying))] for m in matches] == [[v[i] for i in varying] for _, v in rows]
+        t = templates.compile_snippet(found[1] + " -> Record")
+        assert len(templates.Machine(t).records("\n".join(lines))[0]) == len(lines)
+
+
+def test_envelopes_and_words_that_may_lack():
+    """Blanks around lines, spacing within, and a word that only some lines have."""
+    rng = random.Random(9)
+    for _ in range(40):
+        lead, end = rng.choice([(0, 1), (0, 4), (2, 4)]), rng.choice([(0, 1), (0, 3)])
+        lines = [" " * rng.randrange(*lead) + f"unit {k}{rng.choice(['', ' spare'])} left{rng.choice([' ', '   '])}{rng.randrange(10, 99)} h" + " " * rng.randrange(*end) for k in range(11, 17)]
+        lines += [" " * lead[0] + "unit 20 spare left 30 h", " " * lead[0] + "unit 21 left 31 h"]
+        found = mining.general_pattern(lines)
+        assert found and all(re.fullmatch(found[0], x) for x in lines), lines
+    assert mining.general_pattern(["alone"]) is None and mining.general_pattern(["alone", " alone  "]) is None
+
+
+def test_clusters_of_a_table(spark):
+    """Each cluster has the pattern that its lines have by themselves; one of a single line has none."""
+    rng = random.Random(12)
+    clusters = {f"k{i}": [x for x, _ in rendered(rng, 6)[0]] for i in range(8)} | {"one": ["same", " same "]}
+    d = spark.createDataFrame([(k, x) for k, lines in clusters.items() for x in lines], "kind string, line string").repartition(5)
     rows = {r.kind: r for r in mining.matching_patterns(d, "kind").collect()}
-    assert (rows["k"].pattern, rows["k"].snippet, rows["k"].error) == (*got, None)
-    assert rows["other"].snippet == "start() x digit(var_v0) end()" and (rows["one"].pattern, rows["one"].error) == (None, mining.TOO_FEW)
-
-
-def test_pair_pattern():
-    w = "[a-zA-Z][a-zA-Z0-9]*"
-    assert mining.pair_pattern("a", "@")[0] == r"(?P<v0>[\x21-\x7e])" and mining.pair_pattern("a b", "x")[0] == f"(?P<v0>{w}( +{w})*)"
-    assert mining.pair_pattern("  row one is a top row  ", "    row two is a next row")[0] == " +row +(?P<v0>[a-zA-Z]+) +is +a +(?P<v1>[a-zA-Z]+) +row *"
-    assert mining.pair_pattern("a b c", "a c")[1].split() == "a letter(var_v0, or_empty) c".split()
-    assert mining.general_pattern(["only one", " only one "]) is None
+    assert sorted(rows) == sorted(clusters) and (rows["one"].pattern, rows["one"].error) == (None, mining.TOO_FEW)
+    for k, lines in clusters.items():
+        if k != "one":
+            assert rows[k].error is None and all(re.fullmatch(rows[k].pattern, x) for x in lines)
+            assert templates.compile_snippet(rows[k].snippet + " -> Record").values
 
 
 def test_streaming(spark, tmp_path):
