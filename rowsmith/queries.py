@@ -1,6 +1,6 @@
 """The queries of the library's own operators and their DuckDB equivalents."""
 
-from .jobs import block_jobs, edit_jobs, line_jobs, text_jobs
+from .jobs import block_jobs, edit_jobs, line_jobs, table_jobs, text_jobs
 
-QUERIES = {**line_jobs.QUERIES, **text_jobs.QUERIES, **block_jobs.QUERIES, **edit_jobs.QUERIES}
-ORACLES = {**line_jobs.ORACLES, **text_jobs.ORACLES, **block_jobs.ORACLES, **edit_jobs.ORACLES}
+QUERIES = {**line_jobs.QUERIES, **text_jobs.QUERIES, **block_jobs.QUERIES, **edit_jobs.QUERIES, **table_jobs.QUERIES}
+ORACLES = {**line_jobs.ORACLES, **text_jobs.ORACLES, **block_jobs.ORACLES, **edit_jobs.ORACLES, **table_jobs.ORACLES}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the folder that the session names for checkpoints: cuts lineage, and survives lost executors.
+
+    A temporary folder only where the session names none, as in tests on one machine.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-kept-"))
+    return df.checkpoint()
+
+
 def lines_of(text: Column) -> Column:
     """Array of the lines of a text; CR, LF and CRLF each end one."""
     return F.split(text, LINE_END)
