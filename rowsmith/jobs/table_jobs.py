@@ -1,4 +1,7 @@
-"""Templates over tables of lines, in whatever order they are stored."""
+"""Templates over tables of lines, in whatever order they are stored.
+
+The lines are those of conversations: a heading for each turn, what is said line by line, and an end.
+"""
 
 from __future__ import annotations
 
@@ -6,66 +9,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import line_tables, templates
-from ..sources.documents import table
+from ..sources.documents import lines_of, table
 
-#: A heading whose values fill down, items below it.
-HEADED = "Order digits(var_order_id, meta_data_filldown) letter(var_status, meta_data_filldown) end()\n  item digits(var_part, meta_data_required) from digits(var_supplier) end() -> Record"
-#: The same with a state for items, remarks gathered in a list, and an end of each order.
+#: A heading whose values fill down, lines below it.
+HEADED = "turn digits(var_turn, meta_data_filldown) word(var_role, meta_data_filldown) end()\n> something(var_said, meta_data_required) end() -> Record"
+#: The same with a state inside turns, their lines gathered in a list, and an end of each.
 STATES = """Start
-Order digits(var_order_id) letter(var_status) end() -> Items
-Items
-  item digits(var_parts, meta_data_list) from digits() end()
-close digits() -> Record Start"""
+turn digits(var_turn) word(var_role) end() -> Said
+Said
+> something(var_said, meta_data_list) end()
+done digits() end() -> Record Start"""
+#: Places that a turn takes up.
+TURN = 1_000_000
 
 
-def _lines(spark: SparkSession, sf_dir: str, key, close: bool = False) -> DataFrame:
-    """doc, place, line: orders with their items, each item at a place of its own; no order of rows is kept."""
-    o, i = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+def _lines(spark: SparkSession, sf_dir: str, close: bool = False) -> DataFrame:
+    """doc, place, line: the parts of all turns as three tables behind one another, so that rows stand in no order."""
+    t = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    heads = o.select(key("o_orderkey").alias("doc"), (F.col("o_orderkey") * 10).alias("place"), text("Order ", F.col("o_orderkey"), " ", F.col("o_orderstatus")).alias("line"))
-    items = i.select(key("l_orderkey").alias("doc"), (F.col("l_orderkey") * 10 + 1).alias("place"), text("  item ", F.col("l_partkey"), " from ", F.col("l_suppkey")).alias("line"))
-    out = heads.union(items).union(heads.select("doc", F.col("place") + 2, F.lit("some remark")))
-    return out.union(heads.select("doc", F.col("place") + 3, text("close ", (F.col("place") / 10).cast("long")))) if close else out
+    place = F.col("turn").cast("long") * TURN
+    said = t.select("conv_id", "turn", F.posexplode(lines_of(F.col("text"))).alias("i", "x"))
+    out = said.select(F.col("conv_id").alias("doc"), (place + 1 + F.col("i")).alias("place"), F.concat(F.lit("> "), "x").alias("line"))
+    out = out.union(t.select("conv_id", place, text("turn ", F.col("turn"), " ", F.col("role"))))
+    return out.union(t.select("conv_id", place + TURN - 1, text("done ", F.col("turn")))) if close else out
 
 
 def line_table_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document for each order, its lines sorted within tasks, the state carried from batch to batch."""
-    lines = _lines(spark, sf_dir, lambda k: F.col(k), close=True)
-    got = line_tables.parse_ordered(lines, templates.compile_snippet(STATES), "doc", "place")
-    return got.select("doc", "record_no", "order_id", "status", F.array_join("parts", ",").alias("parts"))
+    """The turns of each conversation: lines sorted within tasks, the state carried from batch to batch."""
+    got = line_tables.parse_ordered(_lines(spark, sf_dir, True), templates.compile_snippet(STATES), "doc", "place")
+    return got.select("doc", "record_no", "turn", "role", F.size("said").cast("long").alias("n_lines"), F.md5(F.array_join("said", "\n")).alias("digest"))
 
 
-LINE_TABLE_SQL = """
-WITH i AS (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY 'item ' || l_partkey || ' from ' || l_suppkey) AS parts FROM lineitem GROUP BY l_orderkey)
-SELECT o_orderkey AS doc, 0::BIGINT AS record_no, o_orderkey::VARCHAR AS order_id, o_orderstatus AS status, coalesce(parts, '') AS parts FROM orders LEFT JOIN i ON l_orderkey = o_orderkey
+_TURNS = "SELECT conv_id AS doc, turn, role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL"
+_LINES = r"string_split_regex(text, '\r\n|\r|\n')"
+LINE_TABLE_SQL = f"""
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY turn) - 1)::BIGINT AS record_no, turn::VARCHAR AS turn, role, len({_LINES})::BIGINT AS n_lines, md5(array_to_string({_LINES}, chr(10))) AS digest FROM ({_TURNS})
 """
 
 
 def native_fill_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values that fill down, by expressions and windows alone; a document for each order."""
-    lines = _lines(spark, sf_dir, lambda k: F.col(k))
+    """What is said, line by line, with the turn and role filled down, by expressions and windows alone."""
     t = templates.compile_snippet(HEADED)
-    return line_tables.records_of(line_tables.steps_of_rules(lines, t, "doc", "place"), t, "doc").drop("error")
+    return line_tables.records_of(line_tables.steps_of_rules(_lines(spark, sf_dir), t, "doc", "place"), t, "doc").drop("error")
 
 
-NATIVE_FILL_SQL = """
-SELECT o_orderkey AS doc, (row_number() OVER (PARTITION BY o_orderkey ORDER BY 'item ' || l_partkey || ' from ' || l_suppkey) - 1)::BIGINT AS record_no,
-  o_orderkey::VARCHAR AS order_id, o_orderstatus AS status, l_partkey::VARCHAR AS part, l_suppkey::VARCHAR AS supplier
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+NATIVE_FILL_SQL = f"""
+WITH l AS (SELECT doc, turn, role, unnest(range(0, len(x))) AS i, unnest(x) AS said FROM (SELECT *, {_LINES} AS x FROM ({_TURNS})))
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY turn, i) - 1)::BIGINT AS record_no, turn::VARCHAR AS turn, role, said FROM l WHERE said <> ''
 """
 
 
 def long_document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders as two documents, each cut into chunks that run at the same time; states are composed over the chunks."""
-    lines = _lines(spark, sf_dir, lambda k: F.when(F.col(k) % 8 == 0, "small").otherwise("large"), close=True)
+    """All conversations as two documents, cut into chunks that run at the same time; states are composed over the chunks."""
+    lines = _lines(spark, sf_dir, True).select(F.when(F.col("doc") % 8 == 0, "small").otherwise("large").alias("part"), (F.col("doc").cast("long") * 1000 * TURN + F.col("place")).alias("place"), "line")
     t = templates.compile_snippet(STATES)
-    steps = line_tables.steps_of_chunks(lines, t, "doc", "place")
-    return line_tables.records_of(steps, t, "doc").select("doc", "record_no", "order_id", "status", F.array_join("parts", ",").alias("parts"))
+    # Chunks of a hundred conversations each.
+    steps = line_tables.steps_of_chunks(lines, t, "part", "place", chunk_lines=100 * 1000 * TURN)
+    return line_tables.records_of(steps, t, "part").select("part", "record_no", "turn", "role", F.size("said").cast("long").alias("n_lines"), F.md5(F.array_join("said", "\n")).alias("digest"))
 
 
 LONG_DOCUMENT_SQL = f"""
-WITH r AS ({LINE_TABLE_SQL}), d AS (SELECT CASE WHEN doc % 8 = 0 THEN 'small' ELSE 'large' END AS d, * FROM r)
-SELECT d AS doc, (row_number() OVER (PARTITION BY d ORDER BY doc) - 1)::BIGINT AS record_no, order_id, status, parts FROM d
+WITH d AS (SELECT CASE WHEN doc % 8 = 0 THEN 'small' ELSE 'large' END AS part, * FROM ({_TURNS}))
+SELECT part, (row_number() OVER (PARTITION BY part ORDER BY doc, turn) - 1)::BIGINT AS record_no, turn::VARCHAR AS turn, role, len({_LINES})::BIGINT AS n_lines, md5(array_to_string({_LINES}, chr(10))) AS digest FROM d
 """
 
 QUERIES = {"line_table_records": line_table_records, "native_fill_records": native_fill_records, "long_document_records": long_document_records}

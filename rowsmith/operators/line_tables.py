@@ -168,9 +168,9 @@ def steps_of_rules(lines: DataFrame, template: Template, key: str = "doc_id", or
     for r in template.states["Start"]:
         named = template.regex(r)
         java = re.sub(r"\(\?P<\w+>", "(", named)
-        # Java's $ also stands before a last line end of a kind that does not end lines here.
+        # Java's $ also stands before a last line end; (?d) leaves other line ends than \n to the dot.
         java = java[:-1] + r"\z" if java.endswith("$") and not java.endswith(r"\$") else java
-        rules.append((r, rf"\A(?:{java})", re.compile(named).groupindex))
+        rules.append((r, rf"(?d)\A(?:{java})", re.compile(named).groupindex))
     x = F.col("line")
     reached, steps = F.lit(True), []
     for r, pattern, groups in rules:
