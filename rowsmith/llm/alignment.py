@@ -1,9 +1,10 @@
 """Alignment of two tokenizers over the same texts.
 
 Both tokenise a text whole. Byte offsets where both have a token's end, and the next tokens of both
-begin with a blank, cut it into short windows of token ids. Windows repeat all over a corpus: how one
-falls into groups, and which of its tokens overlap, is worked out once a worker for each different
-pair of id tuples. In how many documents a pair of ids is linked is counted over the whole corpus.
+begin with a blank, cut it into short windows of token ids. Windows repeat all over a corpus: those of
+many texts are numbered by their id tuples, and how one falls into groups, and which of its tokens
+overlap, is worked out once for each number and used wherever it stands. In how many documents a pair
+of ids is linked is counted over the whole corpus.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .lookup import looked_up
 
 #: Pairs of ids, at most so many, whose counts are broadcast: about 16 MB.
 FREQUENT = 500_000
-#: Bytes of text that are aligned at a time, and windows of one generation kept by a worker.
-RUN, WINDOWS = 1_000_000, 200_000
+#: Bytes of text whose different windows are aligned at a time.
+RUN = 2_000_000
 #: The longest piece between blanks, in characters, that is kept.
 LONGEST = 48
 #: A pair of ids is A's id times this, and B's id: B has fewer.
@@ -142,8 +143,8 @@ class Aligner:
         assert len(bytes_b) <= SHIFT
         self.table_a, self.table_b = _binary(bytes_a), _binary(bytes_b)
         self.length_a, self.length_b = (np.array([len(x) for x in t], dtype=np.int64) for t in (bytes_a, bytes_b))
-        self.lengths = self.length_a.tolist(), self.length_b.tolist()
-        self.known, self.known_before = {}, {}
+        # Each id as it is written: A's within and at the end of its side of a group, then B's.
+        self.numbers = _binary([f"{k}{mark}".encode() for n, last in ((len(bytes_a), "|"), (len(bytes_b), ";")) for k in range(n) for mark in (",", last)])
 
     @classmethod
     def of(cls, a: str, b: str) -> Aligner:
@@ -151,38 +152,40 @@ class Aligner:
             cls._own[a, b] = cls(a, b)
         return cls._own[a, b]
 
-    def window(self, key: bytes) -> tuple[bytes, bytes, int]:
-        """Of the number of A's ids, A's ids, B's ids: the groups as text, the pairs that overlap, how many groups."""
-        if (out := self.known.get(key)) is None:
-            if (out := self.known_before.get(key)) is None:
-                out = self._aligned(key)
-            self.known[key] = out
-        return out
+    def _windows(self, keys) -> tuple:
+        """What different windows come to, all at once: keys hold the number of A's ids, A's ids and B's ids.
 
-    def _aligned(self, key: bytes) -> tuple[bytes, bytes, int]:
-        ids = array("I", key).tolist()
-        n = ids[0]
-        a, b = ids[1 : n + 1], ids[n + 1 :]
-        length_a, length_b = self.lengths
-        groups, pairs = [], array("q")
-        i = j = first_a = first_b = 0
-        end_a, end_b = length_a[a[0]], length_b[b[0]]
-        while True:
-            pairs.append(a[i] * SHIFT + b[j])
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-                end_a, end_b = end_a + length_a[a[i]], end_b + length_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += length_a[a[i]]
-            else:
-                j += 1
-                end_b += length_b[b[j]]
-        return (";".join(groups) + ";").encode(), pairs.tobytes(), len(groups)
+        The text of each one's groups, the pairs that overlap, where each window's pairs begin, and how many
+        groups each has.
+        """
+        import pyarrow as pa
+
+        data, at = _flat(keys)
+        flat, at = data.view("<u4"), at // 4
+        n_a = flat[at[:-1]].astype(np.int64)
+        n_b = np.diff(at) - 1 - n_a
+        a, b = flat[_spread(at[:-1] + 1, n_a)], flat[_spread(at[:-1] + 1 + n_a, n_b)]
+        length_a, length_b = self.length_a[a], self.length_b[b]
+        ends_a, ends_b = np.cumsum(length_a), np.cumsum(length_b)
+        ends = np.concatenate([[0], ends_a])[np.cumsum(n_a)]  # of the windows
+        both = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, dtype=np.uint8)
+        both[ends_a] = 1
+        both[ends_b] += 1
+        groups = np.cumsum(both == 2)
+        # Between one end and the next there is one token of either side: a pair that overlaps.
+        bounds = np.flatnonzero(both)
+        pairs = a[np.searchsorted(ends_a, bounds)].astype(np.int64) * SHIFT + b[np.searchsorted(ends_b, bounds)]
+        pair_at = np.concatenate([[0], np.searchsorted(bounds, ends, "right")])
+        n_groups = np.diff(np.concatenate([[0], groups[ends]]))
+        # The tokens of a group stand together, A's first; the last of either side has another mark behind it.
+        group_a, group_b = groups[ends_a - length_a], groups[ends_b - length_b]
+        codes = np.empty(len(a) + len(b), dtype=np.int64)
+        codes[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = 2 * a.astype(np.int64) + (both[ends_a] == 2)
+        codes[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = 2 * (len(self.length_a) + b.astype(np.int64)) + (both[ends_b] == 2)
+        text, places = _flat(self.numbers.take(pa.array(codes)))
+        cuts = places[np.concatenate([[0], np.cumsum(n_a + n_b)])]
+        texts = pa.Array.from_buffers(pa.large_binary(), len(n_a), [None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(text)])
+        return texts, pairs, pair_at, n_groups
 
     def _tokens(self, encoder: Encoder, table, texts: list[str]):
         """Ids of all texts, how many each has, and which texts the ids' bytes give back."""
@@ -228,23 +231,21 @@ class Aligner:
         keys[_spread(at[:-1] + 1 + to_a - from_a, to_b - from_b)] = ids_b
         numbered = pa.Array.from_buffers(pa.large_binary(), len(anchors), [None, pa.py_buffer(at * 4), pa.py_buffer(keys)]).dictionary_encode()
         which = numbered.indices.to_numpy()
-        if len(self.known) > WINDOWS:
-            self.known, self.known_before = {}, self.known
-        windows = [self.window(k) for k in numbered.dictionary.to_pylist()]
+        written_out, window_pairs, pair_at, window_groups = self._windows(numbered.dictionary)
+        windows = len(numbered.dictionary)
         # Windows of each text, and text of each window.
         bounds = np.concatenate([[0], np.searchsorted(anchors, text_ends, "right")])
         of = np.repeat(np.arange(n), np.diff(bounds))
 
-        groups, places = _flat(_binary([w[0] for w in windows]).take(pa.array(which)))
+        groups, places = _flat(written_out.take(pa.array(which)))
         cuts, view = places[bounds].tolist(), memoryview(groups)
         digests = [hashlib.sha256(view[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(cuts, cuts[1:])]
-        n_groups = np.bincount(of, weights=np.array([w[2] for w in windows], dtype=np.int64)[which] if len(which) else None, minlength=n).astype(np.int64)
+        n_groups = np.bincount(of, weights=window_groups[which], minlength=n).astype(np.int64)
 
         # Each text's different windows and how often; then each text's different pairs and how often.
-        seen, times = np.unique(of * max(len(windows), 1) + which, return_counts=True)
-        doc, window = np.divmod(seen, max(len(windows), 1))
-        pair_at = np.concatenate([[0], np.cumsum([len(w[1]) // 8 for w in windows])]).astype(np.int64)
-        pairs, local = np.unique(np.frombuffer(b"".join(w[1] for w in windows), dtype=np.int64), return_inverse=True)
+        seen, times = np.unique(of * max(windows, 1) + which, return_counts=True)
+        doc, window = np.divmod(seen, max(windows, 1))
+        pairs, local = np.unique(window_pairs, return_inverse=True)
         each = np.diff(pair_at)[window]
         cells = np.repeat(doc, each) * max(len(pairs), 1) + local[_spread(pair_at[:-1][window], each)]
         cells, inverse = np.unique(cells, return_inverse=True)
