@@ -448,11 +448,14 @@ def column_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COLUMN_ALIGNMENT_SQL = """
-WITH c AS (
-  SELECT 0 AS column_no, 0 AS l, length(l_linenumber::VARCHAR) AS w FROM lineitem UNION ALL SELECT 1, 14 - length(l_partkey::VARCHAR), length(l_partkey::VARCHAR) FROM lineitem
-  UNION ALL SELECT 2, 17 + l_linenumber % 3, length(l_returnflag) FROM lineitem UNION ALL SELECT 3, 23, length(l_suppkey::VARCHAR) FROM lineitem),
-n AS (SELECT column_no, w, count(*) AS n FROM c GROUP BY ALL),
-m AS (SELECT column_no, arg_max(w, n * 1000 + w) AS mode, max(w) AS most, count(*) AS kinds, ceil(sum(w * n) / sum(n)) AS mean FROM n GROUP BY column_no),
+WITH i AS (SELECT *, row(l_orderkey, l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
+c AS (
+  SELECT 0 AS column_no, 0 AS l, length(l_linenumber::VARCHAR) AS w, place FROM i UNION ALL SELECT 1, 14 - length(l_partkey::VARCHAR), length(l_partkey::VARCHAR), place FROM i
+  UNION ALL SELECT 2, 17 + l_linenumber % 3, length(l_returnflag), place FROM i UNION ALL SELECT 3, 23, length(l_suppkey::VARCHAR), place FROM i),
+n AS (SELECT column_no, w, count(*) AS n, min(place) AS first FROM c GROUP BY ALL),
+o AS (SELECT column_no, w AS mode FROM n QUALIFY row_number() OVER (PARTITION BY column_no ORDER BY n DESC, first) = 1),
+k AS (SELECT column_no, max(w) AS most, count(*) AS kinds, ceil(sum(w * n) / sum(n)) AS mean FROM n GROUP BY column_no),
+m AS (SELECT * FROM k JOIN o USING (column_no)),
 e AS (SELECT column_no, count(DISTINCT l) = 1 AS one_left, count(DISTINCT l + w) = 1 AS one_right FROM c GROUP BY column_no)
 SELECT column_no::BIGINT AS column_no, CASE WHEN one_left THEN 'left' WHEN one_right THEN 'right' ELSE 'center' END AS alignment,
   (CASE WHEN kinds = 1 OR (NOT one_left AND one_right) OR (one_left AND mode = most) THEN most ELSE mean END)::BIGINT AS width

@@ -118,3 +118,26 @@ def is_printable(values: Column) -> Column:
 
 def is_punctuation(values: Column) -> Column:
     return is_printable(values) & F.forall(values, lambda v: v.rlike(r"\A[^\p{L}\p{N}]+\z"))
+
+
+def recommendations(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """The columns of pairs and class_a, class_b, recommended, translated: the class that the first value's
+    class recommends beside the second's, and whether it fits both values.
+
+    A recommended class may fit neither (digits beside letters: word), and then has no pattern for them.
+    Values that no class fits, empty and null ones, and classes without a recommendation give nulls and
+    false. The relation of classes is 324 rows, broadcast.
+    """
+    relation = pairs.sparkSession.createDataFrame([(x, y, r) for x, y, _, _, r in RELATION], "class_a string, class_b string, recommended string")
+    found = pairs.withColumn("_ma", c.mask(F.col(a))).withColumn("_mb", c.mask(F.col(b))).withColumn("class_a", c.class_of(F.col("_ma"))).withColumn("class_b", c.class_of(F.col("_mb")))
+    joined = found.join(F.broadcast(relation), ["class_a", "class_b"], "left")
+    return joined.select(*pairs.columns, "class_a", "class_b", "recommended", F.coalesce(_fits(F.col("_ma").bitwiseAND(F.col("_mb")), F.col("recommended")), F.lit(False)).alias("translated"))
+
+
+def _fits(m: Column, name: Column) -> Column:
+    """Whether a mask has a sub-pattern of a class."""
+    out = F.lit(False)
+    for own in c.NAMES:
+        bits = sum(1 << k for k, s in enumerate(c.SUBS) if s[0] == own)
+        out = F.when(name == own, m.bitwiseAND(bits) != 0).otherwise(out)
+    return out

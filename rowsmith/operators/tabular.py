@@ -183,11 +183,13 @@ def column_alignment(found: DataFrame, keys: list[str] = ()) -> DataFrame:
     """For each column number: alignment by its distinct edges, and the width that it is given.
 
     One left edge: left; else one right edge: right; else center. The width is that of all cells if they
-    agree, or the most if the edge is on the right or most cells have it, else the mean, rounded up.
+    agree, or the most if the edge is on the right or most cells have it, else the mean, rounded up. Of widths
+    that as many cells have, that of the first row counts, by document and row number.
     """
-    e = found.select(*keys, F.posexplode("edges").alias("n", "e"), "cells").select(*keys, F.col("n").cast("long").alias("column_no"), "e", F.length(F.get("cells", F.col("n"))).alias("w")).where("e IS NOT NULL")
-    widths = e.groupBy(*keys, "column_no", "w").agg(F.count("*").alias("n"))
-    common = widths.groupBy(*keys, "column_no").agg(F.max_by("w", F.struct("n", "w")).alias("mode"), F.max("w").alias("most"), F.count("*").alias("kinds"), F.ceil(F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
+    place = F.struct(F.col(found.columns[0]).alias("k"), "row_no").alias("place")
+    e = found.select(*keys, place, F.posexplode("edges").alias("n", "e"), "cells").select(*keys, "place", F.col("n").cast("long").alias("column_no"), "e", F.length(F.get("cells", F.col("n"))).alias("w")).where("e IS NOT NULL")
+    widths = e.groupBy(*keys, "column_no", "w").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    common = widths.groupBy(*keys, "column_no").agg(F.min_by("w", F.struct((-F.col("n")).alias("n"), "first")).alias("mode"), F.max("w").alias("most"), F.count("*").alias("kinds"), F.ceil(F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("mean"))
     edges = e.groupBy(*keys, "column_no").agg((F.min("e.left") == F.max("e.left")).alias("one_left"), (F.min("e.right") == F.max("e.right")).alias("one_right"))
     width = F.when((F.col("kinds") == 1) | (~F.col("one_left") & F.col("one_right")) | (F.col("one_left") & (F.col("mode") == F.col("most"))), F.col("most")).otherwise(F.col("mean"))
     alignment = F.when(F.col("one_left"), "left").when(F.col("one_right"), "right").otherwise("center")

@@ -26,6 +26,18 @@ def verify_content(parsed: DataFrame, expected: DataFrame, keys: list[str], fiel
     return j.where(~F.col("_p").eqNullSafe(F.col("_e"))).select(*keys, F.col("_p").isNull().alias("missing"), F.col("_e").isNull().alias("unexpected"), (F.col("_p").isNotNull() & F.col("_e").isNotNull()).alias("different"))
 
 
+def verify_bag(parsed: DataFrame, expected: DataFrame, keys: list[str], fields: list[str], ignore_space: bool = True) -> DataFrame:
+    """keys, fields, surplus: the rows that are there more often (surplus above 0) or less often than expected.
+
+    Order does not count, repeated rows do, nulls equal nulls. Both sides are counted together and before
+    the shuffle, so that a row repeated any number of times costs one row a task. ignore_space trims the
+    parsed values only.
+    """
+    own = [F.trim(F.col(f)).alias(f) if ignore_space and dict(parsed.dtypes)[f] == "string" else F.col(f) for f in fields]
+    both = parsed.select(*keys, *own, F.lit(1).alias("_n")).union(expected.select(*keys, *fields, F.lit(-1)))
+    return both.groupBy(*keys, *fields).agg(F.sum("_n").alias("surplus")).where("surplus <> 0")
+
+
 def verdicts(counts: DataFrame, content: DataFrame, key: str) -> DataFrame:
     """key, ok, message: nothing parsed fails; else both checks have to hold."""
     bad = content.groupBy(key).agg(F.count("*").alias("n_bad"))

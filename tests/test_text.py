@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from rowsmith.operators import category, mining, registry, tabular, templates, tokens, verify
+from rowsmith.operators import category, mining, profiles, registry, tabular, templates, tokens, verify
 from rowsmith.sources.documents import explode_lines
 from rowsmith.streaming import counts
 
@@ -122,6 +122,28 @@ def test_verify(spark):
     assert {r.d: r.message for r in verify.verdicts(n, bad, "d").collect()} == {1: "content differs", 2: "no record", 3: "expected 0 records, got 1"}
 
 
+def test_bags(spark):
+    """Repeats count, order does not; nulls equal nulls; blanks of the parsed side alone are trimmed."""
+    want = [(1, "a", 1)] * 3 + [(1, "b", None), (2, None, 2), (2, " c", 3)]
+    got = [(1, " a ", 1)] * 5 + [(2, None, 2), (2, None, 2), (2, " c", 3), (None, "z", 1)]
+    kind = "d int, v string, n int"
+    bad = verify.verify_bag(spark.createDataFrame(got, kind).repartition(4), spark.createDataFrame(want, kind), ["d"], ["v", "n"]).collect()
+    assert sorted([tuple(r) for r in bad], key=repr) == sorted([(1, "a", 1, 2), (1, "b", None, -1), (2, None, 2, 1), (2, "c", 3, 1), (2, " c", 3, -1), (None, "z", 1, 1)], key=repr)
+    assert verify.verify_bag(spark.createDataFrame(want, kind), spark.createDataFrame(want[::-1], kind), ["d"], ["v", "n"], False).collect() == []
+
+
+def test_recommendations_from_data(spark):
+    d = spark.createDataFrame([("12", "ab"), ("7", "x"), ("a", "-"), ("", "a"), (None, "b"), ("x y", "1.5")], "a string, b string")
+    got = {(r.a, r.b): (r.recommended, r.translated) for r in profiles.recommendations(d).collect()}
+    assert got == {("12", "ab"): ("word", False), ("7", "x"): ("alphabet_numeric", True), ("a", "-"): ("graph", True), ("", "a"): (None, False), (None, "b"): (None, False), ("x y", "1.5"): ("non_whitespaces_group", True)}
+
+
+def test_ties_of_widths_go_to_the_first_row(spark):
+    d = spark.createDataFrame([(k, f"name  x\n{'a' * w}  y") for k, w in enumerate([2, 4, 2, 4, 3])], "doc_id long, text string").repartition(3)
+    widths = {r.column_no: r.width for r in tabular.column_alignment(tabular.rows(d, 2, widths=[6, None])).collect()}
+    assert widths[0] == 3
+
+
 def test_registry(spark):
     old = spark.createDataFrame([("a", "T1 "), ("b", "T2")], "name string, template string")
     new = spark.createDataFrame([("a", "T2"), ("c", "T1"), ("d", "T4")], "name string, template string")
