@@ -139,7 +139,7 @@ def test_recommendations_from_data(spark):
 
 
 def test_ties_of_widths_go_to_the_first_row(spark):
-    d = spark.createDataFrame([(k, f"name  x\n{'a' * w}  y") for k, w in enumerate([2, 4, 2, 4, 3])], "doc_id long, text string").repartition(3)
+    d = spark.createDataFrame([(k, f"name  x\n{'a' * w:<6}y") for k, w in enumerate([2, 4, 2, 4, 3])], "doc_id long, text string").repartition(3)
     widths = {r.column_no: r.width for r in tabular.column_alignment(tabular.rows(d, 2, widths=[6, None])).collect()}
     assert widths[0] == 3
 
