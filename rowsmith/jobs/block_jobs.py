@@ -76,6 +76,37 @@ def category_block_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 CATEGORY_ROUNDTRIP_SQL = f"SELECT c_custkey, name, segment, opened, note FROM ({CATEGORY_BLOCK_SQL})"
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block for each turn of the conversations: a pair, and a free line which is that text's own."""
+    t = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL")
+    own = F.translate(F.md5("text"), "0123456789", "ghijklmnop")
+    key = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    return t.select(key.alias("note"), F.concat(F.lit("note begins\nrole: "), "role", F.lit("\nsaid "), own, F.lit("\nturn: "), F.col("turn").cast("string"), F.lit("\nnote ends here\n"), own).alias("text"))
+
+
+def block_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of how many forms of lines 60 rules of each kind are made, and how many lines have them."""
+    return category.block_coverage(category.block_pairs(_notes(spark, sf_dir), "note begins", "note ends", key="note"), most=60)
+
+
+BLOCK_COVERAGE_SQL = """
+WITH t AS (SELECT translate(md5(text), '0123456789', 'ghijklmnop') AS form FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL),
+f AS (SELECT form, count(*) AS n FROM t GROUP BY form), k AS (SELECT n FROM f ORDER BY n DESC, form LIMIT 60), a AS (SELECT count(*)::BIGINT AS n FROM t)
+SELECT 'free' AS kind, (SELECT count(*) FROM f) AS n_forms, n AS n_lines, (SELECT count(*) FROM k) AS forms_kept, (SELECT sum(n)::BIGINT FROM k) AS lines_kept FROM a
+UNION ALL SELECT 'pairs', 2, 2 * n, 2, 2 * n FROM a UNION ALL SELECT 'start', 1, n, 1, n FROM a UNION ALL SELECT 'end', 1, n, 1, n FROM a
+"""
+
+
+def bounded_block_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of blocks by a template of 60 rules of each kind at most."""
+    d = _notes(spark, sf_dir)
+    snippet = category.block_template(category.block_pairs(d, "note begins", "note ends", key="note"), most=60)
+    return templates.parse(d, templates.compile_snippet(snippet), key="note").drop("record_no", "error")
+
+
+BOUNDED_BLOCK_SQL = "SELECT conv_id || '-' || turn AS note, role, turn::VARCHAR AS turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL AND text IS NOT NULL"
+
+
 def column_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column names from stacked headers, one of which is blank and one repeats."""
     k = F.col("o_orderkey").cast("string")
@@ -241,10 +272,10 @@ def token_optional_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKEN_OPTIONAL_SQL = "SELECT o_orderkey, o_orderkey::VARCHAR AS order_no, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'late' END AS how FROM orders"
 
 QUERIES = {
-    "table_block_roundtrip": table_block_roundtrip, "category_block_records": category_block_records, "category_block_roundtrip": category_block_roundtrip, "column_headers": column_headers, "marked_rows": marked_rows, "marked_roundtrip": marked_roundtrip, "marked_heads_roundtrip": marked_heads_roundtrip,
+    "table_block_roundtrip": table_block_roundtrip, "category_block_records": category_block_records, "category_block_roundtrip": category_block_roundtrip, "column_headers": column_headers, "marked_rows": marked_rows, "block_coverage": block_coverage, "bounded_block_records": bounded_block_records, "marked_roundtrip": marked_roundtrip, "marked_heads_roundtrip": marked_heads_roundtrip,
     "picked_headers": picked_headers, "divider_sides": divider_sides, "files_roundtrip": files_roundtrip, "line_signature_at": line_signature_at, "slot_shapes": slot_shapes, "token_join": token_join, "token_optional_capture": token_optional_capture,
 }
 ORACLES = {
-    "table_block_roundtrip": TABLE_BLOCK_SQL, "category_block_records": CATEGORY_BLOCK_SQL, "category_block_roundtrip": CATEGORY_ROUNDTRIP_SQL, "column_headers": COLUMN_HEADERS_SQL, "marked_rows": MARKED_ROWS_SQL, "marked_roundtrip": MARKED_ROUNDTRIP_SQL, "marked_heads_roundtrip": MARKED_HEADS_SQL,
+    "table_block_roundtrip": TABLE_BLOCK_SQL, "category_block_records": CATEGORY_BLOCK_SQL, "category_block_roundtrip": CATEGORY_ROUNDTRIP_SQL, "column_headers": COLUMN_HEADERS_SQL, "marked_rows": MARKED_ROWS_SQL, "block_coverage": BLOCK_COVERAGE_SQL, "bounded_block_records": BOUNDED_BLOCK_SQL, "marked_roundtrip": MARKED_ROUNDTRIP_SQL, "marked_heads_roundtrip": MARKED_HEADS_SQL,
     "picked_headers": PICKED_HEADERS_SQL, "divider_sides": DIVIDER_SIDES_SQL, "files_roundtrip": FILES_SQL, "line_signature_at": LINE_SIGNATURE_AT_SQL, "slot_shapes": SLOT_SHAPES_SQL, "token_join": TOKEN_JOIN_SQL, "token_optional_capture": TOKEN_OPTIONAL_SQL,
 }

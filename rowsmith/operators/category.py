@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import PUNCT
 from ..sources.documents import lines_of
-from .lines import cut, framed, is_clock_or_address, marker_signatures, signature
+from .lines import MOST_RULES, coverage, cut, framed, frequent, is_clock_or_address, marker_forms, marker_signatures, signature
 
 _CLOCK = re.compile(r"[0-9]+(:[0-9]+)+")
 _MAC = re.compile(r"(?i)[0-9a-f]{2}([:-][0-9a-f]{2}){5}")
@@ -138,27 +138,41 @@ def block_records(blocks: DataFrame, names: list[str], key: str = "doc_id") -> D
 
 
 def block_rules(blocks: DataFrame, separator: str = ":") -> DataFrame:
-    """order, rule: a line of `key: class(var_name)` for each different line of keys, in the order of their
-    first places, with the class of all values; lines without pairs by their signature."""
+    """order, rule, n, is_pairs: a line of `key: class(var_name)` for each different line of keys, with the first place of
+    one, the class of all values and the number of such lines; lines without pairs by their signature."""
     from .profiles import class_of_sets
 
     p = blocks.select(F.explode("pairs").alias("p")).select("p.*").withColumn("variable", variable_of(F.col("key")))
     keyed = p.where(F.col("key").isNotNull())
-    place = keyed.groupBy("shape", "pair_no").agg(F.min("line_no").alias("first"), F.min("key").alias("key"), F.min("variable").alias("variable"))
+    place = keyed.groupBy("shape", "pair_no").agg(F.min("line_no").alias("first"), F.count("*").alias("lines"), F.min("key").alias("key"), F.min("variable").alias("variable"))
     profile = class_of_sets(keyed.select("shape", "pair_no", "value"), ["shape", "pair_no"]).join(place, ["shape", "pair_no"])
     gap = F.when(F.col("or_empty"), "zero_or_spaces()").otherwise(" ")
     slot = F.when(F.col("actual").isNull(), F.concat(F.lit("something(var_"), "variable", F.lit(", or_empty)"))).otherwise(F.concat("actual", F.lit("(var_"), "variable", F.when(F.col("or_empty"), ", or_empty").otherwise(""), F.lit(")")))
     part = F.concat("key", F.lit(separator), gap, slot)
     # The pairs of one line make one list.
-    rules = profile.groupBy("shape").agg(F.min("first").alias("order"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", part.alias("part")))), lambda x: x["part"]), "  ").alias("rule")).select("order", "rule")
-    literal = p.where(F.col("key").isNull() & F.col("value").rlike("[^ ]")).groupBy(signature(F.col("value")).alias("rule")).agg(F.min("line_no").alias("order")).select("order", "rule")
+    rules = profile.groupBy("shape").agg(F.min("first").alias("order"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pair_no", part.alias("part")))), lambda x: x["part"]), "  ").alias("rule"), F.max("lines").alias("n")).select("order", "rule", "n", F.lit(True).alias("is_pairs"))
+    literal = p.where(F.col("key").isNull() & F.col("value").rlike("[^ ]")).groupBy(signature(F.col("value")).alias("rule")).agg(F.min("line_no").alias("order"), F.count("*").alias("n")).select("order", "rule", "n", F.lit(False).alias("is_pairs"))
     return rules.union(literal)
 
 
-def block_template(blocks: DataFrame, separator: str = ":") -> str:
-    """The snippet of blocks between markers: a rule to enter at each form of the start marker, block_rules(),
-    and one to stop at each form of the end marker. A line for each rule reaches the driver."""
-    return framed([r["rule"] for r in block_rules(blocks, separator).orderBy("order", "rule").collect()], *marker_signatures(blocks))
+def block_template(blocks: DataFrame, separator: str = ":", most: int = MOST_RULES) -> str:
+    """The snippet of blocks between markers: a rule to enter at each form of the start marker, block_rules()
+    in the order of their first places, and one to stop at each form of the end marker.
+
+    Of lines of keys, free lines and markers those forms that most lines have, `most` of each: as many rows
+    reach the driver. block_coverage() says how many lines these are. Free lines capture nothing, so that the
+    records are the same without their rules, unless another rule takes one of them for its own.
+    """
+    rules = block_rules(blocks, separator)
+    kept = [(r["order"], r["rule"]) for own in (rules.where("is_pairs"), rules.where("NOT is_pairs")) for r in frequent(own, "rule", most).collect()]
+    return framed([rule for _, rule in sorted(kept)], *marker_signatures(blocks, most))
+
+
+def block_coverage(blocks: DataFrame, separator: str = ":", most: int = MOST_RULES) -> DataFrame:
+    """kind (pairs, free, start, end), n_forms, n_lines, forms_kept, lines_kept: what block_template() has rules for."""
+    rules = block_rules(blocks, separator).withColumnRenamed("rule", "form")
+    kinds = {"pairs": rules.where("is_pairs"), "free": rules.where("NOT is_pairs"), "start": marker_forms(blocks, "start_line"), "end": marker_forms(blocks, "end_line")}
+    return coverage(kinds, most=most)
 
 
 def block_snippet(found: DataFrame) -> DataFrame:

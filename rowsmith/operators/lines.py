@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +145,31 @@ def framed(body: list[str], starts: list[str], ends: list[str]) -> str:
     return "\n".join([*first, *(["Table"] if first else []), *body, *(f"{x} -> EOF" for x in ends)])
 
 
-def marker_signatures(cuts: DataFrame) -> tuple[list[str], list[str]]:
-    """The different signatures of the start and end markers of cut(): as many as markers are written."""
-    r = cuts.agg(*(F.array_sort(F.collect_set(F.when(F.col(c).isNotNull(), signature(F.col(c))))).alias(c) for c in ("start_line", "end_line"))).first()
-    return r["start_line"], r["end_line"]
+#: Rules of one kind that a snippet has at most: those of the most lines.
+MOST_RULES = 200
+
+
+def frequent(forms: DataFrame, form: str, most: int = MOST_RULES) -> DataFrame:
+    """The rows of the forms of most lines (column n), equal ones by name: `most` of them.
+
+    What reaches one place from each task is as many rows.
+    """
+    return forms.orderBy(F.desc("n"), form).limit(most)
+
+
+def marker_forms(cuts: DataFrame, column: str) -> DataFrame:
+    """form, n: the signatures of the markers of cut() in a column, start_line or end_line."""
+    return cuts.where(F.col(column).isNotNull()).groupBy(signature(F.col(column)).alias("form")).agg(F.count("*").alias("n"))
+
+
+def marker_signatures(cuts: DataFrame, most: int = MOST_RULES) -> tuple[list[str], list[str]]:
+    """The signatures of the start and end markers of cut(), `most` of each at most: those of most documents."""
+    one = lambda column: sorted(r["form"] for r in frequent(marker_forms(cuts, column), "form", most).collect())
+    return one("start_line"), one("end_line")
+
+
+def coverage(kinds: dict[str, DataFrame], form: str = "form", most: int = MOST_RULES) -> DataFrame:
+    """kind, n_forms, n_lines, forms_kept, lines_kept: for forms with their lines (n), what frequent() leaves of them."""
+    total = lambda d, names: d.agg(F.count("*").alias(names[0]), F.coalesce(F.sum("n"), F.lit(0)).alias(names[1]))
+    each = [total(d, ("n_forms", "n_lines")).join(total(frequent(d, form, most), ("forms_kept", "lines_kept"))).select(F.lit(k).alias("kind"), "n_forms", "n_lines", "forms_kept", "lines_kept") for k, d in kinds.items()]  # one row to one row
+    return reduce(DataFrame.union, each)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import PUNCT, actual_of, class_of, mask
 from ..sources.documents import lines_of
-from .lines import cut, framed, is_symbols, marker_signatures, signature
+from .lines import MOST_RULES, cut, framed, frequent, is_symbols, marker_signatures, signature
 
 
 def _let(value: Column, use) -> Column:
@@ -267,22 +267,23 @@ def _rule(layout: str, stretches: list, columns: list, names: list[str], divider
     return f"start({'space' if indent else ''}) {out.strip()} end({'space' if trailing else ''}) -> Record"
 
 
-def block_snippet(docs: DataFrame, names: list[str], starting_from: int | str | None = None, ending_to: int | str | None = None, divider: str = "", key: str = "doc_id", text: str = "text", **how) -> str:
+def block_snippet(docs: DataFrame, names: list[str], starting_from: int | str | None = None, ending_to: int | str | None = None, divider: str = "", key: str = "doc_id", text: str = "text", most: int = MOST_RULES, **how) -> str:
     """The snippet of a table between markers, from all documents: a rule to enter at each form of the start
     marker, one for each form of a header line, the rules of all layouts, and one to stop at each form of
     the end marker.
 
-    What reaches the driver is a line for each layout and for each form of a header or marker.
+    What reaches the driver is a line for each layout, 2 ** columns at most, and of the forms of headers and of
+    markers those that most documents have, `most` of each.
     """
     pieces = cut(docs, starting_from, ending_to, True, key, text)
     found = rows(pieces, len(names), divider=divider, key=key, text=F.col("lines"), **how)
     body = [r["snippet"] for r in table_snippets(found, names, divider).orderBy("rank").select("snippet").collect()]
-    starts, ends = marker_signatures(pieces)
+    starts, ends = marker_signatures(pieces, most)
     b = _body(pieces, len(names), divider, how.get("widths"), how.get("rule", False), how.get("gap", 2), how.get("reference"), key, F.col("lines"))
     heads = b.select(F.explode(F.filter("lines", lambda x: (x["i"] <= F.col("ref")) & ~is_symbols(x["x"]) & x["x"].rlike("[^ ]"))).alias("x"))
-    forms = heads.groupBy(F.rtrim(signature(F.col("x.x"))).alias("head")).agg(F.min("x.i").alias("i")).orderBy("i", "head")
+    forms = heads.groupBy(F.rtrim(signature(F.col("x.x"))).alias("head")).agg(F.min("x.i").alias("i"), F.count("*").alias("n"))
     # A header that is itself a marker has its rule before.
-    return framed([*(r["head"] for r in forms.collect() if r["head"] not in {x.rstrip() for x in starts}), *body], starts, ends)
+    return framed([*(r["head"] for r in sorted(frequent(forms, "head", most).collect(), key=lambda r: (r["i"], r["head"])) if r["head"] not in {x.rstrip() for x in starts}), *body], starts, ends)
 
 
 def layouts(found: DataFrame) -> DataFrame:

@@ -131,6 +131,21 @@ def test_pairs_between_markers(spark):
     assert templates.regexes(t)[1].startswith("^name: (?P<name>") and len(templates.regexes(t)) == 6
 
 
+def test_snippets_are_bounded(spark):
+    """Blocks and tables with lines, headers and markers of their own: the most frequent forms, and how many lines they are."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    d = docs(spark, *(f"open {word(k % 7)}\nage: {k}\nfree {word(k)}\nwell known\nend {word(k)}\nage: no" for k in range(300)), None)
+    blocks = category.block_pairs(d, "open", "end")
+    snippet = category.block_template(blocks, most=5)
+    assert len(snippet.split("\n")) == 5 + 1 + 1 + 5 + 5 and "well known" in snippet and "age: digits(var_age)" in snippet
+    got = {r.kind: tuple(r)[1:] for r in category.block_coverage(blocks, most=5).collect()}
+    assert got == {"pairs": (1, 300, 1, 300), "free": (301, 600, 5, 304), "start": (7, 300, 5, 43 * 5), "end": (300, 300, 5, 5)}
+    assert len(category.block_template(blocks).split("\n")) == 7 + 1 + 1 + 200 + 200
+    tables = docs(spark, *(f"head {word(k)}  x\n----  --\na     {k}" for k in range(40)))
+    assert len(tabular.block_snippet(tables, ["p", "q"], rule=True, most=6).split("\n")) == 7
+    assert category.block_coverage(blocks.limit(0)).where("n_forms + n_lines + forms_kept + lines_kept > 0").count() == 0
+
+
 def test_token_edits(spark):
     lines = spark.createDataFrame([("a 12 cd",), ("a cd",), ("12 cd",), ("cd",), ("a 12",)], "line string")
     got = tokens.captured(lines, [("letters", "x"), ("digits", "y"), ("=cd", None)], or_empty=True).collect()
