@@ -7,6 +7,7 @@ documents; every document is then scored over its whole text.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,9 +23,8 @@ SAMPLE = 20_000
 TERMS = 2048
 GRADES = 3  # above 0, which is not toxic
 REJECT = 0.5  # likelihood of a grade above 0
-#: A term's association with the label counts for severity from this G-statistic on (one in 10**7 by chance).
-CERTAIN_G = 28.0
-#: A term's count is scaled by g / (g + DOUBT): the less sure its association, the less it can weigh.
+#: A term's count, and its odds where severity is graded, are scaled by g / (g + DOUBT): the less sure its association
+#: with the label (the G-statistic g), the less it can weigh.
 DOUBT = 20.0
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -127,8 +127,9 @@ def fit_ordinal(rows: list[np.ndarray], cols: np.ndarray, values: np.ndarray, gr
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     """The model from the labelled sample. Without both classes it has no terms and rejects nothing.
 
-    Labels only say toxic or not. Grades of toxic documents come from how dense terms stand in them that
-    are surely of the toxic class, each weighted by its odds, cut at the terciles of the sample.
+    Labels only say toxic or not. Grades of toxic documents come from how dense terms of the toxic class
+    stand in them, each weighted by its odds and by how sure these are, cut at the terciles of the sample. The
+    sample is put in order by its texts, so that the model is the same however the rows are dealt out.
     """
     nothing = Model({}, np.zeros(0), np.full(GRADES, 30.0))
     # The sample is bounded, so sending its ids to every task is too; its texts are read three times.
@@ -160,7 +161,8 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     if not terms:
         return nothing
     # How much more often than not a document with the term is toxic; none for terms of the other class.
-    odds = np.array([max(0.0, np.log((r["a"] + 0.5) * (nb + 1) / ((r["b"] + 0.5) * (na + 1)))) * (r["g"] >= CERTAIN_G) for r in top])
+    scale = np.array([r["g"] / (r["g"] + DOUBT) for r in top])
+    odds = scale * np.array([max(0.0, np.log((r["a"] + 0.5) * (nb + 1) / ((r["b"] + 0.5) * (na + 1)))) for r in top])
 
     def hits(batches):
         import pyarrow as pa
@@ -170,12 +172,12 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
                 rows = []
                 for text, y in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist()):
                     k, n = np.unique(np.array(hits_of(text, terms), dtype=np.int64), return_counts=True)
-                    rows.append((int(y > 0), len(words_of(text)), k.astype(np.int32), n.astype(np.int32)))
+                    rows.append((hashlib.sha256((text or "").encode("utf-8", "surrogatepass")).digest(), int(y > 0), len(words_of(text)), k.astype(np.int32), n.astype(np.int32)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())])], ["toxic", "n_words", "terms", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())])], ["name", "toxic", "n_words", "terms", "times"])
 
     # A row for each document of the sample, with each of the TERMS at most once.
-    seen = mapped(own, hits, "toxic int, n_words long, terms array<int>, times array<int>").collect()
+    seen = sorted(mapped(own, hits, "name binary, toxic int, n_words long, terms array<int>, times array<int>").collect(), key=lambda r: bytes(r["name"]))
     discarded(own)
     grades = severity_grades(np.array([r["toxic"] for r in seen]), np.array([100 * odds[r["terms"]] @ np.array(r["times"], dtype=float) / max(1, r["n_words"]) if r["terms"] else 0.0 for r in seen]))
     rows = np.repeat(np.arange(len(seen)), [len(r["terms"]) for r in seen])
@@ -183,16 +185,16 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
     values = np.log1p(np.array([n for r in seen for n in r["times"]], dtype=float))
     if not len(rows):
         return nothing
-    scale = np.array([r["g"] / (r["g"] + DOUBT) for r in top])
     w, thresholds = fit_ordinal(rows, cols, values * scale[cols], grades, len(terms))
     return Model(terms, w * scale, thresholds)
 
 
 def severity_grades(toxic: np.ndarray, density: np.ndarray) -> np.ndarray:
-    """0 for documents that are not toxic; toxic ones by the terciles of density among them, ties by place."""
+    """0 for documents that are not toxic; toxic ones by the terciles of density among them, equal densities alike."""
     grades = np.zeros(len(toxic), dtype=np.int64)
     own = np.flatnonzero(toxic > 0)
-    grades[own[np.argsort(density[own], kind="stable")]] = 1 + np.arange(len(own)) * GRADES // max(1, len(own))
+    less = np.searchsorted(np.sort(density[own]), density[own])
+    grades[own] = 1 + less * GRADES // max(1, len(own))
     return grades
 
 

@@ -99,7 +99,9 @@ def test_all_grades_occur(spark):
 
 def test_terciles():
     y = np.array([0, 1, 1, 1, 0, 1, 1, 1])
-    assert t.severity_grades(y, np.array([9, 1, 1, 1, 0, 1, 1, 5.0])).tolist() == [0, 1, 1, 2, 0, 2, 3, 3]
+    # Terciles of what differs; equal densities share the grade of the least of them.
+    assert t.severity_grades(y, np.array([9, 1, 2, 3, 0, 4, 5, 6.0])).tolist() == [0, 1, 1, 2, 0, 2, 3, 3]
+    assert t.severity_grades(y, np.array([9, 1, 1, 1, 0, 1, 1, 5.0])).tolist() == [0, 1, 1, 1, 0, 1, 1, 3]
     assert t.severity_grades(np.zeros(3), np.ones(3)).tolist() == [0, 0, 0]
 
 
@@ -108,3 +110,18 @@ def test_repeated_and_null_ids(spark):
     model = t.fitted(d, labels)
     rows = t.scored(docs(spark, ["vile vile vile", "fine", "vile vile", None], [3, 3, None, None]), model).collect()
     assert sorted((r.doc_id or 0, r.toxic) for r in rows) == [(0, False), (0, True), (3, False), (3, True)]
+
+
+def test_equal_densities_share_a_grade():
+    toxic, density = np.array([1, 0, 1, 1, 1, 1, 1]), np.array([0.0, 9.0, 0.0, 0.0, 2.0, 2.0, 5.0])
+    assert t.severity_grades(toxic, density).tolist() == [1, 0, 1, 1, 2, 2, 3]
+    assert t.severity_grades(np.array([0]), np.array([1.0])).tolist() == [0] and t.severity_grades(np.array([1, 1]), np.zeros(2)).tolist() == [1, 1]
+
+
+def test_the_model_does_not_depend_on_partitions(spark):
+    """The same rows in one partition and in many: the same weights, to the last bit."""
+    from .helpers import SMALL
+
+    d, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    models = [t.fitted(d.repartition(n), labels.repartition(m)) for n, m in ((1, 5), (9, 1))]
+    assert models[0].terms == models[1].terms and (models[0].weights == models[1].weights).all() and (models[0].thresholds == models[1].thresholds).all()
