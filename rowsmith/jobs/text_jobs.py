@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classes as c
-from ..operators import category, mining, profiles, registry, tabular, templates, tokens, verify
+from ..operators import category, clusters, mining, profiles, registry, tabular, templates, tokens, verify
 from ..sources.documents import table
 
 
@@ -374,7 +374,7 @@ SELECT cluster, n_tokens, max(n) AS n, string_agg(coalesce(literal, actual || '(
 def diff_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snippets with optional slots from pairs of differing lines, and how many lines of their cluster match."""
     log = _logs(spark, sf_dir)
-    found = mining.matching_patterns(log, "event_type")
+    found = clusters.patterns(log, "event_type").drop("n")
     # A pattern for each cluster; all lines of the cluster are tested against it.
     tested = log.join(found, "event_type")
     ok = F.coalesce(F.expr("rlike(line, concat('^(?:', regexp_replace(pattern, '[(][?]P<[A-Za-z0-9]+>', '('), ')$'))"), F.lit(False))
