@@ -105,6 +105,12 @@ def actual_of(m: Column) -> Column:
     return _first(m, 1)
 
 
+def names_of(m: int) -> tuple[str | None, str | None]:
+    """class_of() and actual_of() of a mask in hand."""
+    m &= ~SINGLE_OR_MORE if m >> PLURAL_BIT & 1 else -1
+    return next(((s[0], s[1]) for k, s in enumerate(SUBS) if m >> k & 1), (None, None))
+
+
 def _first(m: Column, field: int) -> Column:
     allowed = _allowed(m)
     out = F.lit(None).cast("string")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import PUNCT, actual_of, class_of, mask
+from ..functions.classes import PUNCT, actual_of, class_of, mask, names_of
 from ..sources.documents import lines_of
 from .lines import MOST_RULES, cut, framed, frequent, is_symbols, marker_signatures, signature
 
@@ -234,6 +234,34 @@ def table_snippets(found: DataFrame, names: list[str], divider: str = "") -> Dat
     return ranked.mapInPandas(assemble, "layout string, rank long, snippet string")
 
 
+def table_rules(found: DataFrame, names: list[str], divider: str = "") -> list[str]:
+    """The snippets of table_snippets() in their order, by one aggregation over the cells of rows().
+
+    The driver gets a row for each layout and column, 2 ** columns times columns at most.
+    """
+    full = lambda i: F.substring("layout", i + 1, 1) == "1"
+    left = lambda i: F.coalesce(F.array_max(F.transform(F.slice("edges", F.lit(1), i), lambda e: e["right"])), F.lit(0))
+    blanks = F.transform("edges", lambda e, i: F.when(full(i), e["left"] - left(i)).otherwise(F.get("starts", i + 1) - F.get("starts", i) - len(divider)))
+    cells = found.select("layout", F.col("line").rlike(r"[ \t]\z").alias("trailing"), F.posexplode(F.arrays_zip(blanks.alias("blanks"), "cells")).alias("column_no", "x"))
+    # Each different value of a column is matched once a task and layout, so that what repeats costs little.
+    value = cells.groupBy("layout", "column_no", F.col("x.cells").alias("cell")).agg(F.min("x.blanks").alias("least"), F.max("x.blanks").alias("most"), F.bool_or("trailing").alias("trailing"))
+    is_full = F.col("cell") != ""
+    g = value.groupBy("layout", "column_no").agg(
+        F.min("least").alias("least"), F.max("most").alias("most"), F.bool_or("trailing").alias("trailing"),
+        F.max(F.when(is_full, F.size(F.split("cell", " +"))).otherwise(0)).alias("items"), F.bit_and(F.when(is_full, mask(F.col("cell")))).alias("mask"),
+    )
+    rules: dict[str, list] = {}
+    columns = [{"mask": -1, "most_items": 0} for _ in names]
+    for r in sorted(g.collect(), key=lambda r: r["column_no"]):
+        rules.setdefault(r["layout"], []).append(r.asDict())
+        own = columns[r["column_no"]]
+        own["mask"] &= -1 if r["mask"] is None else r["mask"]
+        own["most_items"] = max(own["most_items"], r["items"])
+    for own in columns:
+        own["class"], own["actual"] = names_of(own["mask"]) if own["mask"] != -1 else (None, None)
+    return [_rule(layout, rules[layout], columns, names, divider) for layout in sorted(rules, reverse=True)]
+
+
 def _slot(column: dict, name: str) -> str:
     more = int(column["most_items"]) - 1
     if column["class"] in TOKEN_OF and more > 0:
@@ -277,7 +305,7 @@ def block_snippet(docs: DataFrame, names: list[str], starting_from: int | str |
     """
     pieces = cut(docs, starting_from, ending_to, True, key, text)
     found = rows(pieces, len(names), divider=divider, key=key, text=F.col("lines"), **how)
-    body = [r["snippet"] for r in table_snippets(found, names, divider).orderBy("rank").select("snippet").collect()]
+    body = table_rules(found, names, divider)
     starts, ends = marker_signatures(pieces, most)
     b = _body(pieces, len(names), divider, how.get("widths"), how.get("rule", False), how.get("gap", 2), how.get("reference"), key, F.col("lines"))
     heads = b.select(F.explode(F.filter("lines", lambda x: (x["i"] <= F.col("ref")) & ~is_symbols(x["x"]) & x["x"].rlike("[^ ]"))).alias("x"))
