@@ -138,6 +138,17 @@ def test_recommendations_from_data(spark):
     assert got == {("12", "ab"): ("word", False), ("7", "x"): ("alphabet_numeric", True), ("a", "-"): ("graph", True), ("", "a"): (None, False), (None, "b"): (None, False), ("x y", "1.5"): ("non_whitespaces_group", True)}
 
 
+def test_rules_of_tables_by_one_aggregation(spark):
+    """The same rules as table_snippets(), with gaps, stretches of empty cells, several words, trailing blanks and dividers."""
+    rng = random.Random(21)
+    cell = lambda: rng.choice(["", "a", "b c", "12", "1.5", "x-y z w"])
+    for divider, bar in (("", "   "), ("|", " | ")):
+        texts = ["\n".join(["h" * 8 + bar + "i" * 8 + bar + "j" * 8, *((f"{cell():<8}{bar}{cell():<8}{bar}{cell()}" + rng.choice(["", "  "])) for _ in range(20))]) for _ in range(4)]
+        found = tabular.rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, divider=divider, **({} if divider else {"widths": [11, 11, None]}))
+        want = [r.snippet for r in tabular.table_snippets(found, ["p", "q", "r"], divider).orderBy("rank").collect()]
+        assert tabular.table_rules(found, ["p", "q", "r"], divider) == want and len(want) > 5
+
+
 def test_ties_of_widths_go_to_the_first_row(spark):
     d = spark.createDataFrame([(k, f"name  x\n{'a' * w:<6}y") for k, w in enumerate([2, 4, 2, 4, 3])], "doc_id long, text string").repartition(3)
     widths = {r.column_no: r.width for r in tabular.column_alignment(tabular.rows(d, 2, widths=[6, None])).collect()}
@@ -237,7 +248,7 @@ def test_headers_alignment_and_snippets(spark):
     assert tabular.pick_headers(d, [0, "---"]).first()["headers"] == ["name   size", "----   ----"]
     found = tabular.rows(d, 2, rule=True)
     assert {r.column_no: (r.alignment, r.width) for r in tabular.column_alignment(found).collect()} == {0: ("left", 2), 1: ("center", 2)}
-    assert [r.snippet for r in tabular.table_snippets(found, ["name", "size"]).collect()] == ["start() letters(var_name)  digits(var_size) end() -> Record"]
+    assert [r.snippet for r in tabular.table_snippets(found, ["name", "size"]).collect()] == ["start() letters(var_name)  digits(var_size) end() -> Record"] == tabular.table_rules(found, ["name", "size"])
     lines = spark.createDataFrame([("a: 1  b: x y",), ("a: 22  b:",)], "line string")
     assert category.block_snippet(category.pairs(lines, ["line"], 2)).first()[0] == "a: digits(var_a)  b: phrase(var_b, or_empty)"
 
