@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classes as c
-from ..operators import profiles, tabular, verify
+from ..operators import category, profiles, tabular, verify
 from ..sources.documents import explode_lines, table
 from .line_jobs import _RELATION_SQL, DOC_LINES, SPACE_SQL
 
@@ -100,5 +100,20 @@ SELECT m.mode, conv_id, (row_number() OVER (PARTITION BY m.mode, conv_id ORDER B
 FROM conversations, (VALUES ('divider'), ('gaps'), ('rule'), ('widths'), ('reference')) AS m(mode) WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
 """
 
-QUERIES = {"content_bag": content_bag, "recommend_from_data": recommend_from_data, "value_predicates": value_predicates, "parsed_modes": parsed_modes}
-ORACLES = {"content_bag": CONTENT_BAG_SQL, "recommend_from_data": RECOMMEND_DATA_SQL, "value_predicates": VALUE_PREDICATES_SQL, "parsed_modes": PARSED_MODES_SQL}
+def category_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold pairs at all, with their values; every third has only words, a time and an address."""
+    t = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL")
+    turn = F.col("turn").cast("string")
+    pairs = F.concat(F.lit("some words\nspoken by: "), "role", F.lit("\nat 10:20:30 and ::1\nturn(s): "), turn, F.lit("\nturn(s): 99"))
+    text = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("words of turn "), turn, F.lit("\nat 10:20:30\n2001:db8::7\n: nothing before"))).otherwise(pairs)
+    d = t.select(F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn).alias("note"), text.alias("text"))
+    return category.records(d, ["spoken_by", "turn_s"], key="note")
+
+
+CATEGORY_FLAGS_SQL = """
+SELECT conv_id || '-' || turn AS note, CASE WHEN turn % 3 = 1 THEN '' ELSE role END AS spoken_by, CASE WHEN turn % 3 = 1 THEN '' ELSE turn::VARCHAR END AS turn_s, turn % 3 <> 1 AS is_category
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL
+"""
+
+QUERIES = {"category_flags": category_flags, "content_bag": content_bag, "recommend_from_data": recommend_from_data, "value_predicates": value_predicates, "parsed_modes": parsed_modes}
+ORACLES = {"category_flags": CATEGORY_FLAGS_SQL, "content_bag": CONTENT_BAG_SQL, "recommend_from_data": RECOMMEND_DATA_SQL, "value_predicates": VALUE_PREDICATES_SQL, "parsed_modes": PARSED_MODES_SQL}
