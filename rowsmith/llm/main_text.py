@@ -39,6 +39,8 @@ NOISE_WORDS = frozenset(
     "toolbar header masthead footer colophon comment comments commentlist disqus respond reply replies notice notices cookie cookies consent gdpr alert popup popover modal overlay lightbox newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget widgets pagination pager paginator search skip copyright".split()
 )
+#: Last words of classes and ids of the text itself.
+TEXT_WORDS = frozenset("article content post entry story main text body".split())
 #: Beginnings of class words that speak of something else than the element itself.
 NOT_ITSELF = frozenset("has have with without no not is".split())
 #: Opening one of these ends an open p.
@@ -50,8 +52,8 @@ ENDS = {
 }
 CELLS, TABLE = frozenset("td th caption table template".split()), frozenset("table thead tbody tfoot tr td th caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that hold one block each; a block counts for the container around them.
-LEAVES = HEADINGS | frozenset("p pre blockquote li dt dd td th tr tbody thead tfoot table ul ol dl figure figcaption caption summary details center address hgroup fieldset legend option optgroup".split())
+#: Elements that hold one block each; a block counts for the container around them. A cell may hold a whole page's text.
+LEAVES = HEADINGS | frozenset("p pre blockquote li dt dd th tr tbody thead tfoot table ul ol dl figure figcaption caption summary details center address hgroup fieldset legend option optgroup".split())
 
 #: A comment, a declaration, or a tag with its attributes; quotes without an end end at the tag's own end.
 MARK = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
@@ -66,11 +68,12 @@ def _is_noise(tag: str, names: str, role: str) -> bool:
     if not names or tag in ("html", "body", "article", "main"):
         # The article itself may be called anything but a comment.
         return tag == "article" and any(p in ("comment", "comments", "reply") for p in PART.findall(names))
-    for name in names.split():
-        parts = PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
-        if parts and parts[0] not in NOT_ITSELF and (parts[0] in NOISE_WORDS or parts[-1] in NOISE_WORDS):
-            return True
-    return False
+    each = [PART.findall(re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) for name in names.split()]
+    noisy = [p for p in each if p and p[0] not in NOT_ITSELF and (p[0] in NOISE_WORDS or p[-1] in NOISE_WORDS)]
+    if noisy and any(p and p[-1] in TEXT_WORDS and p[0] not in NOISE_WORDS for p in each):
+        # Beside a name for the text itself, as in `post-content share-enabled`, only what is nothing else counts.
+        return any(all(w in NOISE_WORDS for w in p) for p in noisy)
+    return bool(noisy)
 
 
 class Page:

@@ -38,6 +38,20 @@ def test_what_stands_around(frame):
     assert own(f"<!DOCTYPE html><html><body class='has-sidebar no-footer'>{''.join(AROUND)}{html}{''.join(AROUND)}</body></html>") == TEXT
 
 
+def test_names_beside_the_text():
+    """Modifiers of the text's own container do not make it noise; names of other things do."""
+    for names in ("post-content share-enabled", "entry ad-free", "article-body has-comments", "story social-embeds", "mainText"):
+        assert own(f"<div class=x><div class='{names}'>{BODY}</div><p>Short.</p></div>") == TEXT, names
+    for names in ("post comment", "content sidebar", "comment-content", "adContent", "notice-text", "entry banner-300"):
+        assert own(f"<div class='{names}'>{BODY}{BODY}</div><div>{BODY}</div>") == TEXT, names
+
+
+def test_pages_laid_out_by_tables():
+    html = f"<table><tr><td class=nav>Menu of all</td></tr><tr><td>Links and news of the week</td><td id=m>{BODY}<p>And much more is to be said of them than of others.</p></td></tr></table>"
+    assert own(html) == TEXT + "\nAnd much more is to be said of them than of others."
+    assert own("<article><table><tr><td>a<td>b</table><p>c</article>") == "a\nb\nc"
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
