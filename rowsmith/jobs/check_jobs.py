@@ -68,9 +68,9 @@ _SINGLE = "regexp_full_match(trim(x), '[^ ]+')"
 _PRINTABLE = r"(regexp_matches(x, '[\p{C}\p{Zl}\p{Zp}]') OR regexp_matches(replace(x, ' ', ''), '\p{Zs}'))"
 VALUE_PREDICATES_SQL = f"""
 WITH l AS (SELECT lang, list_filter(string_split_regex(line, ', |,$'), lambda x: x <> '') AS v FROM ({DOC_LINES}) JOIN documents USING (doc_id))
-SELECT lang, count(*) AS n, count_if(NOT ({_ALL(_TOKENS, '')})) AS "group", count_if(NOT ({_ALL("regexp_matches(trim(x), '[^ ]  +[^ ]')", '')})) AS wide_group, count_if({_ALL(_TOKENS)}) AS plural, count_if({_ALL(_SINGLE)}) AS singular,
-  count_if(NOT ({_ALL(_SINGLE)}) AND NOT ({_ALL(_TOKENS)})) AS mixing, count_if({_ALL("regexp_full_match(x, '\\p{N}+')")}) AS numeric, count_if({_ALL("regexp_full_match(x, '\\p{L}+')")}) AS alphabet, count_if({_ALL("regexp_full_match(x, '\\p{L}+')", '')}) AS not_alphabet,
-  count_if({_ALL(_PRINTABLE, '')}) AS printable, count_if({_ALL(_PRINTABLE, '')} AND {_ALL("regexp_full_match(x, '[^\\p{L}\\p{N}]+')")}) AS punctuation
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE NOT ({_ALL(_TOKENS, '')})) AS "group", count(*) FILTER (WHERE NOT ({_ALL("regexp_matches(trim(x), '[^ ]  +[^ ]')", '')})) AS wide_group, count(*) FILTER (WHERE {_ALL(_TOKENS)}) AS plural, count(*) FILTER (WHERE {_ALL(_SINGLE)}) AS singular,
+  count(*) FILTER (WHERE NOT ({_ALL(_SINGLE)}) AND NOT ({_ALL(_TOKENS)})) AS mixing, count(*) FILTER (WHERE {_ALL("regexp_full_match(x, '\\p{N}+')")}) AS numeric, count(*) FILTER (WHERE {_ALL("regexp_full_match(x, '\\p{L}+')")}) AS alphabet, count(*) FILTER (WHERE {_ALL("regexp_full_match(x, '\\p{L}+')", '')}) AS not_alphabet,
+  count(*) FILTER (WHERE {_ALL(_PRINTABLE, '')}) AS printable, count(*) FILTER (WHERE {_ALL(_PRINTABLE, '')} AND {_ALL("regexp_full_match(x, '[^\\p{L}\\p{N}]+')")}) AS punctuation
 FROM l WHERE len(v) > 0 GROUP BY lang
 """
 
