@@ -22,12 +22,15 @@ from .tokens import tokens_of
 
 #: Scripts, at most so many, that are broadcast; beyond, lines meet them by a shuffle on their words.
 FEW_SCRIPTS = 20_000
+# The form of scripts and their elements, the mark of what may be missing, how parentheses are spelled
+# out in values, and the characters of labels that names cannot have.
 _SCRIPT = re.compile(r"capture\(([^)]*)\) keep\(([^)]*)\) action\(([^)]*)\): ?(.*)", re.S)
 _ELEMENT = re.compile(r"([a-z]+(?:_[a-z]+)*)\(([cCkK]?var)=([^,()]+), value=([^)]+)\)")
 _OR_EMPTY = re.compile(r"[_-]?or(?:[_-]empty)?", re.I)
 SPACE = r"[ \t\n\x0b\f\r]"
 _PLURAL = re.compile(rf"{c.NON_SPACE}{SPACE}+{c.NON_SPACE}")
 _LEFT, _RIGHT = "_SYMBOL_LEFT_PARENTHESIS_", "_SYMBOL_RIGHT_PARENTHESIS_"
+_NO_NAME = r"[\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+"
 
 
 class EditError(ValueError):
@@ -87,7 +90,7 @@ class Script:
 
 def symbolise(line: str, label: str = "") -> Script:
     """The tokens of a line with their classes, named v0, v1, ... of the label."""
-    label = re.sub(r"[\x20-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+", "_", label)
+    label = re.sub(_NO_NAME, "_", label)
     leading, body, trailing = re.fullmatch(f"({SPACE}*)(.*?)({SPACE}*)", line, re.S).groups()
     parts = re.split(f"({SPACE}+)", body) if body else []
     tokens = [Token(classify(v), f"v{label}{k}", v, gap) for k, (v, gap) in enumerate(zip(parts[::2], [*parts[1::2], ""]))]
