@@ -100,6 +100,17 @@ def class_of(m: Column) -> Column:
     return _first(m, 0)
 
 
+def class_of_token(token: Column) -> Column:
+    """class_of(mask()) of a value without blanks: patterns are tried one after the other, up to the first that matches.
+
+    Letters come first, as they are most frequent and no class before theirs has any. Null and empty: null.
+    """
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed([(n, p) for n, p in CLASSES if n not in GROUPS and n not in ("letter", "letters")]):
+        out = F.when(token.rlike(rf"\A(?:{pattern})\z"), name).otherwise(out)
+    return F.when(token.rlike(r"\A[a-zA-Z]+\z"), F.when(F.length(token) == 1, "letter").otherwise("letters")).otherwise(out)
+
+
 def actual_of(m: Column) -> Column:
     """The name of the sub-pattern of a mask."""
     return _first(m, 1)

@@ -28,7 +28,7 @@ def class_sequence(line: Column) -> Column:
     """The classes of a line's tokens, in order; a token of letters that begins it stands as it is."""
     # Step by step, as what a lambda is given is worked out once.
     found = tokens_of(line)
-    names = F.transform(F.transform(found, c.mask), c.class_of)
+    names = F.transform(found, c.class_of_token)
     return F.array_join(F.transform(names, lambda k, i: F.when((i == 0) & k.isin("letter", "letters"), F.get(found, F.lit(0))).otherwise(F.coalesce(k, F.lit("other")))), " ")
 
 

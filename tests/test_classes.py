@@ -56,3 +56,13 @@ def test_predicates(spark):
     d = spark.createDataFrame([(["12", "½"], ["ab", "é"], ["--", "+"], ["a b", "c"], ["a  b"])], "n array<string>, a array<string>, p array<string>, g array<string>, w array<string>")
     r = d.select(p.is_numeric(F.col("n")), p.is_alphabet(F.col("a")), p.is_punctuation(F.col("p")), p.is_group(F.col("g")), p.is_group_with_multi_spaces(F.col("g")), p.is_group_with_multi_spaces(F.col("w")), p.plural(F.col("n")), p.singular(F.col("g"))).first()
     assert list(r) == [True, True, True, True, False, True, "12 12", "a"]
+
+
+def test_class_of_a_token(spark):
+    """The first pattern that matches, as by the mask of all."""
+    import random
+
+    rng = random.Random(5)
+    tokens = [None, "", *("".join(rng.choice("aZ09.-+$(,:%é«/") for _ in range(rng.randrange(1, 6))) for _ in range(1500))]
+    d = spark.createDataFrame([(t,) for t in tokens], "t string")
+    assert d.where(~c.class_of_token(F.col("t")).eqNullSafe(c.class_of(c.mask(F.col("t"))))).count() == 0
