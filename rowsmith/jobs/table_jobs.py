@@ -61,10 +61,12 @@ SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY turn, i) - 1)::BIGINT
 
 def long_document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as two documents, cut into chunks that run at the same time; states are composed over the chunks."""
-    lines = _lines(spark, sf_dir, True).select(F.when(F.col("doc") % 8 == 0, "small").otherwise("large").alias("part"), (F.col("doc").cast("long") * 1000 * TURN + F.col("place")).alias("place"), "line")
+    # Chunks of a hundred conversations each; a conversation has room for a hundred million turns.
+    within = F.pmod(F.col("doc").cast("long"), F.lit(100))
+    part = F.when(F.col("doc") % 8 == 0, "small").otherwise("large").alias("part")
+    lines = _lines(spark, sf_dir, True).select(part, (F.col("doc").cast("long") - within).alias("hundred"), (within * 100_000_000 * TURN + F.col("place")).alias("place"), "line")
     t = templates.compile_snippet(STATES)
-    # Chunks of a hundred conversations each.
-    steps = line_tables.steps_of_chunks(lines, t, "part", "place", chunk_lines=100 * 1000 * TURN)
+    steps = line_tables.steps_of_chunks(lines, t, "part", "place", chunk="hundred")
     return line_tables.records_of(steps, t, "part").select("part", "record_no", "turn", "role", F.size("said").cast("long").alias("n_lines"), F.md5(F.array_join("said", "\n")).alias("digest"))
 
 

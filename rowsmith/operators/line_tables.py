@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.documents import kept
+from ..sources.documents import dealt, kept
 from .templates import Machine, Template, always_captures
 
 #: Lines of a chunk, by their places.
@@ -130,7 +130,7 @@ def parse_ordered(lines: DataFrame, template: Template, key: str = "doc_id", ord
             yield _batch(pa, keys, kind, rows, kinds, key)
 
     own = lines.where(F.col(line).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(line).alias("_x"))
-    return own.repartition("_k").sortWithinPartitions("_k", "_o", "_x").select("_k", "_x").mapInArrow(run, schema)
+    return dealt(own, "_k").sortWithinPartitions("_k", "_o", "_x").select("_k", "_x").mapInArrow(run, schema)
 
 
 def _batch(pa, keys: list, kind, rows: list, kinds, key: str):
@@ -154,9 +154,9 @@ def can_be_steps(template: Template) -> bool:
     return not any(m <= o for _, o in template.values.values() for m in mixed)
 
 
-def _own(lines: DataFrame, key: str, order: str, line: str, chunk_lines: int | None) -> DataFrame:
+def _own(lines: DataFrame, key: str, order: str, line: str, chunk_lines: int | None, chunk: str | None = None) -> DataFrame:
     """_k (a struct, so that null is a key like others), chunk, line_no, line."""
-    chunk = F.floor(F.col(order) / chunk_lines) if chunk_lines else F.lit(0)
+    chunk = F.col(chunk) if chunk else F.floor(F.col(order) / chunk_lines) if chunk_lines else F.lit(0)
     return lines.where(F.col(line).isNotNull()).select(F.struct(F.col(key).alias("k")).alias("_k"), chunk.cast("long").alias("chunk"), F.col(order).cast("long").alias("line_no"), F.col(line).alias("line"))
 
 
@@ -189,8 +189,9 @@ def steps_of_rules(lines: DataFrame, template: Template, key: str = "doc_id", or
     return s.drop("ends")
 
 
-def steps_of_chunks(lines: DataFrame, template: Template, key: str = "doc_id", order: str = "line_no", line: str = "line", chunk_lines: int = CHUNK) -> DataFrame:
-    """The steps of any template, a task for each chunk of a document.
+def steps_of_chunks(lines: DataFrame, template: Template, key: str = "doc_id", order: str = "line_no", line: str = "line", chunk_lines: int = CHUNK, chunk: str | None = None) -> DataFrame:
+    """The steps of any template, a task for each chunk of a document: chunk_lines places, or where lines have a column
+    for it the lines of one number, which stand in the order of these numbers and then of their places.
 
     First each chunk is run from every state at once: which state does each lead to? These maps, a row a
     chunk, are composed by doubling: after k rounds a row holds what the 2 ** k chunks up to it do. Then each chunk
@@ -199,8 +200,8 @@ def steps_of_chunks(lines: DataFrame, template: Template, key: str = "doc_id", o
     states = list(dict.fromkeys([*template.states, "Start", "EOF", "End", "*error", *(r.state for rules in template.states.values() for r in rules if r.state)]))
     place = {s: i for i, s in enumerate(states)}
     stops = {place[s] for s in ("EOF", "End", "*error")}
-    own = _own(lines, key, order, line, chunk_lines)
-    spread = own.repartition("_k", "chunk").sortWithinPartitions("_k", "chunk", "line_no", "line")
+    own = _own(lines, key, order, line, chunk_lines, chunk)
+    spread = dealt(own, "_k", "chunk").sortWithinPartitions("_k", "chunk", "line_no", "line")
     kind = own.schema["_k"].dataType
 
     def step(machine: Machine, state: int, text: str):
@@ -247,7 +248,9 @@ def steps_of_chunks(lines: DataFrame, template: Template, key: str = "doc_id", o
         reach *= 2
     entered = composed.select("_k", "chunk", F.coalesce(F.get(F.lag("does").over(in_order), F.lit(place["Start"])), F.lit(place["Start"])).alias("state"), F.get("does", F.lit(place["Start"])).alias("leaves"), F.lead("chunk").over(in_order).isNull().alias("final"))
     entered = entered.where(~F.col("state").isin(*stops))
-    known = own.join(entered, ["_k", "chunk"]).repartition("_k", "chunk").sortWithinPartitions("_k", "chunk", "line_no", "line")
+    # The state goes ahead of the lines of its chunk, as a row of its own: no join, and one shuffle of the lines.
+    ahead = entered.select("_k", "chunk", F.lit(None).cast("long").alias("line_no"), F.lit(None).cast("string").alias("line"), "state")
+    known = dealt(own.withColumn("state", F.lit(None).cast("int")).union(ahead), "_k", "chunk").sortWithinPartitions("_k", "chunk", F.col("state").isNull(), "line_no", "line")
     names = list(template.values)
 
     def run(batches):
@@ -259,9 +262,11 @@ def steps_of_chunks(lines: DataFrame, template: Template, key: str = "doc_id", o
         for batch in batches:
             out = []
             for k, c, i, text, enters in zip(*(batch.column(n).to_pylist() for n in ("_k", "chunk", "line_no", "line", "state"))):
-                if (k, c) != last:
+                if enters is not None:
                     last, state = (k, c), enters
-                if state in stops:
+                    continue
+                # A chunk without a state is one that the document does not come to.
+                if (k, c) != last or state in stops:
                     continue
                 state, hits = step(machine, state, text)
                 for sub, (rule, m) in enumerate(hits):

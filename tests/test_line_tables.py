@@ -95,3 +95,37 @@ def test_empty_tables(spark):
         assert line_tables.parse_table(empty, t, "doc", "place", "x", size).collect() == []
     several = templates.compile_snippet(SEVERAL["states"])
     assert line_tables.parse_table(empty, several, "doc", "place", "x", 5).collect() == []
+
+
+def test_lines_of_a_chunk_stay_together(spark):
+    """Lines from several sources, joined with a table small enough that Spark changes the plan of a join as it runs."""
+    t = templates.compile_snippet("Start\nturn digits(var_turn) end() -> Said\nSaid\n> something(var_said, meta_data_list) end()\ndone end() -> Record Start")
+    ids = spark.range(400).select((F.col("id") % 2).alias("doc"), (F.col("id") * 10).alias("at"), F.lpad(F.lit("x"), 500, "x").alias("pad"))
+    parts = [ids.select("doc", (F.col("at") + i).alias("place"), x.alias("x")) for i, x in enumerate([F.concat(F.lit("turn "), F.col("at").cast("string")), F.concat(F.lit("> "), "pad"), F.lit("done")])]
+    lines = parts[0].union(parts[1]).union(parts[2])
+    # Joins that are planned by shuffles, and broadcast when their sizes are known.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        chunked = line_tables.records_of(line_tables.steps_of_chunks(lines, t, "doc", "place", "x", chunk_lines=100), t, "doc")
+        # Lines that a join has dealt by their document.
+        joined = lines.join(spark.range(2).withColumnRenamed("id", "doc"), "doc")
+        for df in (chunked, line_tables.parse_ordered(joined, t, "doc", "place", "x")):
+            # Not the shuffle of a join, which Spark may leave out as it runs.
+            assert "REPARTITION_BY_COL" in df._jdf.queryExecution().executedPlan().toString()
+            rows = df.collect()
+            assert len(rows) == 400 and all(len(r.said) == 1 and r.turn for r in rows)
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_long_conversations_do_not_run_into_each_other(spark, tmp_path):
+    """More turns than 1000 in one conversation, and ids of any size."""
+    from rowsmith.jobs import table_jobs
+
+    turns = [(1, i, "user", "a\nb") for i in range(1500)] + [(c, i, "user", "c") for c in (3, 10**15 + 1, 10**15 + 3) for i in range(3)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = sorted(table_jobs.long_document_records(spark, str(tmp_path)).collect(), key=lambda r: r.record_no)
+    assert [(r.turn, r.n_lines) for r in rows] == [(str(t), len(x.split("\n"))) for _, t, _, x in turns]
