@@ -17,7 +17,9 @@ def tokens_of(line: Column) -> Column:
 
 def symbolised(line: Column, label: str = "") -> Column:
     """array<struct<id, class, text>>: tokens with the names v0, v1, ... of the label."""
-    return F.transform(tokens_of(line), lambda t, i: F.struct(F.concat(F.lit(f"v{label}"), i.cast("string")).alias("id"), actual_of(mask(t)).alias("class"), t.alias("text")))
+    # Masks first: a name is looked up in many places of a mask, each of which would work the mask out anew.
+    masked = F.transform(tokens_of(line), lambda t: F.struct(t.alias("t"), mask(t).alias("m")))
+    return F.transform(masked, lambda s, i: F.struct(F.concat(F.lit(f"v{label}"), i.cast("string")).alias("id"), actual_of(s["m"]).alias("class"), s["t"].alias("text")))
 
 
 def split_token(token: Column, separators: str) -> Column:
