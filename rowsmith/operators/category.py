@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classes import PUNCT
-from ..sources.documents import lines_of
+from ..sources.documents import kept, lines_of
 from .lines import MOST_RULES, coverage, cut, framed, frequent, is_clock_or_address, marker_forms, marker_signatures, signature
 
 _CLOCK = re.compile(r"[0-9]+(:[0-9]+)+")
@@ -163,13 +163,16 @@ def block_template(blocks: DataFrame, separator: str = ":", most: int = MOST_RUL
     reach the driver. block_coverage() says how many lines these are. Free lines capture nothing, so that the
     records are the same without their rules, unless another rule takes one of them for its own.
     """
+    # Written once: rules and markers are read from them in several passes, each of which would find all pairs anew.
+    blocks = kept(blocks.select("pairs", "start_line", "end_line"))
     rules = block_rules(blocks, separator)
-    kept = [(r["order"], r["rule"]) for own in (rules.where("is_pairs"), rules.where("NOT is_pairs")) for r in frequent(own, "rule", most).collect()]
-    return framed([rule for _, rule in sorted(kept)], *marker_signatures(blocks, most))
+    found = [(r["order"], r["rule"]) for own in (rules.where("is_pairs"), rules.where("NOT is_pairs")) for r in frequent(own, "rule", most).collect()]
+    return framed([rule for _, rule in sorted(found)], *marker_signatures(blocks, most))
 
 
 def block_coverage(blocks: DataFrame, separator: str = ":", most: int = MOST_RULES) -> DataFrame:
     """kind (pairs, free, start, end), n_forms, n_lines, forms_kept, lines_kept: what block_template() has rules for."""
+    blocks = kept(blocks.select("pairs", "start_line", "end_line"))
     rules = block_rules(blocks, separator).withColumnRenamed("rule", "form")
     kinds = {"pairs": rules.where("is_pairs"), "free": rules.where("NOT is_pairs"), "start": marker_forms(blocks, "start_line"), "end": marker_forms(blocks, "end_line")}
     return coverage(kinds, most=most)
