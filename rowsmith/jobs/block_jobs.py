@@ -49,7 +49,8 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("ignored: yes\ncard no "), k.cast("string"), F.lit("\nname: "), "c_name", F.lit("  segment: "), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.lit("\nnation = "), F.col("c_nationkey").cast("string"),
         F.lit("\nplain words\nopened: 10:30:00\nnote:"), F.when(k % 2 == 0, "").otherwise(F.lit(" paid late")), F.lit("\nend of card\nname: not this one"),
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    # A small file comes in few pieces, and each text costs much more than its bytes.
+    return table(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", text.alias("text"))
 
 
 CARD_COLUMNS = ["name", "segment", "nation", "opened", "note"]
