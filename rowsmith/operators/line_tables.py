@@ -18,76 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.documents import dealt, kept
-from .templates import Machine, Template, always_captures
+from .templates import Machine, Run, Template, always_captures, record_batch, record_schema
 
 #: Lines of a chunk, by their places.
 CHUNK = 20_000
 
 
-def record_schema(lines: DataFrame, template: Template, key: str) -> T.StructType:
-    lists = {n for n, (_, o) in template.values.items() if "List" in o}
-    own = [T.StructField(n, T.ArrayType(T.StringType()) if n in lists else T.StringType()) for n in template.values]
-    return T.StructType([T.StructField(key, lines.schema[key].dataType), T.StructField("record_no", T.LongType()), T.StructField("error", T.StringType()), *own])
-
-
-class Run:
-    """A template on the lines of one document, fed one after the other; hands out records as soon as nothing can change them."""
-
-    def __init__(self, machine: Machine):
-        self.m, self.now, self.state, self.rows, self.given, self.error = machine, machine._blank(), "Start", [], 0, None
-        #: With an Error rule nothing is sure before the end.
-        self.hold = any(r.line_op == "Error" for rules in machine.t.states.values() for r in rules)
-
-    def _record(self) -> None:
-        if any(not self.now[n] for n in self.m.has["Required"]):
-            pass
-        elif any(v is not None and v != [] for v in self.now.values()):
-            self.rows.append({n: list(v) if isinstance(v, list) else v or "" for n, v in self.now.items()})
-        self.now = self.m._blank(self.now)
-
-    @property
-    def over(self) -> bool:
-        return self.error is not None or self.state in ("EOF", "End")
-
-    def feed(self, line: str) -> None:
-        for regex, rule in [] if self.over else self.m.rules.get(self.state, []):
-            found = regex.match(line)
-            if not found:
-                continue
-            for n, v in found.groupdict().items():
-                self.now[n] = [*self.now[n], v or ""] if n in self.m.has["List"] else v
-                if v and n in self.m.has["Fillup"]:
-                    for r in reversed(self.rows):
-                        if r[n]:
-                            break
-                        r[n] = v
-            if rule.line_op == "Error":
-                self.rows, self.error = [], f"error rule matched: {line}"
-                return
-            if rule.record_op == "Record":
-                self._record()
-            elif rule.record_op != "NoRecord":
-                self.now = self.m._blank(self.now if rule.record_op == "Clear" else None)
-            if rule.line_op != "Continue":
-                self.state = rule.state or self.state
-                return
-
-    def sure(self, end: bool = False) -> list[tuple[int, dict]]:
-        """Records that have not been handed out and will not change, with their numbers."""
-        if end and self.error is None and self.state != "End" and "EOF" not in self.m.rules:
-            self._record()
-        n = len(self.rows)
-        if not end:
-            if self.hold:
-                return []
-            # A record waits for each value that fills up until it, or one after it, has it.
-            for name in self.m.has["Fillup"]:
-                n = min(n, next((k + 1 for k in range(len(self.rows) - 1, -1, -1) if self.rows[k][name]), 0))
-        out = [(self.given + k, r) for k, r in enumerate(self.rows[:n])]
-        self.rows, self.given = self.rows[n:], self.given + n
-        return out
-
-
 def parse_ordered(lines: DataFrame, template: Template, key: str = "doc_id", order: str = "line_no", line: str = "line") -> DataFrame:
     """key, record_no, error and a column a value, as parse() of the joined lines.
 
@@ -123,22 +59,16 @@ def parse_ordered(lines: DataFrame, template: Template, key: str = "doc_id", ord
                     now, last = Run(machine), k
                 now.feed(x)
             take(False)
-            yield _batch(pa, keys, kind, rows, kinds, key)
+            yield record_batch(pa, keys, kind, rows, kinds, key)
             keys, rows = [], []
         take(True)
         if rows:
-            yield _batch(pa, keys, kind, rows, kinds, key)
+            yield record_batch(pa, keys, kind, rows, kinds, key)
 
     own = lines.where(F.col(line).isNotNull()).select(F.col(key).alias("_k"), F.col(order).alias("_o"), F.col(line).alias("_x"))
     return dealt(own, "_k").sortWithinPartitions("_k", "_o", "_x").select("_k", "_x").mapInArrow(run, schema)
 
 
-def _batch(pa, keys: list, kind, rows: list, kinds, key: str):
-    columns = list(zip(*rows)) if rows else [[] for _ in range(2 + len(kinds))]
-    arrays = [pa.array(keys, kind), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *(pa.array(c, f.type) for c, f in zip(columns[2:], kinds))]
-    return pa.RecordBatch.from_arrays(arrays, [key, "record_no", "error", *kinds.names])
-
-
 # --- Steps: one row for each rule that a line matches -------------------------------------------------
 
 

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rowsmith.operators import tabular, tokens
+from rowsmith.operators import tabular, templates, tokens
+from rowsmith.sources.documents import PIECE, Texts, pieces_of
 
 
 def plan(df):
@@ -34,3 +35,34 @@ def test_snippets_of_tables_read_the_rows_once(spark):
 
 def test_cells_are_written_out_for_a_known_number_of_columns(spark):
     assert "lambda" not in plan(tables(spark).select("cells", "layout")).split("Generate")[0]
+
+
+def test_texts_reach_python_in_pieces(spark):
+    t = templates.compile_snippet("start() digits(var_a, or_empty) end() -> Record")
+    head = "x" * (PIECE - 2)
+    d = spark.createDataFrame([(1, f"{head}\n\r\n12"), (2, ""), (3, None), (None, head + "y\r\n3\r\n" + "4\n" * 3 * PIECE + "5"), (5, head + "yyy\r\r\n7")], "doc_id long, text string")
+    assert "regexp_extract_all" in plan(templates.parse(d, t)) and "regexp_extract_all" in plan(tabular.marked_found(d, 2))
+    rows = pieces_of(d.coalesce(1))
+    assert max(r["_x"] for r in rows.select(F.length("_x").alias("_x")).collect()) <= PIECE + 1
+    lines = [(k, list(x)) for k, x in Texts(rows.toArrow().to_batches(max_chunksize=2))]
+    assert lines == [(1, [head, "", "12"]), (2, [""]), (None, [head + "y", "3", *["4"] * (3 * PIECE), "5"]), (5, [head + "yyy", "", "7"])]
+    got = templates.parse(d.coalesce(1), t).select("doc_id", "record_no", "a").collect()
+    own = lambda k: [r["a"] for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["record_no"])]
+    assert own(1) == ["", "12"] and own(2) == [""] and own(3) == [] and own(5) == ["", "7"]
+    assert own(None) == ["3", *["4"] * (3 * PIECE), "5"]
+
+
+def test_marked_tables_of_many_pieces_are_one_table(spark):
+    body = "".join(f"n{i:<8} {i % 7}\n" for i in range(PIECE))
+    d = spark.createDataFrame([(1, "name      size\n" + body + "<user-marker-one-line>long name\n          8")], "doc_id long, text string")
+    got = tabular.marked_rows(d, 2).orderBy("row_no").collect()
+    assert [r["row_no"] for r in got] == list(range(PIECE + 1))
+    assert [r["cells"] for r in got] == [*([f"n{i}", str(i % 7)] for i in range(PIECE)), ["long name", "8"]]
+
+
+def test_starts_in_hand_are_those_of_columns(spark):
+    lines = ["", "  a  b c", "a |  b|c", "---  ==  --", " --- -", "x   y  "]
+    d = spark.createDataFrame([(x,) for x in lines], "x string")
+    ways = [({"widths": [2, 3, None]}, tabular.starts_by_widths([2, 3, None])), ({"rule": True}, tabular.starts_by_rule(F.col("x"))), ({"divider": "|"}, tabular.starts_by_divider(F.col("x"), "|")), ({}, tabular.starts_by_gaps(F.col("x"))), ({"gap": 1}, tabular.starts_by_gaps(F.col("x"), 1))]
+    for how, column in ways:
+        assert [(r["x"], r["s"]) for r in d.select("x", column.alias("s")).collect()] == [(x, tabular.starts_in(x, **how)) for x in lines]
