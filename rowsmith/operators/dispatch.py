@@ -1,8 +1,8 @@
 """Documents parsed by the templates of a registry: by name, or by the one that fits best.
 
-A template needs certain words in a text: those that stand as they are in the rules that capture. Of each such
-rule the word that the fewest templates need is its key, and a document is tried with those templates alone
-of which it has a key.
+A template needs certain words in a text: those that stand as they are in the rules that capture, or in those that
+capture a Required value. Of each such rule the word that the fewest templates need is its key, and a document is
+tried with those templates alone of which it has a key.
 """
 
 from __future__ import annotations
@@ -117,10 +117,13 @@ def needed_words(pattern: str) -> set[str]:
     return out
 
 
-def template_words(t: Template) -> list[list[str]] | None:
-    """The words of each rule that captures; None if one of them needs none, so that any text may fit."""
-    each = [sorted(needed_words(r.pattern)) for rules in t.states.values() for r in rules if "${" in r.pattern]
-    return each if each and all(each) else None
+def template_words(t: Template) -> list[list[list[str]]] | None:
+    """Groups of rules of each of which one has to match for a record, as the words that each rule needs: all rules that
+    capture, and for each Required value those that capture it. None if every group has a rule that needs none, so that any text may fit."""
+    patterns = [r.pattern for rules in t.states.values() for r in rules]
+    groups = [["${" in p for p in patterns], *([f"${{{n}}}" in p for p in patterns] for n, (_, o) in t.values.items() if "Required" in o)]
+    each = [[sorted(needed_words(p)) for p, is_in in zip(patterns, group) if is_in] for group in groups]
+    return [rules for rules in each if rules and all(rules)] or None
 
 
 class Registry:
@@ -135,13 +138,15 @@ class Registry:
             except SnippetError as e:
                 self.errors[name] = str(e)
                 continue
-            for w in {w for rule in words[name] or [] for w in rule}:
+            for w in {w for group in words[name] or [] for rule in group for w in rule}:
                 counts[w] = counts.get(w, 0) + 1
         self.always = sorted(n for n, w in words.items() if w is None)
         self.by_word: dict[str, set[str]] = {}
-        for name, rules in words.items():
-            for rule in rules or []:
-                self.by_word.setdefault(min(rule, key=lambda w: (counts[w], w)), set()).add(name)
+        rarest = lambda rule: min(rule, key=lambda w: (counts[w], w))
+        for name, groups in words.items():
+            # The group whose words the fewest templates need: a template of which a text has none of these gives it no record.
+            for rule in min(groups, key=lambda g: sum(counts[rarest(r)] for r in g)) if groups else []:
+                self.by_word.setdefault(rarest(rule), set()).add(name)
 
     def machine(self, name: str) -> Machine:
         if name not in self.compiled:

@@ -73,3 +73,11 @@ def test_tables(spark):
             records, error = own.machine(r["name"]).records(r.text)
             assert all((i, None, x) in found for i, x in enumerate(records)) and (not error or (0, error, {}) in found)
     assert dispatch.best_fit(docs.limit(0), registry, "doc").collect() == [] and all(re.match("t|stop", n or "t") for _, n, *_ in want)
+
+
+def test_words_of_required_values_leave_few_templates():
+    forms = [(f"t{i}", f"Value Filldown id ([0-9]+)\nValue Required n ([0-9]+)\n\nStart\n  ^number ${{id}}$$\n  ^step{i}s ${{n}}$$ -> Record") for i in range(50)]
+    own = dispatch.Registry([*forms, ("loose", "Value id ([0-9]+)\n\nStart\n  ^number ${id}$$"), ("any", "Value Required x (.)\nValue y (.)\n\nStart\n  ^${x}$$\n  ^number ${y}$$")])
+    assert own.candidates("number 5\nstep7s 3") == ["any", "loose", "t7"]
+    assert own.fit("number 5\nstep7s 3\nstep7s 4") == ("t7", 2, 4, 3)
+    assert own.fit("number 5\nstep99s 3") == ("loose", 1, 1, 2)
