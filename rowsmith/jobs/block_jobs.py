@@ -230,10 +230,12 @@ def slot_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pattern of its slot at its widest."""
     v = column_values(spark, sf_dir).where("value IS NOT NULL")
     several, letters = F.trim("value").rlike("[^ ] +[^ ]"), F.col("value").rlike(r"\A\p{L}+\z")
-    shapes = v.groupBy("column_name").agg(F.bool_and(several).alias("is_plural"), F.bool_and(F.trim("value").rlike(r"\A[^ ]+\z")).alias("is_singular"), F.bool_and(~letters).alias("is_not_alphabet"))
-    p = profiles.class_of_sets(v, ["column_name"]).select("column_name", "actual")
+    # Each different value of a column is looked at once, and the tables are read once. Patterns stand in keys: inside of an
+    # aggregate they would be one function, too long for Java to compile.
+    kinds = v.select("column_name", "value").distinct().select("column_name", several.alias("several"), F.trim("value").rlike(r"\A[^ ]+\z").alias("one"), letters.alias("letters"), F.when(F.col("value") != "", c.mask(F.col("value"))).alias("mask")).distinct()
+    shapes = kinds.groupBy("column_name").agg(F.bool_and("several").alias("is_plural"), F.bool_and("one").alias("is_singular"), F.bool_and(~F.col("letters")).alias("is_not_alphabet"), F.bit_and("mask").alias("mask")).withColumn("actual", c.actual_of(F.col("mask")))
     regexes = {level: profiles.regex(F.col("actual"), F.col("column_name"), level) for level in ("lessen", "root")}
-    return shapes.join(p, "column_name").select("column_name", "is_plural", "is_singular", (~F.col("is_plural") & ~F.col("is_singular")).alias("is_mixing"), "is_not_alphabet", regexes["lessen"].alias("lessen"), regexes["root"].alias("root"))
+    return shapes.select("column_name", "is_plural", "is_singular", (~F.col("is_plural") & ~F.col("is_singular")).alias("is_mixing"), "is_not_alphabet", regexes["lessen"].alias("lessen"), regexes["root"].alias("root"))
 
 
 _PATTERNS_SQL = "(VALUES " + ", ".join(f"('{a}', '{c.PATTERN[le]}', '{c.PATTERN[r]}')" for a, _, le, r, _ in c.DIMENSION) + ") AS pat(actual, lessen, root)"

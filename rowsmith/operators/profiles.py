@@ -55,7 +55,9 @@ def regex(actual: Column, variable: Column, level: str = "actual") -> Column:
     """`(?P<name>pattern)` of a slot at a level of its class: actual, lessen (any gaps) or root (any text)."""
     names = {a: {"actual": a, "lessen": le, "root": r}[level] for a, _, le, r, _ in c.DIMENSION}
     patterns = F.create_map(*(F.lit(x) for a, n in names.items() for x in (a, c.PATTERN[n])))
-    return F.concat(F.lit("(?P<"), variable, F.lit(">"), F.element_at(patterns, actual), F.lit(")"))
+    # A lookup becomes a choice that names its key 30 times: the key is worked out before.
+    pattern = F.get(F.transform(F.array(actual), lambda a: F.element_at(patterns, a)), 0)
+    return F.concat(F.lit("(?P<"), variable, F.lit(">"), pattern, F.lit(")"))
 
 
 def readable_snippet(actual: Column, variable: Column, value: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rowsmith.operators import tabular, templates, tokens
+from rowsmith.operators import profiles, tabular, templates, tokens
 from rowsmith.sources.documents import PIECE, Texts, pieces_of
 
 
@@ -66,3 +66,17 @@ def test_starts_in_hand_are_those_of_columns(spark):
     ways = [({"widths": [2, 3, None]}, tabular.starts_by_widths([2, 3, None])), ({"rule": True}, tabular.starts_by_rule(F.col("x"))), ({"divider": "|"}, tabular.starts_by_divider(F.col("x"), "|")), ({}, tabular.starts_by_gaps(F.col("x"))), ({"gap": 1}, tabular.starts_by_gaps(F.col("x"), 1))]
     for how, column in ways:
         assert [(r["x"], r["s"]) for r in d.select("x", column.alias("s")).collect()] == [(x, tabular.starts_in(x, **how)) for x in lines]
+
+
+def test_patterns_of_slots_name_their_class_once(spark):
+    d = spark.createDataFrame([("7",), ("12",)], "value string")
+    p = profiles.class_of_sets(d.withColumn("k", F.lit("a")), ["k"])
+    got = p.select(profiles.regex(F.col("actual"), F.col("k"), "root").alias("r"))
+    assert plan(got).count("CASE WHEN") < 500
+    assert [r["r"] for r in got.collect()] == [r"(?P<a>[^ \t\n\x0b\f\r]+)"]
+
+
+def test_slot_shapes_read_the_tables_once(spark):
+    from rowsmith.jobs.block_jobs import slot_shapes
+
+    assert "Join" not in plan(slot_shapes(spark, "/root/testdata/sf0.001"))
