@@ -80,3 +80,10 @@ def test_slot_shapes_read_the_tables_once(spark):
     from rowsmith.jobs.block_jobs import slot_shapes
 
     assert "Join" not in plan(slot_shapes(spark, "/root/testdata/sf0.001"))
+
+
+def test_blanks_are_written_out_for_a_known_number_of_columns(spark):
+    found = tables(spark)
+    blanks = found.select("layout", F.array(*tabular.blanks_of(3, "")).alias("b"))
+    assert "lambda" not in plan(blanks).split("Generate")[0]
+    assert sorted((r["layout"], r["b"]) for r in blanks.collect()) == [("101", [0, 6, 8]), ("111", [0, 1, 2]), ("111", [0, 2, 5]), ("111", [0, 2, 5])]
